@@ -110,11 +110,9 @@ def _nearest(probes: DataFrame, a: DataFrame, step: int, capacity: int) -> DataF
     of rows however skewed the input is. Probes without an answer in
     their block ask for the nearest occupied block: the same problem, with 65,536 times smaller numbers.
     """
-    pick, end = (F.min, F.first) if step > 0 else (F.max, F.last)
-    if step > 0:
-        frame = Window.partitionBy("block").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
-    else:
-        frame = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    pick, order = (F.min, F.desc("id")) if step > 0 else (F.max, F.asc("id"))
+    # towards the probe, so that the window runs on instead of starting over at each row
+    frame = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     block = F.shiftright("id", BLOCK_BITS).alias("block")
     marks = (
         probes.select(F.col("probe").alias("id"), F.lit(IN_A).alias("kind"))
@@ -124,7 +122,7 @@ def _nearest(probes: DataFrame, a: DataFrame, step: int, capacity: int) -> DataF
     member = F.when(F.col("kind") >= IN_B, F.col("id"))
     near = (
         marks.withColumn("block", block)
-        .withColumn("found", end(member, ignorenulls=True).over(frame))
+        .withColumn("found", F.last(member, ignorenulls=True).over(frame))
         .where(F.col("kind") != IN_B)
         .select(F.col("id").alias("probe"), "block", "found")
     )

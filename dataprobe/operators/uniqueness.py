@@ -10,31 +10,55 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 16
-SLICE_ROWS = 4_000_000
+SLICE_ROWS = 100_000
 
 
-def _repeats(df: DataFrame, columns: Sequence[str], slices: int) -> DataFrame:
-    """At most one row if some value of ``columns`` occurs twice (within one slice of the values)."""
-    rows = df.select(*columns)
-    if slices > 1:
-        rows = rows.where(F.pmod(F.xxhash64(*columns), F.lit(slices)) == 0)
-    return rows.groupBy(*columns).count().where("count > 1").select(F.lit(1).alias("found")).limit(1)
-
-
-def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
-    """The candidates that hold a repeated value; the answer is one row per candidate."""
+def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The candidates that hold a repeated value, over all rows; the answer is one row per candidate."""
     found: set[tuple[str, ...]] = set()
     for start in range(0, len(candidates), BATCH):
         batch = candidates[start:start + BATCH]
-        tests = [_repeats(df, c, slices).select(F.lit(i).alias("i")) for i, c in enumerate(batch)]
+        tests = [
+            df.groupBy(*c).count().where("count > 1").select(F.lit(i).alias("i")).limit(1)
+            for i, c in enumerate(batch)
+        ]
         found |= {batch[row["i"]] for row in reduce(DataFrame.unionByName, tests).collect()}
     return found
 
 
+def _value_key(columns: Sequence[str]) -> Column:
+    """SHA-256 of the values, each written with its length so that no two rows run together."""
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    return F.sha2(F.concat(*[
+        F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
+
+
+def _with_repeats_in_slice(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
+    """Candidates that hold a repeated value among those values that hash to slice 0.
+
+    All rows with a value are in the same slice, so a repeat found here is one of the
+    whole table. One scan serves all candidates, and only the slice is shuffled.
+    """
+    found: set[tuple[str, ...]] = set()
+    for start in range(0, len(candidates), 4 * BATCH):
+        batch = candidates[start:start + 4 * BATCH]
+        keys = F.array(*[
+            F.when(F.pmod(F.xxhash64(*c), F.lit(slices)) == 0,
+                   F.struct(F.lit(i).alias("i"), _value_key(c).alias("key")))
+            for i, c in enumerate(batch)
+        ])
+        repeated = (
+            df.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k.i", "k.key").count()
+            .where("count > 1").select("i").distinct()
+        )
+        found |= {batch[row["i"]] for row in repeated.collect()}
+    return found
+
+
 def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Exact distinct count per column (null is a value), one narrow aggregate each."""
     counts: dict[str, int] = {}
@@ -54,9 +78,7 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
 
     A set is looked at only if no part of it is unique. It then passes up to three sieves, each of which only rejects:
     1. fewer possible values than rows (product of the distinct counts),
-    2. on tables over ``slice_rows`` rows, a repeat among the values of one hash slice.
-       All rows with a value are in the same slice, so a repeat found there is one
-       of the whole table, while only the slice is shuffled,
+    2. on large tables, a repeat among the values of one hash slice of about ``slice_rows`` rows,
     3. the exact test over all rows. Only sets that pass it are reported.
     """
     columns = list(columns or df.columns)
@@ -76,9 +98,9 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
             and reduce(lambda a, b: a * b, (distinct[x] for x in c)) >= rows
         ]
         if slices > 1:
-            refuted = _with_repeats(df, candidates, slices)
+            refuted = _with_repeats_in_slice(df, candidates, slices)
             candidates = [c for c in candidates if c not in refuted]
-        refuted = _with_repeats(df, candidates, 1)
+        refuted = _with_repeats(df, candidates)
         minimal += [c for c in candidates if c not in refuted]
     return minimal
 
