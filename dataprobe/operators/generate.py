@@ -15,17 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataprobe.functions.numbers import prime_flags
+from dataprobe.session import spread
 
 SPREAD_LEVELS = 4
 SEGMENT = 1 << 20
 MAX_CHARSET = 20
 
 
-def _spread(df: DataFrame, *columns: str) -> DataFrame:
-    # An explicit number keeps AQE from merging the small prefixes into one task.
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *columns)
-
-
 def _longest(df: DataFrame, expression: str) -> int:
     return df.agg(F.expr(f"coalesce(max({expression}), 0)").alias("n")).first()["n"]
 
@@ -43,7 +39,7 @@ def permutations(df: DataFrame, charset: str, low: int = 0, high: int | None = N
         "rank": F.lit(0).cast("long"), "word": F.lit(""), "_rest": F.col(charset)})
     for level in range(longest):
         if level == min(SPREAD_LEVELS, longest - 1):
-            grown = _spread(grown, "word", "_rest")
+            grown = spread(grown, "word", "_rest")
         left = F.length("_rest")
         positions = F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(F.array(F.lit(0)))
         grown = grown.withColumn("_at", F.explode(positions)).withColumns({
@@ -68,7 +64,7 @@ def words(df: DataFrame, charset: str, length: str) -> DataFrame:
     grown = df.where((F.length(charset) > 0) | (F.col(length) == 0)).withColumn("word", F.lit(""))
     for level in range(longest):
         if level == min(SPREAD_LEVELS, longest - 1):
-            grown = _spread(grown, "word", charset, length)
+            grown = spread(grown, "word", charset, length)
         open_ = F.length("word") < F.col(length)
         letters = F.when(open_, F.split(charset, "")).otherwise(F.array(F.lit("")))
         grown = grown.withColumn("_next", F.explode(letters)).withColumn(

@@ -70,6 +70,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Distribute few or small rows that are about to grow (by ``explode``) over all tasks.
+
+    AQE merges partitions by their present size, which says nothing about what
+    comes out of them; an explicit number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, 2 * spark.sparkContext.defaultParallelism), *columns)
+
+
 def run_timed(df: DataFrame) -> float:
     """Seconds to compute every row and column of ``df``, keeping nothing."""
     start = time.perf_counter()
