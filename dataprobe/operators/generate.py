@@ -8,13 +8,13 @@ the growth happens inside the tasks, without another shuffle and without a list
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.functions.numbers import prime_flags
 from dataprobe.session import spread
 
 SPREAD_LEVELS = 4
@@ -39,7 +39,7 @@ def permutations(df: DataFrame, charset: str, low: int = 0, high: int | None = N
         "rank": F.lit(0).cast("long"), "word": F.lit(""), "_rest": F.col(charset)})
     for level in range(longest):
         if level == min(SPREAD_LEVELS, longest - 1):
-            grown = spread(grown, "word", "_rest")
+            grown = spread(grown, *df.columns, "word")
         left = F.length("_rest")
         positions = F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(F.array(F.lit(0)))
         grown = grown.withColumn("_at", F.explode(positions)).withColumns({
@@ -64,7 +64,7 @@ def words(df: DataFrame, charset: str, length: str) -> DataFrame:
     grown = df.where((F.length(charset) > 0) | (F.col(length) == 0)).withColumn("word", F.lit(""))
     for level in range(longest):
         if level == min(SPREAD_LEVELS, longest - 1):
-            grown = spread(grown, "word", charset, length)
+            grown = spread(grown, *df.columns, "word")
         open_ = F.length("word") < F.col(length)
         letters = F.when(open_, F.split(charset, "")).otherwise(F.array(F.lit("")))
         grown = grown.withColumn("_next", F.explode(letters)).withColumn(
@@ -75,34 +75,35 @@ def words(df: DataFrame, charset: str, length: str) -> DataFrame:
 def primes(spark: SparkSession, low: int, high: int) -> DataFrame:
     """The primes of [low, high], both ends included, as ``n``.
 
-    The range is cut into segments of about a million numbers and each task sieves its
-    segments; all it needs are the primes up to √high, which it derives itself.
+    The range is cut into segments and each task sieves its segments; all it needs are
+    the primes up to √high, which it derives itself.
     """
     schema = "n bigint"
     low = max(low, 2)
     if high < low:
         return spark.createDataFrame([], schema)
-    count = (high - low) // SEGMENT + 1
+    width = max(SEGMENT, isqrt(high))
+    count = (high - low) // width + 1
     tasks = min(count, 64 * spark.sparkContext.defaultParallelism)
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        divisors = _primes_up_to(int(np.sqrt(high)) + 1)
+        divisors = _primes_up_to(isqrt(high))
         for batch in batches:
             for segment in batch["id"]:
-                first = low + int(segment) * SEGMENT
-                last = min(first + SEGMENT - 1, high)
+                first = low + int(segment) * width
+                last = min(first + width - 1, high)
                 alive = np.ones(last - first + 1, dtype=bool)
-                for p in divisors[: np.searchsorted(divisors, int(np.sqrt(last)) + 1, "right")]:
-                    start = max(p * p, (first + p - 1) // p * p)
-                    alive[start - first::p] = False
+                for p in divisors[: np.searchsorted(divisors, isqrt(last), "right")].tolist():
+                    alive[max(p * p, -(-first // p) * p) - first::p] = False
                 yield pd.DataFrame({"n": first + np.flatnonzero(alive)})
 
     return spark.range(0, count, 1, tasks).mapInPandas(sieve, schema)
 
 
 def _primes_up_to(limit: int) -> np.ndarray:
-    found = [np.array([], dtype=np.int64)]
-    for first in range(0, limit + 1, SEGMENT):
-        block = np.arange(first, min(first + SEGMENT, limit + 1), dtype=np.int64)
-        found.append(block[prime_flags(block)])
-    return np.concatenate(found)
+    alive = np.ones(limit + 1, dtype=bool)
+    alive[:2] = False
+    for p in range(2, isqrt(limit) + 1):
+        if alive[p]:
+            alive[p * p::p] = False
+    return np.flatnonzero(alive)

@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def _row_bytes(df: DataFrame) -> Column:
+    """Size of a row: 8 bytes per value and whatever text, lists and the like add."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0))
+    return size
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                       max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if it is counted and found small; else ask for a merge join.
 
-    Planner estimates do not see how many rows an ``explode`` makes, so the rows
-    are counted; counting stops just past the bound. A merge join lets AQE split
+    Planner estimates do not see how many rows an ``explode`` makes, so rows and
+    bytes are summed up by an aggregate first. A merge join lets AQE split
     a hot key over many tasks.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(df)
     return df.hint("merge")
 

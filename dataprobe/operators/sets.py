@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dataprobe.session import materialize
+
 IN_A, IN_B, IN_BOTH = 1, 2, 3
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
@@ -128,7 +130,9 @@ def _nearest(probes: DataFrame, a: DataFrame, step: int, capacity: int) -> DataF
     )
     if capacity <= BLOCK:
         return near.select("probe", "found")
-    edges = a.where("id is not null").groupBy(block).agg(pick("id").cast("long").alias("edge"))
+    # both are used twice; written down they are computed once
+    near = materialize(near, "near")
+    edges = materialize(a.where("id is not null").groupBy(block).agg(pick("id").cast("long").alias("edge")), "edges")
     far_blocks = near.where("found is null").select((F.col("block") + step).alias("probe")).distinct()
     jumps = _nearest(far_blocks, edges.select(F.col("block").alias("id")), step, capacity // BLOCK)
     landed = jumps.join(edges, jumps["found"] == edges["block"]).select(

@@ -10,52 +10,32 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 16
 SLICE_ROWS = 100_000
 
 
-def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The candidates that hold a repeated value, over all rows; the answer is one row per candidate."""
-    found: set[tuple[str, ...]] = set()
-    for start in range(0, len(candidates), BATCH):
-        batch = candidates[start:start + BATCH]
-        tests = [
-            df.groupBy(*c).count().where("count > 1").select(F.lit(i).alias("i")).limit(1)
-            for i, c in enumerate(batch)
-        ]
-        found |= {batch[row["i"]] for row in reduce(DataFrame.unionByName, tests).collect()}
-    return found
-
-
-def _value_key(columns: Sequence[str]) -> Column:
-    """SHA-256 of the values, each written with its length so that no two rows run together."""
-    texts = [F.col(f"`{c}`").cast("string") for c in columns]
-    return F.sha2(F.concat(*[
-        F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
+def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1) -> set[tuple[str, ...]]:
+    """The candidates that hold a repeated value; the answer is one row per candidate.
 
+    With ``slices`` only the values that hash to slice 0 are looked at. All rows with a
+    value are in the same slice, so a repeat found there is one of the whole table, while
+    only the slice is shuffled; finding none says nothing.
+    """
 
-def _with_repeats_in_slice(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
-    """Candidates that hold a repeated value among those values that hash to slice 0.
+    def repeated(columns: tuple[str, ...]) -> DataFrame:
+        rows = df.select(*columns)
+        if slices > 1:
+            rows = rows.where(F.pmod(F.xxhash64(*columns), F.lit(slices)) == 0)
+        return rows.groupBy(*columns).count().where("count > 1")
 
-    All rows with a value are in the same slice, so a repeat found here is one of the
-    whole table. One scan serves all candidates, and only the slice is shuffled.
-    """
     found: set[tuple[str, ...]] = set()
-    for start in range(0, len(candidates), 4 * BATCH):
-        batch = candidates[start:start + 4 * BATCH]
-        keys = F.array(*[
-            F.when(F.pmod(F.xxhash64(*c), F.lit(slices)) == 0,
-                   F.struct(F.lit(i).alias("i"), _value_key(c).alias("key")))
-            for i, c in enumerate(batch)
-        ])
-        repeated = (
-            df.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k.i", "k.key").count()
-            .where("count > 1").select("i").distinct()
-        )
-        found |= {batch[row["i"]] for row in repeated.collect()}
+    for start in range(0, len(candidates), BATCH):
+        batch = candidates[start:start + BATCH]
+        tests = [repeated(c).select(F.lit(i).alias("i")).limit(1) for i, c in enumerate(batch)]
+        found |= {batch[row["i"]] for row in reduce(DataFrame.unionByName, tests).collect()}
     return found
 
 
@@ -98,7 +78,7 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
             and reduce(lambda a, b: a * b, (distinct[x] for x in c)) >= rows
         ]
         if slices > 1:
-            refuted = _with_repeats_in_slice(df, candidates, slices)
+            refuted = _with_repeats(df, candidates, slices)
             candidates = [c for c in candidates if c not in refuted]
         refuted = _with_repeats(df, candidates)
         minimal += [c for c in candidates if c not in refuted]
@@ -109,3 +89,17 @@ def is_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: does no value of the combination occur twice?"""
     return df.groupBy(*columns).count().agg(
         F.coalesce(F.max("count") <= 1, F.lit(True)).alias("is_unique"))
+
+
+def outcomes(columns: Sequence[str], minimal: Sequence[tuple[str, ...]], max_size: int) -> list[tuple[tuple[str, ...], str]]:
+    """How each column set up to ``max_size`` came out: MINIMAL (unique, reported), FALSE (contains a
+    smaller unique set, dropped) or EXTENDABLE (not unique, goes on with one more column).
+    A test that fails for outside reasons is run again by Spark, so that outcome does not appear."""
+    unique = [set(m) for m in minimal]
+
+    def outcome(candidate: tuple[str, ...]) -> str:
+        if candidate in minimal:
+            return "MINIMAL"
+        return "FALSE" if any(m < set(candidate) for m in unique) else "EXTENDABLE"
+
+    return [(c, outcome(c)) for size in range(1, max_size + 1) for c in combinations(columns, size)]

@@ -31,7 +31,7 @@ def project_arith(spark, folder):
 
 @query("with_columns")
 def with_columns(spark, folder):
-    return table(spark, folder, "nation").select("n_nationkey").withColumns({
+    return table(spark, folder, "customer").select("c_custkey").withColumns({
         "date_today": F.current_date(), "stamp_now": F.current_timestamp(),
         "nulls": F.lit(None).cast("string")})
 

@@ -23,6 +23,11 @@ def stream_distinct_max(spark, folder):
     return streams.run_distinct_max(first.select("user_id").unionByName(second.select("user_id")), "user_id")
 
 
+@query("stream_distinct_all", "SELECT DISTINCT user_id FROM events")
+def stream_distinct_all(spark, folder):
+    return streams.run_batched_copy(streams.distinct_results(_events(spark, folder), "user_id"))
+
+
 @query("stream_lww", LWW_SQL)
 def stream_lww(spark, folder):
     return streams.run_last_writer_wins(

@@ -89,7 +89,9 @@ def test_pairs_of_structs(spark, rows):
 
 def test_broadcast_needs_a_checked_size(spark):
     small, large = (joins.broadcast_if_small(spark.range(n), 10) for n in (10, 11))
+    wide = joins.broadcast_if_small(spark.range(3).withColumn("s", F.repeat(F.lit("x"), F.lit(1000))), 10, 2_000)
     base = spark.range(100)
+    assert "SortMergeJoin" in base.join(wide, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in base.join(small, "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in base.join(large, "id")._jdf.queryExecution().executedPlan().toString()
 

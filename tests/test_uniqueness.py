@@ -43,3 +43,9 @@ def test_max_size_and_check(spark):
     assert uniqueness.discover_uccs(df) == [("a", "b", "c")]
     assert uniqueness.is_unique(df, ["a", "b", "c"]).first()[0] is True
     assert uniqueness.is_unique(df, ["a", "b"]).first()[0] is False
+
+
+def test_outcomes():
+    got = dict(uniqueness.outcomes(["a", "b", "c"], [("a",), ("b", "c")], 2))
+    assert got == {("a",): "MINIMAL", ("b",): "EXTENDABLE", ("c",): "EXTENDABLE", ("a", "b"): "FALSE",
+                   ("a", "c"): "FALSE", ("b", "c"): "MINIMAL"}
