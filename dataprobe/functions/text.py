@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,15 +58,14 @@ def permutation_at(charset: Column, rank: Column) -> Column:
     )
 
 
+SHORT = 256
+
+
 def _common_substring(left: str, right: str) -> str:
     """Longest common substring; among equals the smallest. Whoever shares a
     piece of length k shares one of length k-1, so the length can be bisected."""
     short, long = sorted((left, right), key=len)
-
-    def shared(length: int) -> set[str]:
-        pieces = {short[i:i + length] for i in range(len(short) - length + 1)}
-        return pieces & {long[i:i + length] for i in range(len(long) - length + 1)}
-
+    shared = _shared_pieces(short, long) if len(long) <= SHORT else _shared_pieces_by_name(short, long)
     low, high = 0, len(short)
     while low < high:
         middle = (low + high + 1) // 2
@@ -71,7 +73,44 @@ def _common_substring(left: str, right: str) -> str:
             low = middle
         else:
             high = middle - 1
-    return min(shared(low)) if low else ""
+    return min((short[i:i + low] for i in shared(low)), default="") if low else ""
+
+
+def _shared_pieces(short: str, long: str) -> Callable[[int], list[int]]:
+    """length -> positions in ``short`` whose piece of that length occurs in ``long``."""
+
+    def shared(length: int) -> list[int]:
+        pieces = {long[i:i + length] for i in range(len(long) - length + 1)}
+        return [i for i in range(len(short) - length + 1) if short[i:i + length] in pieces]
+
+    return shared
+
+
+def _shared_pieces_by_name(short: str, long: str) -> Callable[[int], list[int]]:
+    """The same for long texts, without making the pieces.
+
+    Every piece whose length is a power of two gets a number, equal pieces the same one: a piece
+    is a pair of numbers of half its length. A piece of any length is the pair of its overlapping
+    first and last power of two (Karp, Miller and Rosenberg 1972).
+    """
+    points = np.array([ord(c) for c in short] + [-1] + [ord(c) for c in long])
+    names = [np.unique(points, return_inverse=True)[1]]
+
+    def pairs(size: int, shift: int) -> np.ndarray:
+        name = names[size]
+        return name[:len(name) - shift] * np.int64(len(points)) + name[shift:]
+
+    while 2 << len(names) - 1 <= len(short):
+        names.append(np.unique(pairs(len(names) - 1, 1 << len(names) - 1), return_inverse=True)[1])
+
+    def shared(length: int) -> list[int]:
+        size = length.bit_length() - 1
+        keys = pairs(size, length - (1 << size))
+        mine = keys[:len(short) - length + 1]
+        theirs = keys[len(short) + 1:len(points) - length + 1]
+        return np.flatnonzero(np.isin(mine, theirs)).tolist()
+
+    return shared
 
 
 @F.pandas_udf(T.StringType())
