@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 
 from dataprobe.functions.text import sha256_hex
 from dataprobe.operators.generate import permutations, words
-from dataprobe.operators.joins import broadcast_if_small
+from dataprobe.operators.joins import broadcast_if_small, lookup_join
 from dataprobe.session import materialize
 
 
+def records_from_positions(df: DataFrame) -> DataFrame:
+    """Records from a table in file order: id, name, character set, length, token, then any number of hints."""
+    columns = df.columns
+    return df.select(
+        F.col(columns[0]).alias("id"), F.col(columns[4]).alias("token"), F.col(columns[2]).alias("charset"),
+        F.col(columns[3]).cast("int").alias("length"),
+        F.array_compact(F.array(*[F.col(c) for c in columns[5:]])).cast("array<string>").alias("hints"))
+
+
 def resolve_hints(records: DataFrame, charset: str = "charset", hints: str = "hints") -> DataFrame:
     """``(charset, hint, missing)`` for every distinct hint that can be explained.
 
@@ -42,8 +51,8 @@ def reduce_charsets(records: DataFrame, resolved: DataFrame) -> DataFrame:
     ident = ["id", "token", "charset", "length"]
     missing_bit = F.expr("shiftleft(1L, instr(charset, missing) - 1)")
     bits = (
-        records.select(*ident, F.explode_outer("hints").alias("hint"))
-        .join(broadcast_if_small(resolved), ["charset", "hint"], "left")
+        lookup_join(records.select(*ident, F.explode_outer("hints").alias("hint")), resolved,
+                    ["charset", "hint"], "left")
         .groupBy(*ident)
         .agg(F.bit_or(F.when(F.col("missing").isNotNull(), missing_bit).otherwise(F.lit(0).cast("long")))
              .alias("gone"))
@@ -77,5 +86,5 @@ def resolve_against(records: DataFrame, domain: DataFrame) -> DataFrame:
 
 def attach_values(records: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """Left join of each record to its clear text; NULL and ``resolved = false`` without one."""
-    return records.join(broadcast_if_small(found), on, "left").select(
+    return lookup_join(records, found, on, "left").select(
         "id", "token", "value", F.col("value").isNotNull().alias("resolved"))

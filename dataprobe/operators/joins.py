@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dataprobe.session import materialize
+
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
+HOT_ROWS = 2_000_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -24,28 +28,65 @@ def _row_bytes(df: DataFrame) -> Column:
     return size
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                       max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast if it is counted and found small; else ask for a merge join.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if it was counted and found small; else ask for a merge join."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df.hint("merge")
 
-    Planner estimates do not see how many rows an ``explode`` makes, so rows and
-    bytes are summed up by an aggregate first. A merge join lets AQE split
-    a hot key over many tasks.
-    """
+
+def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Are there few enough rows and bytes to send to every executor? Both are summed up by an
+    aggregate, since planner estimates do not see how many rows an ``explode`` makes."""
     rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
-    if rows <= max_rows and size <= max_bytes:
-        return F.broadcast(df)
-    return df.hint("merge")
+    return rows <= (max_rows or MAX_BROADCAST_ROWS) and size <= (max_bytes or MAX_BROADCAST_BYTES)
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+                hot: DataFrame | None = None) -> DataFrame:
+    """Join to a side with at most one row per key; ``how`` is inner, left, left_semi or left_anti.
+
+    A small right side is broadcast. Otherwise rows are shuffled, and a key that holds more than ``HOT_ROWS``
+    rows of the left side would end in one task; AQE looks at compressed bytes and
+    can miss it. There are few such keys, and one right row for each: that part is joined
+    by broadcast, the rest by a merge join. Rows with a null key match nothing and are not shuffled.
+
+    ``hot`` names the hot keys if the caller knows them; else the left keys are counted.
+    """
+    on = list(on)
+    if is_small(right):
+        return left.join(F.broadcast(right), on, how)
+    if hot is None:
+        hot = left.groupBy(*on).count().where(F.col("count") > HOT_ROWS).select(*on)
+    hot = materialize(hot.dropna(), "hot-keys")
+    if hot.isEmpty():
+        parts = [_keyed(left, on).join(right.hint("merge"), on, how)]
+    else:
+        keys = broadcast_if_small(hot)
+        hot_right = materialize(right.join(keys, on, "left_semi"), "hot-rows")
+        parts = [
+            left.join(keys, on, "left_semi").join(broadcast_if_small(hot_right), on, how),
+            _keyed(left, on).join(keys, on, "left_anti").join(right.hint("merge"), on, how),
+        ]
+    if how in ("left", "left_anti"):
+        unmatched = left.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on]))
+        wanted = parts[0].schema
+        parts.append(unmatched.select(*[
+            F.col(f.name) if f.name in left.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in wanted.fields]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _keyed(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.dropna(subset=list(on))
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``listed``, sent to every executor if small."""
-    return df.join(broadcast_if_small(listed.select(key).distinct()), key, "left_semi")
+    """Rows whose key occurs in ``listed``."""
+    return lookup_join(df, listed.select(key).distinct(), [key], "left_semi")
 
 
 def drop_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Rows whose key does not occur in ``listed``; null keys stay."""
-    return df.join(broadcast_if_small(listed.select(key).distinct()), key, "left_anti")
+    return lookup_join(df, listed.select(key).distinct(), [key], "left_anti")
 
 
 def others_with_same_key(df: DataFrame, key: str, ident: str) -> DataFrame:
@@ -53,10 +94,11 @@ def others_with_same_key(df: DataFrame, key: str, ident: str) -> DataFrame:
     partner, how many partners it has and the id of one of them (the smallest id of the
     key; for that row itself the greatest). Ids must be unique within a key.
     """
-    ends = df.groupBy(key).agg(
+    ends = materialize(df.groupBy(key).agg(
         F.count("*").alias("rows"), F.min(ident).alias("first"), F.max(ident).alias("last")
-    ).where("rows > 1")
-    return df.select(key, ident).join(ends, key).select(
+    ).where("rows > 1"), "ends")
+    hot = ends.where(F.col("rows") > HOT_ROWS).select(key)
+    return lookup_join(df.select(key, ident), ends, [key], hot=hot).select(
         ident, key, (F.col("rows") - 1).alias("partners"),
         F.when(F.col(ident) == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner"),
     )
@@ -67,15 +109,17 @@ def pair_with_latest(df: DataFrame, key: str, order: Sequence[str], ident: str,
     """Each row beside the latest *other* row of its key, as structs ``a`` and ``b``:
     one partner per row, so the result is as long as the input."""
     row = F.struct(*columns)
-    latest = df.groupBy(key).agg(F.max_by(row, F.struct(*order, ident)).alias("b"))
-    return df.select(key, row.alias("a")).join(latest, key).where(
+    latest = materialize(df.groupBy(key).agg(
+        F.max_by(row, F.struct(*order, ident)).alias("b"), F.count("*").alias("rows")), "latest")
+    hot = latest.where(F.col("rows") > HOT_ROWS).select(key)
+    return lookup_join(df.select(key, row.alias("a")), latest.drop("rows"), [key], hot=hot).where(
         F.col(f"a.{ident}") != F.col(f"b.{ident}")
     ).select("a", "b")
 
 
 def match_digests(candidates: DataFrame, wanted: DataFrame, digest: str) -> DataFrame:
     """Candidates whose digest is wanted, each once however often it is wanted."""
-    return candidates.join(broadcast_if_small(wanted.select(digest).distinct()), digest, "left_semi")
+    return keep_listed(candidates, wanted, digest)
 
 
 def bloom_buckets(df: DataFrame, key: str, size: int, bucket: str = "bucket") -> DataFrame:
@@ -86,19 +130,15 @@ def bloom_buckets(df: DataFrame, key: str, size: int, bucket: str = "bucket") ->
 
 
 def bloom_contains(df: DataFrame, buckets: DataFrame, key: str, size: int) -> DataFrame:
-    """``df`` with ``maybe``: false means surely absent. ``buckets`` has at most ``size``
-    rows, so it can be broadcast when ``size`` is moderate."""
+    """``df`` with ``maybe``: false means surely absent. There are at most ``size`` buckets."""
     side = buckets.select(F.col("bucket").alias("_bucket"), F.lit(True).alias("maybe"))
-    side = F.broadcast(side) if size <= MAX_BROADCAST_ROWS else side.hint("merge")
-    return (
-        df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(size)))
-        .join(side, "_bucket", "left").drop("_bucket")
-        .withColumn("maybe", F.coalesce("maybe", F.lit(False)))
-    )
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(size)))
+    return lookup_join(keyed, side, ["_bucket"], "left").drop("_bucket").withColumn(
+        "maybe", F.coalesce("maybe", F.lit(False)))
 
 
 def bloom_semi_join(df: DataFrame, other: DataFrame, key: str, size: int = 1 << 18) -> DataFrame:
     """Exact semi join; rows in empty buckets are dropped before the shuffle."""
     keys = other.select(key).where(F.col(key).isNotNull()).distinct()
     likely = bloom_contains(df, bloom_buckets(keys, key, size), key, size).where("maybe").drop("maybe")
-    return likely.join(keys, key, "left_semi")
+    return lookup_join(likely, keys, [key], "left_semi")

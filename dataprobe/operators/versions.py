@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.operators.joins import broadcast_if_small
+from dataprobe.operators import joins
 from dataprobe.session import materialize
 
 LONG_HISTORY = 1_000
@@ -47,9 +47,10 @@ def lamport_fold(writes: DataFrame, long_history: int = LONG_HISTORY,
     rows = long_keys.agg(F.sum("count")).first()[0]
     if not rows:
         return _fold_in_aggregate(writes)
-    side = broadcast_if_small(long_keys.select("key"))
-    return _fold_in_aggregate(writes.join(side, "key", "left_anti")).unionByName(
-        _fold_blocks(writes.join(side, "key", "left_semi"), rows // block_rows + 1))
+    keys = long_keys.select("key")
+    hot = long_keys.where(F.col("count") > joins.HOT_ROWS).select("key")
+    short, long = (joins.lookup_join(writes, keys, ["key"], how, hot) for how in ("left_anti", "left_semi"))
+    return _fold_in_aggregate(short).unionByName(_fold_blocks(long, rows // block_rows + 1))
 
 
 def _fold_in_aggregate(writes: DataFrame) -> DataFrame:

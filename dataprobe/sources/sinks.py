@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 
 def show_rows(df: DataFrame, n: int = 20) -> None:
@@ -33,6 +34,9 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
-    """One value per line in global order: the files follow each other, no task holds all lines."""
-    df.select(df[column].cast("string").alias(column)).where(f"`{column}` is not null").repartitionByRange(
-        column).sortWithinPartitions(column).write.text(path)
+    """One value per line in global order: the files follow each other, no task holds all lines.
+    Copies of one value are split by the partition they come from, so a frequent value fills
+    several files instead of one."""
+    lines = df.select(F.col(column).cast("string").alias("line")).where("line is not null").withColumn(
+        "origin", F.spark_partition_id())
+    lines.repartitionByRange("line", "origin").sortWithinPartitions("line").select("line").write.text(path)

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from dataprobe.operators import audit
+from dataprobe.operators import audit, joins
+from dataprobe.sources import readers
 
 
 def sha(text):
@@ -47,9 +49,13 @@ def test_tokens(spark):
     assert all(r["resolved"] == (r["value"] is not None) for r in got)
 
 
-def test_same_result_beyond_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [1, 1_000])
+def test_same_result_beyond_the_broadcast_bound(spark, monkeypatch, hot_rows):
     records, secrets = make(12, seed=8)
-    monkeypatch.setattr(audit, "broadcast_if_small", lambda df, *_: df.hint("merge"))
+    records += [(i, *records[0][1:]) for i in range(50, 60)]
+    secrets |= {i: secrets[0] for i in range(50, 60)}
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     got = audit.resolve_tokens(spark.createDataFrame(records, SCHEMA))
     assert {r["id"]: r["value"] for r in got.collect()} == secrets
 
@@ -59,3 +65,13 @@ def test_supplied_domain(spark, rows):
     domain = spark.range(2, 5).select(F.col("id").alias("value"))
     got = {r["id"]: (r["value"], r["resolved"]) for r in audit.resolve_against(records, domain).collect()}
     assert got == {0: (None, False), 1: (None, False), 2: ("2", True), 3: ("3", True), 4: ("4", True), 5: (None, False)}
+
+
+def test_records_in_file_order(spark, tmp_path):
+    records, secrets = make(8, seed=5)
+    lines = ["ID;Name;Chars;Length;Token;Hint1;Hint2;Hint3;Hint4"]
+    lines += [";".join([str(i), f"n{i}", charset, str(length), token, *hints]) for i, token, charset, length, hints in records]
+    (tmp_path / "records.csv").write_text("\n".join(lines))
+    spec = readers.CsvSpec(str(tmp_path), name="records", ending=".csv", separator=";", infer=True)
+    got = audit.resolve_tokens(audit.records_from_positions(readers.read_csv(spark, spec)))
+    assert {r["id"]: r["value"] for r in got.collect()} == secrets

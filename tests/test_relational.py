@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +97,24 @@ def test_broadcast_needs_a_checked_size(spark):
     assert "SortMergeJoin" in base.join(large, "id")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("max_rows, hot_rows", [(None, 10), (5, 10), (5, 10_000)])
+def test_lookup_join_with_a_hot_key(spark, rows, monkeypatch, how, max_rows, hot_rows):
+    """A third of the rows hold one key, some none; every way gives what a plain join gives."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 100).cast("long")
+    left = spark.range(600).select("id", key.alias("k"))
+    right = spark.range(0, 60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    expected = rows(left.join(right, "k", how))
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", max_rows or 1_000)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    got = joins.lookup_join(left, right, ["k"], how)
+    assert rows(got) == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (max_rows == 5)
+    if max_rows == 5 and hot_rows == 10:
+        assert "BroadcastHashJoin" in plan
+
+
 def test_bloom(spark):
     left = spark.range(5_000).select((F.col("id") % 1_700).alias("k"))
     right = spark.range(0, 300, 3).select(F.col("id").alias("k"))
