@@ -104,7 +104,7 @@ def random_set(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return df.where(draw < int(share * steps)).select(F.col(key).alias("id"))
 
 
-def _nearest(probes: DataFrame, a: DataFrame, step: int, capacity: int) -> DataFrame:
+def _nearest(probes: DataFrame, a: DataFrame, step: int, span: int) -> DataFrame:
     """``(probe, found)`` with the nearest id at or after (step 1) or before (step -1) each probe.
 
     Ids are cut into blocks of 65,536 numbers. Within a block a window looks at
@@ -128,13 +128,13 @@ def _nearest(probes: DataFrame, a: DataFrame, step: int, capacity: int) -> DataF
         .where(F.col("kind") != IN_B)
         .select(F.col("id").alias("probe"), "block", "found")
     )
-    if capacity <= BLOCK:
+    if span <= BLOCK:
         return near.select("probe", "found")
     # both are used twice; written down they are computed once
     near = materialize(near, "near")
     edges = materialize(a.where("id is not null").groupBy(block).agg(pick("id").cast("long").alias("edge")), "edges")
     far_blocks = near.where("found is null").select((F.col("block") + step).alias("probe")).distinct()
-    jumps = _nearest(far_blocks, edges.select(F.col("block").alias("id")), step, capacity // BLOCK)
+    jumps = _nearest(far_blocks, edges.select(F.col("block").alias("id")), step, span // BLOCK + 1)
     landed = jumps.join(edges, jumps["found"] == edges["block"]).select(
         (F.col("probe") - step).alias("block"), "edge")
     return near.join(landed, "block", "left").select("probe", F.coalesce("found", "edge").alias("found"))
@@ -148,14 +148,22 @@ def _answer(found: DataFrame, probe: str, name: str) -> DataFrame:
     return found.select(F.col("probe").alias(probe), F.coalesce("found", F.lit(-1)).alias(name))
 
 
-def next_set(probes: DataFrame, a: DataFrame, probe: str = "probe", capacity: int = CAPACITY) -> DataFrame:
-    """Per distinct probe the smallest id >= probe, -1 if none. Ids must be below ``capacity``."""
-    return _answer(_nearest(_distinct_probes(probes, probe), a, 1, capacity), probe, "next_set")
+def _span(probes: DataFrame, a: DataFrame) -> int:
+    """A number above every id and probe, with a block to spare: it decides the levels of blocks."""
+    tops = probes.agg(F.max("probe").cast("long").alias("n")).unionByName(a.agg(F.max("id").cast("long").alias("n")))
+    return (tops.agg(F.max("n")).first()[0] or 0) + BLOCK
 
 
-def previous_set(probes: DataFrame, a: DataFrame, probe: str = "probe", capacity: int = CAPACITY) -> DataFrame:
+def next_set(probes: DataFrame, a: DataFrame, probe: str = "probe") -> DataFrame:
+    """Per distinct probe the smallest id >= probe, -1 if none."""
+    asked = _distinct_probes(probes, probe)
+    return _answer(_nearest(asked, a, 1, _span(asked, a)), probe, "next_set")
+
+
+def previous_set(probes: DataFrame, a: DataFrame, probe: str = "probe") -> DataFrame:
     """Per distinct probe the greatest id <= probe, -1 if none."""
-    return _answer(_nearest(_distinct_probes(probes, probe), a, -1, capacity), probe, "previous_set")
+    asked = _distinct_probes(probes, probe)
+    return _answer(_nearest(asked, a, -1, _span(asked, a)), probe, "previous_set")
 
 
 def _gaps_beside(a: DataFrame, step: int) -> DataFrame:
@@ -164,21 +172,20 @@ def _gaps_beside(a: DataFrame, step: int) -> DataFrame:
     return set_and_not(ids.select((F.col("id") + step).alias("id")), ids)
 
 
-def _gap(probes: DataFrame, a: DataFrame, probe: str, step: int, capacity: int, past: Column,
-         name: str) -> DataFrame:
+def _gap(probes: DataFrame, a: DataFrame, probe: str, step: int, past: Column, name: str) -> DataFrame:
     """A clear probe answers itself; a set one lands on the gap at the end of its run."""
     asked = _distinct_probes(probes, probe)
     sides = membership(asked.select(F.col("probe").alias("id")), a.select(F.col("id").cast("long").alias("id")))
     clear = sides.where(f"sides = {IN_A}").select(F.col("id").alias("probe"), F.col("id").alias("found"))
     held = sides.where(f"sides = {IN_BOTH}").select(F.col("id").alias("probe"))
-    found = clear.unionByName(_nearest(held, _gaps_beside(a, step), step, capacity))
+    found = clear.unionByName(_nearest(held, _gaps_beside(a, step), step, _span(asked, a)))
     return found.select(F.col("probe").alias(probe), past.alias(name))
 
 
 def next_gap(probes: DataFrame, a: DataFrame, probe: str = "probe", capacity: int = CAPACITY) -> DataFrame:
     """Per distinct probe the smallest clear position >= probe; -1 at or past ``capacity``."""
     inside = F.when(F.col("found") < capacity, F.col("found")).otherwise(F.lit(-1))
-    return _gap(probes, a, probe, 1, capacity + BLOCK, inside, "next_gap")
+    return _gap(probes, a, probe, 1, inside, "next_gap")
 
 
 def previous_gap(probes: DataFrame, a: DataFrame, probe: str = "probe", capacity: int = CAPACITY) -> DataFrame:
@@ -186,4 +193,4 @@ def previous_gap(probes: DataFrame, a: DataFrame, probe: str = "probe", capacity
     ``capacity`` answers itself."""
     past = F.when(F.col("probe") >= capacity, F.col("probe")).otherwise(
         F.when(F.col("found") >= 0, F.col("found")).otherwise(F.lit(-1)))
-    return _gap(probes, a, probe, -1, capacity, past, "previous_gap")
+    return _gap(probes, a, probe, -1, past, "previous_gap")

@@ -84,6 +84,7 @@ def expected(probes, held, capacity):
     (list(range(65_530, 65_545)) + [200_000, 131_072, 131_071], [0, 65_530, 65_535, 65_536, 65_545, 131_071, 131_073, 199_999, 300_000], 1 << 32),
     ([3_000_000_000, 5], [0, 6, 2_999_999_999, 3_000_000_000, 3_000_000_001], 1 << 32),
     ([1 << 40, 1 << 20], [0, (1 << 20) + 1, (1 << 40) + 1], 1 << 48),
+    ([65_535, 1 << 32], [65_535, 65_536, 4_294_901_760, (1 << 32) - 1, 1 << 32], 1 << 40),
 ])
 def test_neighbours(spark, ids, held, probes, capacity):
     asked = spark.createDataFrame([(p,) for p in probes * 2], "probe long")
@@ -91,7 +92,8 @@ def test_neighbours(spark, ids, held, probes, capacity):
     wanted = expected(probes, set(held), capacity)
     operators = (sets.next_set, sets.previous_set, sets.next_gap, sets.previous_gap)
     for i, operator in enumerate(operators):
-        assert ask(operator, asked, a, capacity=capacity) == {p: w[i] for p, w in wanted.items()}, operator.__name__
+        how = {"capacity": capacity} if i > 1 else {}
+        assert ask(operator, asked, a, **how) == {p: w[i] for p, w in wanted.items()}, operator.__name__
 
 
 def test_random_set_is_stable(spark):
