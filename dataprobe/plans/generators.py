@@ -156,7 +156,8 @@ SELECT user_id, event_type, counter, event_id FROM (
 
 
 def versioned_events(events):
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long")
+    # hours since 1970 from the calendar fields, which no session time zone can shift
+    hour = (F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")).cast("long")
     return events.select("user_id", "event_type", hour.alias("counter"), "event_id")
 
 
