@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import mixing, sharding, urls
+from dataprobe.llm import mixing, sharding, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +62,20 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op3_simhash_dedup")
+def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    # The text is reduced to its fingerprint first, so that it isn't moved or read again.
+    coded = simhash.with_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+    return simhash.components_of(coded.select("row.doc_id", "fp"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 #: Three sources get set shares, src0 (which may hold a third of all rows) among them; all the others share the rest.
 MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, **{f"src{i}": 1.0 for i in range(3, 20)}}
 
