@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import time
 import uuid
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,22 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(max(wanted, 2 * spark.sparkContext.defaultParallelism), *columns)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_dataprobe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="dataprobe-"), "dataprobe.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.join("dataprobe", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._dataprobe_shipped = True
+
+
 def run_timed(df: DataFrame) -> float:
     """Seconds to compute every row and column of ``df``, keeping nothing."""
     start = time.perf_counter()
