@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import mixing, sharding, simhash, tokens, urls
+from dataprobe.llm import decontaminate, mixing, sharding, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,32 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+_LEAK_SQL = r"""
+    WITH texts AS (
+        SELECT DISTINCT item_id AS id, 'item' AS kind, text FROM benchmark
+        UNION ALL SELECT doc_id, 'doc', text FROM documents),
+    listed AS (
+        SELECT row_number() OVER () AS rid, id, kind, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+        FROM texts),
+    shingles AS (
+        SELECT DISTINCT rid, id, kind, array_to_string(w[i:i + 4], ' ') AS s
+        FROM listed, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
+    items AS (SELECT rid, id, s, count(*) OVER (PARTITION BY rid) AS n FROM shingles WHERE kind = 'item'),
+    shared AS (
+        SELECT d.rid, d.id AS doc_id, i.rid AS irid, i.id AS item_id, any_value(i.n) AS n_item, count(*) AS n_shared
+        FROM shingles d JOIN items i ON d.kind = 'doc' AND d.s = i.s GROUP BY ALL)
+    SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+    FROM shared WHERE n_shared * 10 >= n_item * 8"""
+
+
+@query("op2_decontaminate", _LEAK_SQL)
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
 @query("op3_simhash_dedup")
 def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     # The text is reduced to its fingerprint first, so that it isn't moved or read again.
