@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import decontaminate, mixing, sharding, simhash, tokens, urls
+from dataprobe.llm import decontaminate, mixing, sharding, simhash, tokens, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,12 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op8_vector_dedup")
+def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 #: Three sources get set shares, src0 (which may hold a third of all rows) among them; all the others share the rest.
 MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, **{f"src{i}": 1.0 for i in range(3, 20)}}
 
