@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import decontaminate, mixing, sharding, simhash, tokens, urls, vectors
+from dataprobe.llm import decontaminate, mixing, quality, sharding, simhash, tokens, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,27 @@ def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(coded.select("row.doc_id", "fp"))
 
 
+#: Labels whose ids have this remainder are held out: no model sees them.
+FOLDS, HELD_OUT = 4, 2
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.AdditiveModel:
+    """The quality model, from the labels that aren't held out."""
+    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    return quality.train(table(spark, folder, "documents"), labels)
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality_model(spark, folder), threshold=0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
