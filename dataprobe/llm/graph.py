@@ -13,18 +13,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``; the component is its smallest node.
 
     Alternates the published large-star and small-star steps: link all greater neighbours of a node, then all smaller
-    ones, to its smallest neighbour, until nothing changes. The minimum is combined before the shuffle, the join that
-    follows can be split by AQE where a node has very many links, and each round is written down.
+    ones, to its smallest neighbour, until nothing changes. The minimum is combined before the shuffle and written
+    down, so that AQE can split the join that follows where a node has very many links.
     """
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                         "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        lowest = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
         large = both.where("b > a").join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "links")
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
         small = large.join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(lowest.select("a", F.col("low").alias("b")))
         links = materialize(small.where("a <> b").distinct(), "links")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import decontaminate, mixing, quality, sharding, simhash, tokens, urls, vectors
+from dataprobe.llm import decontaminate, mixing, pages, quality, sharding, simhash, tokens, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,6 +123,12 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 @query("op8_vector_dedup")
 def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.9)
