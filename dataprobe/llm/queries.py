@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import decontaminate, mixing, pages, quality, sharding, simhash, tokens, urls, vectors
+from dataprobe.llm import decontaminate, mixing, pages, passages, quality, sharding, simhash, tokens, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,31 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+_PASSAGE_SQL = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    windows AS (
+        SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+        FROM docs, unnest(range(1, len(w) - 11)) t(i) WHERE len(w) >= 13),
+    firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+    removed AS (
+        SELECT DISTINCT rid, i + k AS j FROM windows JOIN firsts USING (g), unnest(range(13)) t(k) WHERE doc_id > least),
+    words AS (SELECT rid, j, w[j] AS word FROM docs, unnest(range(1, len(w) + 1)) t(j)),
+    kept AS (
+        SELECT rid, string_agg(word, ' ' ORDER BY j) AS body
+        FROM words ANTI JOIN removed USING (rid, j) GROUP BY rid),
+    counts AS (SELECT rid, count(*) AS n FROM removed GROUP BY rid)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (rid) LEFT JOIN counts USING (rid)"""
+
+
+@query("op1_passage_dedup", _PASSAGE_SQL)
+def op1_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = passages.remove_repeated_passages(table(spark, folder, "documents").select("doc_id", "text"), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 _LEAK_SQL = r"""
     WITH texts AS (
         SELECT DISTINCT item_id AS id, 'item' AS kind, text FROM benchmark
