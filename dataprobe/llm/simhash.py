@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from dataprobe.llm.common import Words, map_arrow, materialize, pieces, row_column, with_new_columns
 from dataprobe.llm.graph import Forest, connected_components
+from dataprobe.operators.joins import lookup_join
 
-RADIUS = 3
+RADIUS, SEED = 3, 42
 #: Fingerprints from which the shared part of the tree is built; a leaf of it holds at least 16 of them.
 SAMPLE, SAMPLE_PER_LEAF = 1 << 14, 16
 #: Fingerprints per leaf that are wanted of the shared tree, and compared directly within a task.
 LEAF_ROWS, BLOCK = 20_000, 512
 
 
-def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
+def fingerprints(array: pa.Array, shingle: int = 3, seed: int = SEED) -> np.ndarray:
     """64-bit SimHash of each text: words ``[^\\x20\\x09-\\x0D]+`` after A-Z were lower-cased, shingles joined by a space
-    (repeats count; fewer words: the whole sequence), XXH64 with seed 42. A bit is set if it is set in
+    (repeats count; fewer words: the whole sequence), XXH64 with ``seed``. A bit is set if it is set in
     over half the hashes. A text without words has fingerprint 0."""
     words = Words(array, lower=True)
     counts = words.counts()
@@ -31,7 +32,7 @@ def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
     begin = np.arange(offsets[-1]) + np.repeat(words.first[:-1] - offsets[:-1], n)
     last = begin + np.repeat(np.minimum(counts, shingle) - 1, n)
     text, digest = memoryview(words.text), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(words.at[begin].tolist(), words.to[last].tolist())),
+    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(words.at[begin].tolist(), words.to[last].tolist())),
                          dtype=np.uint64, count=int(offsets[-1]))
     out = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(n)
@@ -45,18 +46,21 @@ def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
     """``row`` (all columns of ``docs``) and ``fp``, the fingerprint as a signed number. Null texts count as empty."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(row_column(docs).alias("row"), body.alias("body")).select("row", _fingerprint(shingle, seed)("body").alias("fp"))
+
 
+def _fingerprint(shingle: int, seed: int) -> Callable:
     @F.arrow_udf("long")
     def fingerprint(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
-            found = [fingerprints(piece["text"], shingle)
+            found = [fingerprints(piece["text"], shingle, seed)
                      for piece in pieces(iter([pa.record_batch({"text": array})]), "text")]
             yield pa.array(np.concatenate(found or [np.zeros(0, dtype=np.uint64)]).view(np.int64))
 
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(row_column(docs).alias("row"), body.alias("body")).select("row", fingerprint("body").alias("fp"))
+    return fingerprint
 
 
 def distances(fps: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -124,10 +128,12 @@ def choose_split(points: np.ndarray) -> tuple[np.uint64, int] | None:
     return None if best is None else best[1:]
 
 
-def local_links(home: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
-    """For the fingerprints ``home + guests``: each one's root in the forest of the links that home takes part in."""
+def local_links(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the fingerprints ``home + guests``: each one's root in the forest of the links that home takes part in, and
+    the nearest one before it that it is linked with (itself if there is none)."""
     fps = np.concatenate([home, guests])
     forest = Forest(len(fps))
+    nearest = np.arange(len(fps)) + (np.int64(64) << 40)
     stack = [(np.arange(len(home)), np.arange(len(home), len(fps)))]
     while stack:
         h, g = stack.pop()
@@ -145,14 +151,18 @@ def local_links(home: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray
             block = h[i:i + BLOCK]
             for j in range(i, len(others), 64 * BLOCK):
                 part = others[j:j + 64 * BLOCK]
-                a, b = np.nonzero(np.bitwise_count(fps[block][:, None] ^ fps[part][None, :]) <= radius)
-                forest.link(block[a], part[b])
-    return forest.parent
-
-
-def link_fingerprints(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(node, component)`` for the nodes of ``unique (fp, node)``, with distinct fingerprints and numbers, that have another
-    within ``radius`` differing bits; chains of links make a component, named by its smallest node."""
+                differing = np.bitwise_count(fps[block][:, None] ^ fps[part][None, :])
+                a, b = np.nonzero(differing <= radius)
+                bits, a, b = differing[a, b].astype(np.int64), block[a], part[b]
+                forest.link(a, b)
+                np.minimum.at(nearest, np.maximum(a, b), np.where(a == b, np.int64(64), bits) << 40 | np.minimum(a, b))
+    return forest.parent, nearest & ((1 << 40) - 1)
+
+
+def fingerprint_links(unique: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ``unique (fp, node)``, with distinct fingerprints, that connect whatever chains of
+    pairs with at most ``radius`` differing bits connect: in each leaf of the tree one for each node but the first.
+    ``nearest`` adds each node's link to the nearest one before it."""
     spark = unique.sparkSession
     total = unique.count()
     sample = np.array([r[0] for r in unique.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()],
@@ -170,14 +180,14 @@ def link_fingerprints(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         fps, nodes, home = (table[c].to_numpy() for c in ("fp", "node", "home"))
-        order = np.argsort(~home, kind="stable")
+        order = np.lexsort((nodes, ~home))
         fps, nodes, lives = fps[order].view(np.uint64), nodes[order], int(home.sum())
-        root = local_links(fps[:lives], fps[lives:], radius)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": nodes[linked], "b": nodes[root[linked]]})
+        roots, near = local_links(fps[:lives], fps[lives:], radius)
+        parts = [(np.flatnonzero(x != np.arange(len(x))), x) for x in ([roots, near] if nearest else [roots])]
+        return pa.table({"a": np.concatenate([nodes[i] for i, _ in parts]), "b": np.concatenate([nodes[x[i]] for i, x in parts])})
 
     dealt = map_arrow(unique, route, "leaf int, fp long, node long, home boolean")
-    return connected_components(dealt.groupBy("leaf").applyInArrow(compare, "a long, b long"))
+    return dealt.groupBy("leaf").applyInArrow(compare, "a long, b long")
 
 
 def components_of(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -190,7 +200,7 @@ def components_of(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
 def component_names(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(fp, component)`` for each fingerprint of ``coded (doc_id, fp)``. Equal fingerprints become one row at once."""
     unique = materialize(coded.groupBy("fp").agg(F.min("doc_id").alias("node")), "unique")
-    linked = link_fingerprints(unique.where("node IS NOT NULL"), radius)
+    linked = connected_components(fingerprint_links(unique.where("node IS NOT NULL"), radius))
     return unique.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
 
 
@@ -207,3 +217,69 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     names = component_names(coded.select(F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), "fp"), radius)
     return coded.join(names.hint("merge"), "fp").select(*with_new_columns(
         docs.columns, "row", fingerprint=F.lower(F.lpad(F.hex("fp"), 16, "0")), component_id=F.col("component")))
+
+
+def shingle_similarity(a: pa.Array, b: pa.Array, shingle: int) -> list[float]:
+    """Jaccard similarity of the distinct word shingles of two texts each; 1 for two texts without words."""
+    sides = []
+    for array in (a, b):
+        words = Words(array, lower=True)
+        text, last = words.text, np.minimum(np.arange(len(words.at)) + shingle, np.repeat(words.first[1:], words.counts())) - 1
+        spans = list(zip(words.at.tolist(), words.to[last].tolist()))
+        sides.append([{text[x:y].tobytes() for x, y in spans[lo:max(hi - shingle, lo) + 1]} if hi > lo else set()
+                      for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist())])
+    return [len(x & y) / len(x | y) if x or y else 1.0 for x, y in zip(*sides)]
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, shingle: int = 5,
+                         seeds: Sequence[int] = (42, 43, 44), radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the document with the smallest id stays.
+
+    Equal texts are one group. Between different texts SimHash proposes links: fingerprints of single words, by several
+    ``seeds``, that differ in at most ``radius`` bits, found by the vantage-point tree. Each document is compared with the
+    nearest and the first one before it in a leaf and with the first of its chain, by ``shingle``-word shingles, and linked from
+    ``similarity`` up. (Longer shingles would move the bits of a fingerprint more with each changed word.)
+
+    Of rows that share an id and a text all stay or go. Rows with null ids stay. A null text counts as empty.
+    """
+    spark = docs.sparkSession
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(row_column(docs).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("body"))
+    coded = rows.where("id IS NOT NULL").select("id", F.md5(F.col("body").cast("binary")).alias("text_key"), "body")
+    for k, seed in enumerate(seeds):
+        coded = coded.withColumn(f"fp{k}", _fingerprint(1, seed)("body"))
+    coded = materialize(coded.drop("body"), "coded")
+    texts = materialize(coded.groupBy("text_key").agg(
+        F.min("id").alias("node"), *[F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds))]), "texts")
+    proposed = None
+    for k in range(len(seeds)):
+        unique = materialize(texts.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("node").alias("node")), "unique")
+        same = texts.join(unique.hint("merge"), texts[f"fp{k}"] == unique["fp"]).select(
+            texts["node"].alias("a"), unique["node"].alias("b"))
+        links = same.where("a <> b").unionByName(fingerprint_links(unique, radius, nearest=True))
+        proposed = links if proposed is None else proposed.unionByName(links)
+    proposed = materialize(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
+    chains = connected_components(proposed).where("node <> component").select(
+        F.col("node").alias("a"), F.col("component").alias("b"))
+    proposed = materialize(proposed.unionByName(chains).distinct(), "proposed")
+    ends = materialize(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    # One text for each id that a link names: that of the group it stands for.
+    named = ends.join(texts.select(F.col("node").alias("id"), "text_key").hint("merge"), "id")
+    named = materialize(lookup_join(
+        rows.where("id IS NOT NULL").select("id", F.md5(F.col("body").cast("binary")).alias("text_key"), "body"),
+        named, ["id", "text_key"]).groupBy("id", "text_key").agg(F.first("body").alias("body")), "named")
+
+    @F.arrow_udf("double")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(shingle_similarity(a, b, shingle), type=pa.float64())
+
+    pairs = proposed.join(named.select(F.col("id").alias("a"), F.col("text_key").alias("key_a"), F.col("body").alias("text_a")).hint("merge"), "a")
+    pairs = pairs.join(named.select(F.col("id").alias("b"), F.col("text_key").alias("key_b"), F.col("body").alias("text_b")).hint("merge"), "b")
+    near = materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+    losers = connected_components(near).where("node <> component").select("node")
+    groups = texts.join(losers.hint("merge"), "node", "left").select("text_key", "node", losers["node"].isNotNull().alias("lost"))
+    gone = coded.select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(
+        F.col("lost") | (F.col("id") != F.col("node"))).select("id", "text_key")
+    kept = lookup_join(rows.withColumn("text_key", F.md5(F.col("body").cast("binary"))), materialize(gone, "gone"),
+                       ["id", "text_key"], "left_anti")
+    return kept.select(*with_new_columns(docs.columns, "row"))
