@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dataprobe.operators import joins
 from dataprobe.session import materialize
 
-LONG_HISTORY = 1_000
+LONG_HISTORY = 256
 BLOCK_ROWS = 500_000
 
 
@@ -34,14 +34,23 @@ def lamport_fold(writes: DataFrame, long_history: int = LONG_HISTORY,
     """Replay ``(key, seq, leader, counter)`` per key in ``seq`` order; adds ``accepted``
     and ``stored``, the counter held after the write.
 
-    A write is accepted if the key is new, or if (counter, leader) is greater than the
-    stored (counter, leader); then counter + 1 is stored with its leader. ``seq`` must be
-    unique within a key; leaders and counters are whole numbers.
+    A write is accepted if the key holds nothing yet, or if (counter, leader) is greater than the
+    stored (counter, leader); then counter + 1 is stored with its leader. A write with a null
+    counter or leader is refused and changes nothing, one with a null key belongs to no history
+    and is refused too. ``seq`` must be unique within a key; leaders and counters are whole numbers.
 
-    Short histories are folded inside an aggregate. Keys with more than ``long_history``
-    writes are cut into blocks of about ``block_rows`` writes, see ``_fold_blocks``.
+    Short histories are folded inside an aggregate; their bound also bounds what copying the log costs. Keys with more
+    than ``long_history`` writes are cut into blocks of about ``block_rows`` writes, see ``_fold_blocks``.
     """
     writes = writes.select("key", "seq", "leader", "counter")
+    kinds = writes.schema
+    keyless = writes.where("key IS NULL").select(
+        "*", F.lit(False).alias("accepted"), F.lit(None).cast(kinds["counter"].dataType).alias("stored"))
+    writes = writes.where("key IS NOT NULL")
+    return _fold_keyed(writes, long_history, block_rows).unionByName(keyless)
+
+
+def _fold_keyed(writes: DataFrame, long_history: int, block_rows: int) -> DataFrame:
     long_keys = materialize(
         writes.groupBy("key").count().where(F.col("count") > long_history), "long-histories")
     rows = long_keys.agg(F.sum("count")).first()[0]
@@ -58,8 +67,8 @@ def _fold_in_aggregate(writes: DataFrame) -> DataFrame:
     history = F.array_sort(F.collect_list(write))
 
     def step(state: Column, w: Column) -> Column:
-        accepted = state["counter"].isNull() | (
-            F.struct(w["counter"], w["leader"]) > F.struct(state["counter"], state["leader"]))
+        accepted = w["counter"].isNotNull() & w["leader"].isNotNull() & (state["counter"].isNull() | (
+            F.struct(w["counter"], w["leader"]) > F.struct(state["counter"], state["leader"])))
         counter = F.when(accepted, w["counter"] + 1).otherwise(state["counter"])
         leader = F.when(accepted, w["leader"]).otherwise(state["leader"])
         done = F.struct(w["seq"].alias("seq"), w["leader"].alias("leader"), w["counter"].alias("counter"),
@@ -82,13 +91,13 @@ def _fold_in_aggregate(writes: DataFrame) -> DataFrame:
 
 def _replay(rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
     accepted, stored = [], []
-    for counter, leader in zip(rows["counter"], rows["leader"]):
-        take = state is None or (counter, leader) > state
+    for counter, leader, valid in zip(rows["counter"].tolist(), rows["leader"].tolist(), rows["valid"].tolist()):
+        take = valid and (state is None or (counter, leader) > state)
         if take:
             state = (counter + 1, leader)
         accepted.append(take)
-        stored.append(state[0])
-    return rows.assign(accepted=accepted, stored=stored)
+        stored.append(None if state is None else state[0])
+    return rows.assign(accepted=accepted, stored=pd.array(stored, dtype="Int64"))
 
 
 def _block_effect(writes: Sequence[tuple]) -> list[tuple]:
@@ -148,12 +157,22 @@ def _fold_blocks(writes: DataFrame, blocks: int) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in writes.schema.fields}
     key, leader, counter = kinds["key"], kinds["leader"], kinds["counter"]
+    # pandas turns whole numbers with gaps into floats, so the gaps are filled and marked.
+    valid = F.col("counter").isNotNull() & F.col("leader").isNotNull()
+    filled = writes.select(
+        "key", "seq", F.coalesce("leader", F.lit(0).cast(leader)).alias("leader"),
+        F.coalesce("counter", F.lit(0).cast(counter)).alias("counter"), valid.alias("valid"),
+        F.struct("leader", "counter").alias("given"))
     blocks = materialize(
-        writes.repartitionByRange(blocks, "key", "seq").withColumn("block", F.spark_partition_id()), "blocks")
+        filled.repartitionByRange(blocks, "key", "seq").withColumn("block", F.spark_partition_id()), "blocks")
+    given = blocks.select("key", "seq", "given")
+    blocks = blocks.drop("given")
 
     def summarize(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        effect = _block_effect(list(zip(rows["counter"].tolist(), rows["leader"].tolist())))
+        valid = rows[rows["valid"]].sort_values("seq")
+        effect = _block_effect(list(zip(valid["counter"].tolist(), valid["leader"].tolist())))
+        if not effect:
+            return pd.DataFrame({"key": [], "block": [], "below_counter": [], "below_leader": [], "end_counter": [], "end_leader": []})
         out = pd.DataFrame(effect, columns=["below_counter", "below_leader", "end_counter", "end_leader"])
         out.insert(0, "key", rows["key"].iloc[0])
         out.insert(1, "block", rows["block"].iloc[0])
@@ -173,8 +192,9 @@ def _fold_blocks(writes: DataFrame, blocks: int) -> DataFrame:
                 if state is None or state < (below_c, below_l):
                     state = (end_c, end_l)
                     break
-        return pd.DataFrame(out, columns=["key", "block", "from_counter", "from_leader"]).astype(
-            {"from_counter": "Int64", "from_leader": "Int64"})
+        keys, numbers, counters, leaders = zip(*out)
+        return pd.DataFrame({"key": list(keys), "block": list(numbers), "from_counter": pd.array(counters, dtype="Int64"),
+                             "from_leader": pd.array(leaders, dtype="Int64")})
 
     starts = effects.groupBy("key").applyInPandas(
         chain, f"key {key}, block int, from_counter {counter}, from_leader {leader}")
@@ -183,8 +203,13 @@ def _fold_blocks(writes: DataFrame, blocks: int) -> DataFrame:
         rows = rows.sort_values("seq")
         first = rows.iloc[0]
         state = None if pd.isna(first["from_counter"]) else (int(first["from_counter"]), int(first["from_leader"]))
-        return _replay(rows[["key", "seq", "leader", "counter"]], state)
+        return _replay(rows[["key", "seq", "leader", "counter", "valid"]], state)
 
-    return blocks.join(starts, ["key", "block"]).groupBy("key", "block").applyInPandas(
-        replay, f"key {key}, seq {kinds['seq']}, leader {leader}, counter {counter}, "
+    replayed = blocks.join(starts, ["key", "block"], "left").groupBy("key", "block").applyInPandas(
+        replay, f"key {key}, seq {kinds['seq']}, leader {leader}, counter {counter}, valid boolean, "
                 f"accepted boolean, stored {counter}")
+    whole = replayed.where("valid").drop("valid")
+    # The few writes with gaps get them back.
+    holes = replayed.where("NOT valid").join(given, ["key", "seq"]).select(
+        "key", "seq", "given.leader", "given.counter", "accepted", "stored")
+    return whole.unionByName(holes)

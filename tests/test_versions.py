@@ -11,10 +11,10 @@ def loop(writes):
     state, out = {}, {}
     for key, seq, leader, counter in sorted(writes, key=lambda w: w[1]):
         old = state.get(key)
-        take = old is None or old[0] < counter or (old[0] == counter and old[1] < leader)
+        take = None not in (key, leader, counter) and (old is None or old < (counter, leader))
         if take:
             state[key] = (counter + 1, leader)
-        out[key, seq] = (take, state[key][0])
+        out[key, seq] = (take, state[key][0] if key in state else None)
     return out
 
 
@@ -38,12 +38,20 @@ def test_same_leader_same_counter_is_refused(spark, rows):
 @pytest.mark.parametrize("long_history, block_rows", [(10_000, 10), (20, 7), (0, 13), (5, 1000)])
 def test_fold_against_loop(spark, long_history, block_rows):
     rng = random.Random(long_history + block_rows)
-    writes = [(0 if rng.random() < 0.4 else rng.randrange(1, 30), seq * 3, rng.randrange(4), rng.randrange(30) + seq // 20)
+    writes = [(0 if rng.random() < 0.4 else rng.choice([None, *range(1, 30)]), seq * 3, rng.choice([None, *range(12)]),
+               rng.choice([None, *range(20)]) if rng.random() < 0.2 else (1 << 60) * (seq % 50 == 7) + rng.randrange(30) + seq // 20)
               for seq in range(600)]
     df = spark.createDataFrame(writes, "key long, seq long, leader long, counter long")
     got = versions.lamport_fold(df, long_history, block_rows).collect()
     assert len(got) == len(writes)
     assert {(r["key"], r["seq"]): (r["accepted"], r["stored"]) for r in got} == loop(writes)
+    assert sorted(((r["key"], r["seq"], r["leader"], r["counter"]) for r in got), key=repr) == sorted(writes, key=repr)
+
+
+@pytest.mark.parametrize("long_history", [1_000, 0])
+def test_first_write_without_a_counter(spark, rows, long_history):
+    df = spark.createDataFrame([(1, 1, 1, None), (1, 2, 1, 3)], "key long, seq long, leader long, counter long")
+    assert rows(versions.lamport_fold(df, long_history)) == [(1, 1, 1, None, False, None), (1, 2, 1, 3, True, 4)]
 
 
 def test_effect_of_a_block_on_every_earlier_state():
