@@ -10,46 +10,57 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH = 16
 SLICE_ROWS = 100_000
+PER_SCAN = 96
+
+
+def _fingerprints(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> DataFrame:
+    """``(i, h1, h2)``: for each row and candidate the number of the candidate and 128 bits that name its values.
+
+    Each column is hashed twice, with its number and whether it is null (hashes skip nulls); a set has the exclusive or of
+    its columns' hashes. Equal values have equal bits, so bits without a repeat prove a set unique. The table is scanned
+    once for up to ``PER_SCAN`` sets, which keeps the generated code small.
+    """
+    names = sorted({c for columns in candidates for c in columns})
+    place = {c: k for k, c in enumerate(names)}
+    hashed = df.select(*[
+        F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
+        for k, c in enumerate(names) for side in (0, 1)])
+
+    def both(side: str, columns: tuple[str, ...]) -> Column:
+        return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{side}{place[c]}") for c in columns])
+
+    parts = []
+    for start in range(0, len(candidates), PER_SCAN):
+        rows = [F.struct(F.lit(start + i).alias("i"), both("a", c).alias("h1"), both("b", c).alias("h2"))
+                for i, c in enumerate(candidates[start:start + PER_SCAN])]
+        parts.append(hashed.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1) -> set[tuple[str, ...]]:
-    """The candidates that hold a repeated value; the answer is one row per candidate.
+    """The candidates that hold a repeated value: one scan and one aggregate for all of them.
 
     With ``slices`` only the values that hash to slice 0 are looked at. All rows with a
     value are in the same slice, so a repeat found there is one of the whole table, while
     only the slice is shuffled; finding none says nothing.
     """
-
-    def repeated(columns: tuple[str, ...]) -> DataFrame:
-        rows = df.select(*columns)
-        if slices > 1:
-            rows = rows.where(F.pmod(F.xxhash64(*columns), F.lit(slices)) == 0)
-        return rows.groupBy(*columns).count().where("count > 1")
-
-    found: set[tuple[str, ...]] = set()
-    for start in range(0, len(candidates), BATCH):
-        batch = candidates[start:start + BATCH]
-        tests = [repeated(c).select(F.lit(i).alias("i")).limit(1) for i, c in enumerate(batch)]
-        found |= {batch[row["i"]] for row in reduce(DataFrame.unionByName, tests).collect()}
-    return found
+    if not candidates:
+        return set()
+    hashes = _fingerprints(df, candidates)
+    if slices > 1:
+        hashes = hashes.where(F.pmod(F.col("h1"), F.lit(slices)) == 0)
+    repeated = hashes.groupBy("i", "h1", "h2").count().where("count > 1").select("i").distinct()
+    return {candidates[row["i"]] for row in repeated.collect()}
 
 
 def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Exact distinct count per column (null is a value), one narrow aggregate each."""
-    counts: dict[str, int] = {}
-    for start in range(0, len(columns), BATCH):
-        batch = columns[start:start + BATCH]
-        parts = [
-            df.groupBy(c).agg(F.lit(1).alias("one")).agg(F.count("*").alias("n")).withColumn("c", F.lit(c))
-            for c in batch
-        ]
-        counts |= {row["c"]: row["n"] for row in reduce(DataFrame.unionByName, parts).collect()}
-    return counts
+    """Distinct count per column (null is a value), in one scan."""
+    counted = _fingerprints(df, [(c,) for c in columns]).distinct().groupBy("i").count()
+    return {columns[row["i"]]: row["count"] for row in counted.collect()}
 
 
 def discover_uccs(df: DataFrame, max_size: int | None = None,
@@ -59,7 +70,8 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
     A set is looked at only if no part of it is unique. It then passes up to three sieves, each of which only rejects:
     1. fewer possible values than rows (product of the distinct counts),
     2. on large tables, a repeat among the values of one hash slice of about ``slice_rows`` rows,
-    3. the exact test over all rows. Only sets that pass it are reported.
+    3. a repeat among all rows. Only sets that pass it are reported.
+    A level of up to ``PER_SCAN`` sets takes one scan over the whole table, or two if it is large.
     """
     columns = list(columns or df.columns)
     max_size = min(max_size or len(columns), len(columns))
