@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # These bases decide primality for every n below 3.4e14 (Jaeschke 1993).
 BASES = (2, 3, 5, 7, 11, 13, 17)
-NATIVE_LIMIT = 1 << 20
 LIMIT = 341_550_071_728_321
-
-
-def is_small_prime(number: Column) -> Column:
-    """Trial division by odd numbers inside the JVM; meant for n up to about a million.
-    Numbers below 2, negative ones too, are not prime."""
-    number = number.cast("long")
-    root = F.floor(F.sqrt(F.greatest(number, F.lit(9)))).cast("long")
-    odd_divisor = F.exists(F.sequence(F.lit(3).cast("long"), root, F.lit(2).cast("long")),
-                           lambda d: (number % d == 0) & (d != number))
-    return (number == 2) | ((number > 2) & (number % 2 != 0) & ~odd_divisor)
+# With these bases every n below 3.3e24 is decided (Sorenson and Webster 2015).
+LARGE_BASES = (*BASES, 19, 23, 29, 31, 37)
 
 
 def _times(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -55,8 +46,27 @@ def _strong_probable(n: np.ndarray, base: int) -> np.ndarray:
     return passed
 
 
+def is_large_prime(n: int) -> bool:
+    """Exact primality of one number from ``LIMIT`` up to the end of the 64-bit range, in whole numbers of any size."""
+    if any(n % base == 0 for base in LARGE_BASES):
+        return False
+    twos = ((n - 1) & (1 - n)).bit_length() - 1
+    for base in LARGE_BASES:
+        power = pow(base, (n - 1) >> twos, n)
+        if power not in (1, n - 1) and not any((power := power * power % n) == n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
 def prime_flags(values: np.ndarray) -> np.ndarray:
-    """Exact primality of an int64 array below ``LIMIT``."""
+    """Exact primality of an int64 array. Numbers from ``LIMIT`` up don't fit the array arithmetic and go one by one."""
+    large = np.flatnonzero(values >= LIMIT)
+    if len(large):
+        flags = np.zeros(len(values), dtype=bool)
+        flags[large] = [is_large_prime(n) for n in values[large].tolist()]
+        rest = np.flatnonzero(values < LIMIT)
+        flags[rest] = prime_flags(values[rest])
+        return flags
     flags = np.isin(values, BASES)
     open_ = (values > BASES[-1])
     for base in BASES:
@@ -70,13 +80,8 @@ def prime_flags(values: np.ndarray) -> np.ndarray:
     return flags
 
 
-@F.pandas_udf(T.BooleanType())
-def is_prime(number: pd.Series) -> pd.Series:
-    """Primality by strong probable-prime tests; the cost per row does not grow with √n."""
-    missing = number.isna()
-    values = number.fillna(0).to_numpy(dtype=np.int64)
-    if (values >= LIMIT).any():
-        raise ValueError(f"is_prime is exact below {LIMIT} only")
-    flags = pd.Series(prime_flags(values), dtype="boolean")
-    flags[missing.to_numpy()] = pd.NA
-    return flags
+@F.arrow_udf(T.BooleanType())
+def is_prime(number: pa.Array) -> pa.Array:
+    """Primality of whole numbers by strong probable-prime tests; the cost per row does not grow with √n."""
+    values = pc.fill_null(number, 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return pa.array(prime_flags(values), mask=pc.is_null(number).to_numpy(zero_copy_only=False))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.text import sha256_hex
-from dataprobe.operators.generate import permutations, words
+from dataprobe.operators.generate import MAX_CHARSET, permutations, words
 from dataprobe.operators.joins import broadcast_if_small, lookup_join
 from dataprobe.session import materialize
 
@@ -35,30 +35,29 @@ def resolve_hints(records: DataFrame, charset: str = "charset", hints: str = "hi
     wanted = materialize(
         records.select(F.col(charset).alias("charset"), F.explode(hints).alias("hint")).distinct(), "wanted")
     charsets = wanted.select("charset").distinct()
+    # Longer sets cannot be enumerated: their hints stay without an explanation.
     without_one = charsets.select(
         "charset", F.explode(F.array_distinct(F.split("charset", ""))).alias("missing")
-    ).withColumn("rest", F.expr("replace(charset, missing, '')"))
+    ).withColumn("rest", F.expr("replace(charset, missing, '')")).where(F.length("rest") <= MAX_CHARSET)
     candidates = permutations(without_one, "rest").select(
         "charset", "missing", sha256_hex(F.col("word")).alias("hint"))
     return candidates.join(broadcast_if_small(wanted), ["charset", "hint"], "left_semi")
 
 
 def reduce_charsets(records: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Records with ``reduced``, the characters that no resolved hint excludes.
+    """Records with ``reduced``, the distinct characters that no resolved hint excludes.
 
-    The hints of a record are gathered as one bit per character; a hint without an explanation removes nothing.
+    What is gathered per record are the missing characters, at most as many as its set has; a hint without an
+    explanation removes nothing.
     """
     ident = ["id", "token", "charset", "length"]
-    missing_bit = F.expr("shiftleft(1L, instr(charset, missing) - 1)")
-    bits = (
+    gone = (
         lookup_join(records.select(*ident, F.explode_outer("hints").alias("hint")), resolved,
                     ["charset", "hint"], "left")
-        .groupBy(*ident)
-        .agg(F.bit_or(F.when(F.col("missing").isNotNull(), missing_bit).otherwise(F.lit(0).cast("long")))
-             .alias("gone"))
+        .groupBy(*ident).agg(F.collect_set("missing").alias("gone"))
     )
-    kept = F.filter(F.split("charset", ""), lambda c, i: F.getbit("gone", i) == 0)
-    return bits.select("id", "token", "length", F.array_join(kept, "").alias("reduced"))
+    kept = F.array_except(F.split("charset", ""), F.col("gone"))
+    return gone.select("id", "token", "length", F.array_join(kept, "").alias("reduced"))
 
 
 def resolve_tokens(records: DataFrame) -> DataFrame:
@@ -71,16 +70,16 @@ def resolve_tokens(records: DataFrame) -> DataFrame:
     reduced = materialize(reduce_charsets(records, resolved), "reduced")
     wanted = materialize(reduced.select("reduced", "length", "token").distinct(), "wanted")
     domain = wanted.select("reduced", "length").distinct()
-    found = words(domain, "reduced", "length").withColumn("token", sha256_hex(F.col("word"))).join(
-        broadcast_if_small(wanted), ["reduced", "length", "token"])
+    found = materialize(words(domain, "reduced", "length").withColumn("token", sha256_hex(F.col("word"))).join(
+        broadcast_if_small(wanted), ["reduced", "length", "token"]), "words")
     return attach_values(reduced, found.withColumnRenamed("word", "value"), ["reduced", "length", "token"])
 
 
 def resolve_against(records: DataFrame, domain: DataFrame) -> DataFrame:
     """The same for a domain the caller supplies: ``domain`` is one column ``value``."""
-    wanted = records.select("token").distinct()
-    found = domain.select(F.col("value").cast("string").alias("value")).distinct().withColumn(
-        "token", sha256_hex(F.col("value"))).join(broadcast_if_small(wanted), "token", "left_semi")
+    wanted = materialize(records.select("token").distinct(), "wanted")
+    found = materialize(domain.select(F.col("value").cast("string").alias("value")).distinct().withColumn(
+        "token", sha256_hex(F.col("value"))).join(broadcast_if_small(wanted), "token", "left_semi"), "words")
     return attach_values(records.select("id", "token"), found, ["token"])
 
 

@@ -59,14 +59,17 @@ def permutations(df: DataFrame, charset: str, low: int = 0, high: int | None = N
 
 
 def words(df: DataFrame, charset: str, length: str) -> DataFrame:
-    """``df`` with ``word``: all texts of the row's ``length`` over its ``charset``."""
+    """``df`` with ``word``: all texts of the row's ``length`` over the distinct characters of its ``charset``.
+    Rows with a null length or character set, or without characters to use, have none."""
     longest = _longest(df, f"`{length}`")
-    grown = df.where((F.length(charset) > 0) | (F.col(length) == 0)).withColumn("word", F.lit(""))
+    letters_of = F.array_distinct(F.split(charset, ""))
+    grown = df.where(F.col(length).isNotNull() & ((F.length(charset) > 0) | (F.col(length) == 0))).withColumn(
+        "word", F.lit(""))
     for level in range(longest):
         if level == min(SPREAD_LEVELS, longest - 1):
             grown = spread(grown, *df.columns, "word")
         open_ = F.length("word") < F.col(length)
-        letters = F.when(open_, F.split(charset, "")).otherwise(F.array(F.lit("")))
+        letters = F.when(open_, letters_of).otherwise(F.array(F.lit("")))
         grown = grown.withColumn("_next", F.explode(letters)).withColumn(
             "word", F.concat("word", "_next")).drop("_next")
     return grown

@@ -75,3 +75,12 @@ def test_records_in_file_order(spark, tmp_path):
     spec = readers.CsvSpec(str(tmp_path), name="records", ending=".csv", separator=";", infer=True)
     got = audit.resolve_tokens(audit.records_from_positions(readers.read_csv(spark, spec)))
     assert {r["id"]: r["value"] for r in got.collect()} == secrets
+
+
+def test_repeated_and_many_characters(spark):
+    """A repeated character is excluded in all its places; sets of over 63 and of over 20 characters don't stop the others."""
+    printable = "".join(chr(c) for c in range(33, 128 - 1))
+    records = [(1, sha("AA"), "BAB", 2, [sha("A")]), (2, sha("!~"), printable, 2, None), (3, sha("x"), printable, 1, [sha("unknown")]),
+               (4, sha("BC"), "ABC", 2, [sha("CB")]), (5, sha("A"), "AB", None, None), (6, sha("A"), None, 1, None)]
+    got = audit.resolve_tokens(spark.createDataFrame(records, SCHEMA)).collect()
+    assert {r["id"]: r["value"] for r in got} == {1: "AA", 2: "!~", 3: "x", 4: "BC", 5: None, 6: None}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dataprobe.functions.numbers import LIMIT, is_prime, is_small_prime, prime_flags
+from dataprobe.functions.numbers import LIMIT, is_prime, prime_flags
 from dataprobe.functions.text import permutation_at
 from dataprobe.operators import generate
 
@@ -47,12 +47,17 @@ def test_permutation_at(spark):
 
 
 def test_words(spark):
-    df = spark.createDataFrame([("AB", 2), ("XYZ", 6), ("Q", 0), ("", 3)], "charset string, length int")
+    df = spark.createDataFrame([("AB", 2), ("XYZ", 6), ("Q", 0), ("", 3), ("AB", None), (None, 2)], "charset string, length int")
     got = sorted((r["charset"], r["word"]) for r in generate.words(df, "charset", "length").collect())
     expected = sorted((s, "".join(p)) for s, n in [("AB", 2), ("XYZ", 6), ("Q", 0), ("", 3)] for p in product(s, repeat=n))
     assert got == expected
 
 
+def test_words_over_distinct_characters(spark):
+    df = spark.createDataFrame([("ABA", 2)], "charset string, length int")
+    assert sorted(r["word"] for r in generate.words(df, "charset", "length").collect()) == ["AA", "AB", "BA", "BB"]
+
+
 @pytest.mark.parametrize("low, high, expected", [
     (1, 10, [2, 3, 5, 7]), (5, 11, [5, 7, 11]), (-5, 1, []), (10, 2, []), (2, 2, [2]), (24, 28, [])])
 def test_primes(spark, low, high, expected):
@@ -70,9 +75,7 @@ def test_primality_of_columns(spark):
     small = [n for n in range(-20, 2000)]
     truth = [n > 1 and all(n % d for d in range(2, math.isqrt(n) + 1)) for n in small]
     df = spark.createDataFrame([(n,) for n in small] + [(None,)], "n long")
-    got = df.select(is_prime("n"), is_small_prime(F.col("n"))).collect()
-    assert [r[0] for r in got] == [*truth, None]
-    assert [bool(r[1]) for r in got[:-1]] == truth
+    assert [r[0] for r in df.select(is_prime("n")).collect()] == [*truth, None]
 
 
 def test_large_primes_and_pseudoprimes():
@@ -83,3 +86,12 @@ def test_large_primes_and_pseudoprimes():
     assert prime_flags(values).tolist()[3:6] == [False, False, False]  # strong pseudoprimes to small bases
     assert [bool(f) for f in prime_flags(values)[6:]] == naive[6:]
     assert (values < LIMIT).all()
+
+
+def test_primality_up_to_the_end_of_the_range(spark, rows):
+    """Known primes and composites (fixed values), among them the square of a large prime and the first number out of reach of
+    the array arithmetic, a strong pseudoprime to its bases."""
+    known = {9_223_372_036_854_775_783: True, 9_223_372_036_854_775_807: False, LIMIT: False, 1_000_000_000_000_000_003: True,
+             3_037_000_493 ** 2: False, (1 << 61) - 1: True, LIMIT + 2: False, -LIMIT: False}
+    df = spark.createDataFrame([(n,) for n in known], "n long").select("n", is_prime("n"))
+    assert dict(rows(df)) == known
