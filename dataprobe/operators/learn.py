@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dataprobe.operators.sets import hash_draw
+
 __all__ = ["TreeReport", "accuracy_table", "fit_indexer", "labelled_vectors", "split_by_hash", "train_tree",
            "vector_to_array"]
 
@@ -35,7 +37,7 @@ def fit_indexer(data: DataFrame, max_categories: int = MAX_CATEGORIES) -> Vector
 def split_by_hash(data: DataFrame, key: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Two parts by a seeded hash of ``key``: unlike a random draw per row the parts stay the
     same when a lost task is run again."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
+    draw = hash_draw(key, seed) < int(share * (1 << 32))
     return data.where(draw), data.where(~draw)
 
 

@@ -99,9 +99,13 @@ def flip_range(a: DataFrame, low: int, high: int) -> DataFrame:
 
 def random_set(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """The keys of ``df`` whose seeded hash falls below ``share``; stable under re-runs."""
-    steps = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(steps))
-    return df.where(draw < int(share * steps)).select(F.col(key).alias("id"))
+    return df.where(hash_draw(key, seed) < int(share * (1 << 32))).select(F.col(key).alias("id"))
+
+
+def hash_draw(key: str, seed: int) -> Column:
+    """A number of 32 bits for each key, the same in every run: the first digits of a SHA-256."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 
 def _nearest(probes: DataFrame, a: DataFrame, step: int, span: int) -> DataFrame:

@@ -1,59 +1,59 @@
 """Candidate generation, the audit of hashed tokens, prime search and versioned writes."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataprobe.functions import text as tx
 from dataprobe.operators import audit, generate, relational, versions
 from dataprobe.plans.registry import query, table
-from dataprobe.session import materialize
-from dataprobe.sources.readers import number_range
+from dataprobe.session import materialize, scratch_path
+from dataprobe.sources.readers import CsvSpec, number_range, read_csv
 
-# The character set of each part: the distinct letters of the first word of its name.
+# The character sets: the distinct letters of each distinct word of the part names.
 CHARSETS_SQL = """
-words AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS word FROM part),
-letters AS (SELECT DISTINCT p_partkey, unnest(string_split(word, '')) AS c FROM words),
-sets AS (SELECT p_partkey, string_agg(c, '' ORDER BY c) AS charset FROM letters GROUP BY p_partkey)"""
+words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS base FROM part),
+letters AS (SELECT DISTINCT base, unnest(string_split(base, '')) AS c FROM words),
+sets AS (SELECT base, string_agg(c, '' ORDER BY c) AS charset FROM letters WHERE c <> '' GROUP BY base)"""
+RANKED_SQL = f"""
+{CHARSETS_SQL},
+grow AS (
+  SELECT base, charset, '' AS word FROM sets
+  UNION ALL
+  SELECT g.base, g.charset, g.word || l.c FROM grow g JOIN letters l ON g.base = l.base
+  WHERE NOT contains(g.word, l.c)),
+ranked AS (SELECT base, word, row_number() OVER (PARTITION BY base ORDER BY word) - 1 AS rank
+           FROM grow WHERE length(word) = length(charset))"""
 
 
 def _charsets(spark, folder):
-    return table(spark, folder, "part").select(
-        "p_partkey", tx.distinct_letters(F.split("p_name", " ")[0]).alias("charset"))
+    words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("base")).distinct()
+    return words.where("base <> ''").select("base", tx.distinct_letters(F.col("base")).alias("charset"))
 
 
-@query("gen_permutations", f"""
-WITH RECURSIVE {CHARSETS_SQL},
-grow AS (
-  SELECT p_partkey, charset, '' AS word FROM sets
-  UNION ALL
-  SELECT g.p_partkey, g.charset, g.word || l.c FROM grow g JOIN letters l ON g.p_partkey = l.p_partkey
-  WHERE NOT contains(g.word, l.c))
-SELECT p_partkey, word, row_number() OVER (PARTITION BY p_partkey ORDER BY word) - 1 AS rank
-FROM grow WHERE length(word) = length(charset)""")
+@query("gen_permutations", f"WITH RECURSIVE {RANKED_SQL} SELECT base, word, rank FROM ranked")
 def gen_permutations(spark, folder):
-    return generate.permutations(_charsets(spark, folder), "charset").select("p_partkey", "word", "rank")
+    return generate.permutations(_charsets(spark, folder), "charset").select("base", "word", "rank")
 
 
 @query("permutation_at", f"""
-WITH RECURSIVE {CHARSETS_SQL},
-grow AS (
-  SELECT p_partkey, charset, '' AS word FROM sets
-  UNION ALL
-  SELECT g.p_partkey, g.charset, g.word || l.c FROM grow g JOIN letters l ON g.p_partkey = l.p_partkey
-  WHERE NOT contains(g.word, l.c)),
-ranked AS (SELECT p_partkey, word, row_number() OVER (PARTITION BY p_partkey ORDER BY word) - 1 AS rank
-           FROM grow WHERE length(word) = length(charset))
-SELECT s.p_partkey, word FROM sets s LEFT JOIN ranked r ON s.p_partkey = r.p_partkey AND r.rank = s.p_partkey % 30""")
+WITH RECURSIVE {RANKED_SQL}, ends AS (SELECT base, max(rank) + 1 AS rank FROM ranked GROUP BY base)
+SELECT base, rank, word FROM ranked UNION ALL SELECT base, rank, NULL FROM ends""")
 def permutation_at(spark, folder):
-    return _charsets(spark, folder).select(
-        "p_partkey", tx.permutation_at(F.col("charset"), F.col("p_partkey") % 30).alias("word"))
+    """Every rank of every set, and the first one that is too great."""
+    ranks = _charsets(spark, folder).withColumn(
+        "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.factorial(F.length("charset")))))
+    return ranks.select("base", "rank", tx.permutation_at(F.col("charset"), F.col("rank")).alias("word"))
 
 
 @query("gen_words", f"""
-WITH {CHARSETS_SQL}
-SELECT x.p_partkey, x.c || y.c AS word FROM letters x JOIN letters y ON x.p_partkey = y.p_partkey""")
+WITH {CHARSETS_SQL}, l AS (SELECT * FROM letters WHERE c <> '')
+SELECT base, c AS word FROM l
+UNION ALL SELECT x.base, x.c || y.c FROM l x JOIN l y ON x.base = y.base
+UNION ALL SELECT x.base, x.c || y.c || z.c FROM l x JOIN l y ON x.base = y.base JOIN l z ON x.base = z.base""")
 def gen_words(spark, folder):
-    charsets = _charsets(spark, folder).withColumn("length", F.lit(2))
-    return generate.words(charsets, "charset", "length").select("p_partkey", "word")
+    """All words of one to three letters."""
+    charsets = _charsets(spark, folder).withColumn("length", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])))
+    return generate.words(charsets, "charset", "length").select("base", "word")
 
 
 # Audit records made from the customers. The character set is ABCDEF; a secret of four letters uses exactly two
@@ -98,12 +98,28 @@ def join_hints(spark, folder):
     return audit.reduce_charsets(records, materialize(audit.resolve_hints(records), "hints"))
 
 
-@query("resolve_tokens", f"""WITH {RECORDS_SQL}
-SELECT id, sha256(secret) AS token, CASE WHEN id % 10 <> 9 THEN secret END AS value, id % 10 <> 9 AS resolved FROM secrets""")
+TOKENS_SQL = f"""WITH {RECORDS_SQL}
+SELECT id, sha256(secret) AS token, CASE WHEN id % 10 <> 9 THEN secret END AS value, id % 10 <> 9 AS resolved FROM secrets"""
+
+
+@query("resolve_tokens", TOKENS_SQL)
 def resolve_tokens(spark, folder):
     return audit.resolve_tokens(_records(spark, folder))
 
 
+@query("resolve_tokens_csv", TOKENS_SQL)
+def resolve_tokens_csv(spark, folder):
+    """The same audit from a described CSV file: id, name, characters, length, token, hints, by position."""
+    records = _records(spark, folder).select(
+        "id", F.concat(F.lit("name; "), "id").alias("name"), "charset", "length", "token",
+        *[F.get("hints", F.lit(i)).alias(f"hint{i + 1}") for i in range(4)])
+    path = scratch_path(spark, "records")
+    records.write.option("header", "true").option("sep", ";").csv(path)
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in records.schema.fields])
+    return audit.resolve_tokens(audit.records_from_positions(
+        read_csv(spark, CsvSpec(path, separator=";", schema=kinds))))
+
+
 @query("resolve_against", """
 SELECT o_orderkey AS id, sha256(o_custkey::VARCHAR) AS token, c_custkey::VARCHAR AS value, c_custkey IS NOT NULL AS resolved
 FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
@@ -173,21 +189,37 @@ def lww_read(spark, folder):
     return versions.lww_read(writes, 42, "user_id", "event_type", "counter", "event_id")
 
 
-@query("lamport_fold", """
+FOLD_SQL = """
 WITH RECURSIVE w AS (
-  SELECT user_id AS key, event_id AS seq, event_id % 5 AS leader, cast(floor(value) AS BIGINT) % 40 AS counter,
-         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  SELECT {key} AS key, event_id AS seq, event_id % 5 AS leader,
+         CASE WHEN event_id % 17 <> 3 THEN cast(floor(value) AS BIGINT) % 40 + event_id // {slower} END AS counter,
+         row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS k FROM events),
 fold AS (
-  SELECT key, k, seq, leader, counter, true AS accepted, counter + 1 AS stored, leader AS holder FROM w WHERE k = 1
+  SELECT key, k, seq, leader, counter, counter IS NOT NULL AS accepted, counter + 1 AS stored,
+         CASE WHEN counter IS NOT NULL THEN leader END AS holder FROM w WHERE k = 1
   UNION ALL
-  SELECT w.key, w.k, w.seq, w.leader, w.counter,
-         w.counter > f.stored OR (w.counter = f.stored AND w.leader > f.holder),
-         CASE WHEN w.counter > f.stored OR (w.counter = f.stored AND w.leader > f.holder) THEN w.counter + 1 ELSE f.stored END,
-         CASE WHEN w.counter > f.stored OR (w.counter = f.stored AND w.leader > f.holder) THEN w.leader ELSE f.holder END
-  FROM fold f JOIN w ON w.key = f.key AND w.k = f.k + 1)
-SELECT key, seq, leader, counter, accepted, stored FROM fold""")
+  SELECT key, k, seq, leader, counter, take, CASE WHEN take THEN counter + 1 ELSE stored END,
+         CASE WHEN take THEN leader ELSE holder END
+  FROM (SELECT w.*, f.stored, f.holder, w.counter IS NOT NULL AND (f.stored IS NULL OR w.counter > f.stored
+          OR (w.counter = f.stored AND w.leader > f.holder)) AS take
+        FROM fold f JOIN w ON w.key = f.key AND w.k = f.k + 1))
+SELECT key, seq, leader, counter, accepted, stored FROM fold"""
+
+
+def _writes(spark, folder, key, slower):
+    counter = F.floor("value").cast("long") % 40 + F.expr(f"event_id div {slower}")
+    return table(spark, folder, "events").select(
+        F.col(key).alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("leader"),
+        F.when(F.col("event_id") % 17 != 3, counter).alias("counter"))
+
+
+@query("lamport_fold", FOLD_SQL.format(key="user_id", slower=1_000_000_000))
 def lamport_fold(spark, folder):
-    writes = table(spark, folder, "events").select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("leader"),
-        (F.floor("value").cast("long") % 40).alias("counter"))
-    return versions.lamport_fold(writes)
+    """Many short histories, with writes that lack a counter."""
+    return versions.lamport_fold(_writes(spark, folder, "user_id", 1_000_000_000))
+
+
+@query("lamport_fold_long", FOLD_SQL.format(key="event_type", slower=100))
+def lamport_fold_long(spark, folder):
+    """A few long histories, in blocks of 1,000 writes."""
+    return versions.lamport_fold(_writes(spark, folder, "event_type", 100), block_rows=1_000)
