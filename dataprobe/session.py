@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +52,58 @@ def build_session(config: JobConfig = JobConfig(), **extra: str) -> SparkSession
     return builder.getOrCreate()
 
 
+_LOCAL_SCRATCH: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder named in ``spark.checkpoint.dir``.
 
-    The setting must name storage every executor can reach. Only a local
-    session may go without it; it then gets a temporary folder.
+    The setting must name storage every executor can reach. Only a local session may go without it; it then
+    gets a temporary folder, which leaves the caller's own settings as they are. What is written to such paths goes with
+    ``release_scratch``, or at the end of the program.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="dataprobe-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="dataprobe-"))
+        base = f"file://{_LOCAL_SCRATCH[0]}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written so far (from number ``since`` on). Frames that read them fail from then on, so
+    write down what is to stay first."""
+    mine = [path for session, path in _WRITTEN[since:] if session is spark]
+    _WRITTEN[since:] = [entry for entry in _WRITTEN[since:] if entry[0] is not spark]
+    jvm = spark.sparkContext._jvm
+    for name in mine:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside the block go at its end."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release_scratch(spark, since)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        with contextlib.suppress(Exception):        # the session may have ended before
+            release_scratch(spark)
+    for folder in _LOCAL_SCRATCH:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -107,7 +149,11 @@ def run_timed(df: DataFrame) -> float:
 
 
 def run_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
-    """Register ``tables`` as views under their names and run ``text``."""
+    """Run ``text`` over ``tables``, which are views under their names meanwhile."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    try:
+        return spark.sql(text)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)

@@ -17,6 +17,7 @@ class CsvSpec:
 
     Without ``schema`` all columns are text, unless ``infer`` asks Spark for one more
     pass over the data. ``skip_bad_lines`` drops lines that do not fit the schema.
+    ``multi_line`` lets quoted values hold line breaks; Spark then reads each file in one task.
     """
 
     path: str
@@ -32,6 +33,7 @@ class CsvSpec:
     strict_quotes: bool = False
     trim_leading_space: bool = False
     skip_bad_lines: bool = False
+    multi_line: bool = False
 
     @property
     def location(self) -> str:
@@ -52,6 +54,7 @@ class CsvSpec:
             "ignoreLeadingWhiteSpace": str(self.trim_leading_space).lower(),
             "nullValue": "",       # an unquoted empty field is null
             "emptyValue": "",
+            "multiLine": str(self.multi_line).lower(),
             "mode": "DROPMALFORMED" if self.skip_bad_lines else "PERMISSIVE",
         }
 

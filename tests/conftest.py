@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from dataprobe.session import JobConfig, build_session  # noqa: E402
+from dataprobe.session import JobConfig, build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     session = build_session(JobConfig(cores=4, partitions=4, master="local[4]", app_name="tests"),
                             spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
 
 

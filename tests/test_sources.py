@@ -121,3 +121,29 @@ def test_libsvm_and_tree(spark, tmp_path):
     row = learn.accuracy_table(report.predictions).first()
     assert abs(row["accuracy"] - report.accuracy) < 1e-9
     assert report.predictions.select(F.countDistinct("prediction")).first()[0] == 2
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path, rows):
+    (tmp_path / "n.csv").write_text('k;text\n1;"one\ntwo"\n2;three\n')
+    spec = readers.CsvSpec(str(tmp_path / "n.csv"), separator=";", multi_line=True, skip_bad_lines=True)
+    assert rows(readers.read_csv(spark, spec)) == [("1", "one\ntwo"), ("2", "three")]
+
+
+def test_folder_of_different_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k;v\n1;x\n2;y\n")
+    (tmp_path / "b.csv").write_text("n\n1.5\n")
+    (tmp_path / "_skip.csv").write_text("z\n")
+    tables = readers.read_csv_folder(spark, str(tmp_path), schemas={"b": T.StructType([T.StructField("n", T.DoubleType())])})
+    assert {n: t.dtypes for n, t in tables.items()} == {"a": [("k", "int"), ("v", "string")], "b": [("n", "double")]}
+
+
+def test_scratch_goes_at_the_end_of_the_block(spark):
+    from dataprobe.session import materialize, scratch
+
+    before = spark.sparkContext.getCheckpointDir()
+    with scratch(spark):
+        kept = materialize(spark.range(3), "three")
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert spark.sparkContext.getCheckpointDir() == before
