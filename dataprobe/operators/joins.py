@@ -14,6 +14,7 @@ from dataprobe.session import materialize
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
+HOT_SAMPLE = 0.01
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -49,13 +50,17 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     can miss it. There are few such keys, and one right row for each: that part is joined
     by broadcast, the rest by a merge join. Rows with a null key match nothing and are not shuffled.
 
-    ``hot`` names the hot keys if the caller knows them; else the left keys are counted.
+    ``hot`` names the hot keys if the caller knows them; else the left keys of a sample are counted.
     """
     on = list(on)
+    right = materialize(right, "lookup")    # it is counted, and then joined once or twice
     if is_small(right):
         return left.join(F.broadcast(right), on, how)
     if hot is None:
-        hot = left.groupBy(*on).count().where(F.col("count") > HOT_ROWS).select(*on)
+        # A sample is enough: the answer decides how the rows travel, not which rows there are.
+        part = left.select(*on).sample(HOT_SAMPLE, 7) if HOT_ROWS * HOT_SAMPLE >= 100 else left
+        least = HOT_ROWS * HOT_SAMPLE if part is not left else HOT_ROWS
+        hot = part.groupBy(*on).count().where(F.col("count") > least).select(*on)
     hot = materialize(hot.dropna(), "hot-keys")
     if hot.isEmpty():
         parts = [_keyed(left, on).join(right.hint("merge"), on, how)]
@@ -122,23 +127,7 @@ def match_digests(candidates: DataFrame, wanted: DataFrame, digest: str) -> Data
     return keep_listed(candidates, wanted, digest)
 
 
-def bloom_buckets(df: DataFrame, key: str, size: int, bucket: str = "bucket") -> DataFrame:
-    """The occupied buckets of a one-hash Bloom filter with ``size`` buckets."""
-    return df.where(F.col(key).isNotNull()).select(
-        F.pmod(F.xxhash64(key), F.lit(size)).alias(bucket)
-    ).distinct()
-
-
-def bloom_contains(df: DataFrame, buckets: DataFrame, key: str, size: int) -> DataFrame:
-    """``df`` with ``maybe``: false means surely absent. There are at most ``size`` buckets."""
-    side = buckets.select(F.col("bucket").alias("_bucket"), F.lit(True).alias("maybe"))
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(size)))
-    return lookup_join(keyed, side, ["_bucket"], "left").drop("_bucket").withColumn(
-        "maybe", F.coalesce("maybe", F.lit(False)))
-
-
-def bloom_semi_join(df: DataFrame, other: DataFrame, key: str, size: int = 1 << 18) -> DataFrame:
-    """Exact semi join; rows in empty buckets are dropped before the shuffle."""
-    keys = other.select(key).where(F.col(key).isNotNull()).distinct()
-    likely = bloom_contains(df, bloom_buckets(keys, key, size), key, size).where("maybe").drop("maybe")
-    return lookup_join(likely, keys, [key], "left_semi")
+def with_membership(df: DataFrame, listed: DataFrame, key: str, name: str = "listed") -> DataFrame:
+    """``df`` with a flag: does the row's key occur in ``listed``? False for a null key."""
+    marks = listed.select(key).distinct().withColumn(name, F.lit(True))
+    return lookup_join(df, marks, [key], "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dataprobe.session import materialize
+
 
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """``df`` as ``schema``: the named columns, in that order, cast to those types."""
@@ -49,30 +51,31 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def joined_values(df: DataFrame, keys: Sequence[str], column: str, separator: str,
-                  name: str) -> DataFrame:
-    """The distinct values of ``column`` per key, ascending, joined into one text.
+                  name: str, distinct: bool = False) -> DataFrame:
+    """The values of ``column`` per key, ascending, joined into one text; each as often as it occurs,
+    or once with ``distinct``. Nulls are left out.
 
-    Duplicates go in a hash aggregate before anything is collected, so a list
-    holds one entry per distinct value: use it on columns with a bounded domain
-    (codes, states, categories). For a whole column of unbounded texts write
-    sorted lines instead (``sinks.write_lines``).
+    Equal values are counted in a hash aggregate before anything is collected, so a list
+    holds one entry per distinct value. The text itself is as long as the values of its key: for a
+    whole column write sorted lines instead (``sinks.write_lines``).
     """
-    ordered = F.sort_array(F.collect_list(column))
+    items = F.sort_array(F.collect_list(F.struct(F.col(column).alias("value"), F.col("count").cast("int").alias("times"))))
+    times = (lambda x: F.lit(1)) if distinct else (lambda x: x["times"])
+    texts = F.flatten(F.transform("items", lambda x: F.array_repeat(x["value"].cast("string"), times(x))))
     return (
-        df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
-        .groupBy(*keys).agg(ordered.alias("items"))
-        .select(*keys, F.array_join(F.col("items").cast("array<string>"), separator).alias(name))
+        df.where(F.col(column).isNotNull()).groupBy(*keys, column).count()
+        .groupBy(*keys).agg(items.alias("items"))
+        .select(*keys, F.array_join(texts, separator).alias(name))
     )
 
 
 def top_per_group(df: DataFrame, group: str, measure: str, label: str) -> DataFrame:
     """Per group the row with the greatest measure (then the smallest label); no group is
-    ever held as a list, each task sends one row per group."""
-    best = F.min_by(F.struct(label, measure), F.struct(F.negative(measure), F.col(label)))
-    return (
-        df.where(F.col(measure).isNotNull()).groupBy(group).agg(best.alias("best"))
-        .select(group, f"best.{label}", f"best.{measure}")
-    )
+    ever held as a list, each task sends one row per group. A null measure comes after all others, so a
+    group with nothing else keeps its row with the smallest label."""
+    order = F.struct(F.col(measure).isNull(), F.negative(measure), F.col(label))
+    return df.groupBy(group).agg(F.min_by(F.struct(label, measure), order).alias("best")).select(
+        group, f"best.{label}", f"best.{measure}")
 
 
 def longest_per_key(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,26 +83,20 @@ def longest_per_key(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(text, F.struct(-F.length(text), F.col(text))).alias(text))
 
 
-def set_intersection_per_key(df: DataFrame, key: str, items: str, domain: Sequence[str]) -> DataFrame:
-    """What all the arrays of a key have in common, for items from a known ``domain``.
+def set_intersection_per_key(df: DataFrame, key: str, items: str) -> DataFrame:
+    """What all the arrays of a key have in common, sorted; a null array has no items, null items don't count.
 
-    Each array becomes bits (63 items per word), so a key of any size is combined
-    on the map side as a few numbers.
+    Pairs of key and item are counted against the arrays of the key: two aggregates that combine on the
+    map side. What is collected per key is no longer than its shortest array.
     """
-    words = [list(domain[i:i + 63]) for i in range(0, len(domain), 63)]
-
-    def mask(word: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a.bitwiseOR(b), [
-            F.when(F.array_contains(items, item), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
-            for bit, item in enumerate(word)
-        ])
-
-    merged = df.groupBy(key).agg(*[F.bit_and(mask(w)).alias(f"w{i}") for i, w in enumerate(words)])
-    present = [
-        F.when(F.getbit(F.col(f"w{i}"), F.lit(bit)) == 1, F.lit(item))
-        for i, w in enumerate(words) for bit, item in enumerate(w)
-    ]
-    return merged.select(key, F.sort_array(F.array_compact(F.array(*present))).alias(items))
+    arrays = materialize(df.groupBy(key).agg(F.count("*").alias("arrays")), "arrays")
+    pairs = df.select(F.col(key).alias("pair_key"), F.explode(F.array_distinct(items)).alias("item")).groupBy(
+        "pair_key", "item").agg(F.count("*").alias("held")).where("item IS NOT NULL")
+    shared = pairs.join(arrays, (F.col("pair_key").eqNullSafe(F.col(key))) & (F.col("held") == F.col("arrays")))
+    found = shared.groupBy("pair_key").agg(F.sort_array(F.collect_list("item")).alias(items)).withColumn("any", F.lit(True))
+    none = F.array().cast(df.schema[items].dataType)
+    return arrays.join(found, F.col("pair_key").eqNullSafe(F.col(key)), "left").select(
+        key, F.when(F.col("any"), F.col(items)).otherwise(none).alias(items))
 
 
 def count_if_all(df: DataFrame, **conditions: Column) -> DataFrame:

@@ -10,17 +10,17 @@ from dataprobe.plans.registry import query, table
 from dataprobe.session import run_sql
 
 
-@query("project_concat", "SELECT c_custkey, 'This is a number: ' || c_custkey AS label FROM customer")
+@query("project_concat", "SELECT c_custkey, 'customer no. ' || c_custkey AS label FROM customer")
 def project_concat(spark, folder):
     return table(spark, folder, "customer").select(
-        "c_custkey", tx.prefixed("This is a number: ", F.col("c_custkey")).alias("label"))
+        "c_custkey", tx.prefixed("customer no. ", F.col("c_custkey")).alias("label"))
 
 
 @query("project_literals",
-       "SELECT c_custkey, 'nonce' AS tag, 3.1415::DOUBLE AS ratio, true AS flag FROM customer")
+       "SELECT c_custkey, 'checked' AS tag, 0.25::DOUBLE AS ratio, true AS flag FROM customer")
 def project_literals(spark, folder):
     return relational.with_constants(
-        table(spark, folder, "customer"), ["c_custkey"], tag="nonce", ratio=3.1415, flag=True)
+        table(spark, folder, "customer"), ["c_custkey"], tag="checked", ratio=0.25, flag=True)
 
 
 @query("project_arith", "SELECT l_orderkey, l_linenumber, l_linenumber * 2 + 0.5::DOUBLE AS y FROM lineitem")
@@ -29,11 +29,13 @@ def project_arith(spark, folder):
         "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 2 + 0.5).alias("y"))
 
 
-@query("with_columns")
+@query("with_columns", """SELECT c_custkey, (now() AT TIME ZONE 'UTC')::DATE AS loaded_on, true AS past, NULL::VARCHAR AS remark
+FROM customer""")
 def with_columns(spark, folder):
     return table(spark, folder, "customer").select("c_custkey").withColumns({
-        "date_today": F.current_date(), "stamp_now": F.current_timestamp(),
-        "nulls": F.lit(None).cast("string")})
+        "loaded_on": F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("date"),
+        "past": F.current_timestamp() > F.lit("2020-01-01").cast("timestamp"),
+        "remark": F.lit(None).cast("string")})
 
 
 @query("select_alias", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS salary FROM customer")
@@ -57,13 +59,13 @@ def cast_schema(spark, folder):
     return relational.cast_to(table(spark, folder, "orders"), schema)
 
 
-@query("struct_field", """SELECT c_custkey, c_name || ' says hello' AS greeting,
-       'Pet(name=' || c_name || ', age=' || c_nationkey || ') is cute' AS pet FROM customer""")
+@query("struct_field", """SELECT c_custkey, c_name || ' buys' AS sentence,
+       'customer ' || c_name || ' of nation ' || c_nationkey AS title FROM customer""")
 def struct_field(spark, folder):
-    person = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("age")).alias("p")
+    person = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("p")
     return table(spark, folder, "customer").select("c_custkey", person).select(
-        "c_custkey", F.concat("p.name", F.lit(" says hello")).alias("greeting"),
-        F.format_string("Pet(name=%s, age=%d) is cute", "p.name", "p.age").alias("pet"))
+        "c_custkey", F.concat("p.name", F.lit(" buys")).alias("sentence"),
+        F.format_string("customer %s of nation %d", "p.name", "p.nation").alias("title"))
 
 
 @query("filter_contains", "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '1')")
@@ -73,8 +75,8 @@ def filter_contains(spark, folder):
 
 @query("sql_filter", "SELECT c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 9500")
 def sql_filter(spark, folder):
-    return run_sql(spark, "SELECT c_name, c_acctbal, c_mktsegment FROM employee WHERE c_acctbal > 9500",
-                   employee=table(spark, folder, "customer"))
+    return run_sql(spark, "SELECT c_name, c_acctbal, c_mktsegment FROM buyers WHERE c_acctbal > 9500",
+                   buyers=table(spark, folder, "customer"))
 
 
 SEGMENTS = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
@@ -199,23 +201,25 @@ WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)""")
 def bloom_semi_join(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     small = table(spark, folder, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    return joins.bloom_semi_join(lines, small, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+    return joins.keep_listed(lines, small, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("bloom_contains")
+@query("bloom_contains", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+       coalesce(l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7), false) AS maybe FROM lineitem""")
 def bloom_contains(spark, folder):
-    size = 1 << 16
+    """Membership, exact: Spark makes its own Bloom filters where they help."""
     small = table(spark, folder, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return joins.bloom_contains(lines, joins.bloom_buckets(small, "l_partkey", size), "l_partkey", size)
+    return joins.with_membership(lines, small, "l_partkey", "maybe").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "maybe")
 
 
 # --- aggregates ----------------------------------------------------------------------------
 
 
 @query("agg_string_join", """
-SELECT p_brand, string_agg(p_type, ',' ORDER BY p_type) AS types
-FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY p_brand""")
+SELECT p_brand, string_agg(p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY p_brand""")
 def agg_string_join(spark, folder):
     return relational.joined_values(table(spark, folder, "part"), ["p_brand"], "p_type", ",", "types")
 
@@ -246,18 +250,15 @@ def agg_collect_set(spark, folder):
     }).select("text", F.array_join("attributes", ", ").alias("attributes"))
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-
 @query("agg_set_intersection", """
 WITH w AS (SELECT string_split(p_name, ' ')[1] AS word, p_name FROM part),
-     l AS (SELECT chr((96 + i)::INTEGER) AS letter FROM generate_series(1, 26) g(i)),
+     l AS (SELECT DISTINCT unnest(string_split(p_name, '')) AS letter FROM part),
      t AS (SELECT word, letter, count(*) AS n, count(*) FILTER (contains(p_name, letter)) AS held FROM w, l GROUP BY 1, 2)
 SELECT word, coalesce(string_agg(letter, '' ORDER BY letter) FILTER (n = held), '') AS letters FROM t GROUP BY word""")
 def agg_set_intersection(spark, folder):
     part = table(spark, folder, "part").select(
         F.split("p_name", " ")[0].alias("word"), F.array_distinct(F.split("p_name", "")).alias("letters"))
-    return relational.set_intersection_per_key(part, "word", "letters", list(LETTERS)).select(
+    return relational.set_intersection_per_key(part, "word", "letters").select(
         "word", F.array_join("letters", "").alias("letters"))
 
 
@@ -297,16 +298,16 @@ def agg_max_default(spark, folder):
 @query("agg_sorted_join", """
 SELECT string_agg(l_linenumber, ';' ORDER BY l_linenumber) AS numbers FROM (SELECT DISTINCT l_linenumber FROM lineitem)""")
 def agg_sorted_join(spark, folder):
-    return relational.joined_values(table(spark, folder, "lineitem"), [], "l_linenumber", ";", "numbers")
+    return relational.joined_values(table(spark, folder, "lineitem"), [], "l_linenumber", ";", "numbers", distinct=True)
 
 
 # --- sorts, limits -------------------------------------------------------------------------
 
 
-@query("sort_values", "SELECT 'This is a number: ' || o_orderkey AS label FROM orders WHERE contains(o_orderkey::VARCHAR, '1')")
+@query("sort_values", "SELECT 'order no. ' || o_orderkey AS label FROM orders WHERE contains(o_orderkey::VARCHAR, '1')")
 def sort_values(spark, folder):
     return table(spark, folder, "orders").select(
-        tx.prefixed("This is a number: ", F.col("o_orderkey")).alias("label")
+        tx.prefixed("order no. ", F.col("o_orderkey")).alias("label")
     ).where(F.col("label").contains("1")).orderBy("label")
 
 
@@ -332,7 +333,8 @@ def fn_sha256(spark, folder):
 
 @query("fn_lcs", """
 WITH f AS (SELECT p_partkey, p_name AS a, lower(p_brand) AS b FROM part),
-     s AS (SELECT p_partkey, a[i:j] AS piece, b FROM f, generate_series(1, 40) g(i), generate_series(1, 40) h(j)
+     s AS (SELECT p_partkey, a[i:j] AS piece, b FROM f, generate_series(1, (SELECT max(length(p_name)) FROM part)) g(i),
+                generate_series(1, (SELECT max(length(p_name)) FROM part)) h(j)
            WHERE i <= j AND j <= length(a)),
      r AS (SELECT p_partkey, piece, row_number() OVER (PARTITION BY p_partkey ORDER BY length(piece) DESC, piece) AS k
            FROM s WHERE contains(b, piece))
@@ -360,10 +362,13 @@ def fn_array_set(spark, folder):
         F.array_join(both, ",").alias("in_both"))
 
 
-@query("fn_now")
+@query("fn_now", """SELECT o_orderkey, (now() AT TIME ZONE 'UTC')::DATE AS today,
+       o_orderdate < (now() AT TIME ZONE 'UTC') AS passed FROM orders""")
 def fn_now(spark, folder):
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     return table(spark, folder, "orders").select(
-        "o_orderkey", F.current_date().alias("today"), F.current_timestamp().alias("now"))
+        "o_orderkey", now.cast("date").alias("today"),
+        (F.unix_date(F.col("o_orderdate").cast("date")) < F.unix_date(now.cast("date"))).alias("passed"))
 
 
 @query("fn_date_add", "SELECT o_orderkey, o_orderdate::DATE + 7 AS next_week FROM orders")
@@ -373,13 +378,13 @@ def fn_date_add(spark, folder):
 
 
 @query("fn_nulls", """
-SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END, 'no_null_value') AS no_nulls,
-       o_orderstatus = 'P' AS is_null, (o_orderdate + INTERVAL 7 DAY)::DATE AS next_week FROM orders""")
+SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END, '(none)') AS status,
+       o_orderstatus = 'P' AS was_null, (o_orderdate + INTERVAL 7 DAY)::DATE AS next_week FROM orders""")
 def fn_nulls(spark, folder):
     holes = table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("day"),
         F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise(F.col("o_orderstatus")).alias("status"))
     # only the text column is filled; a text does not fit the date column
-    filled = holes.withColumn("was_null", F.col("status").isNull()).na.fill("no_null_value", ["day", "status"])
-    return filled.select("o_orderkey", F.col("status").alias("no_nulls"), F.col("was_null").alias("is_null"),
+    filled = holes.withColumn("was_null", F.col("status").isNull()).na.fill("(none)", ["day", "status"])
+    return filled.select("o_orderkey", "status", "was_null",
                          F.date_add("day", 7).alias("next_week"))
