@@ -16,8 +16,8 @@ from dataprobe.plans import QUERIES  # noqa: E402
 from dataprobe.session import JobConfig, build_session  # noqa: E402
 
 HEADLINE = [
-    "ind_pairs", "ucc_minimal", "ucc_lineitem", "lcs_best", "lcs_best_conversations", "gen_permutations", "resolve_tokens",
-    "resolve_against", "prime_range", "filter_prime", "lww_merge", "lamport_fold", "set_xor", "set_next",
+    "ind_pairs", "ucc_minimal", "ucc_lineitem", "ucc_lineitem_full", "lcs_best", "lcs_best_conversations", "gen_permutations", "resolve_tokens",
+    "resolve_against", "prime_range", "filter_prime", "lww_merge", "lamport_fold", "lamport_fold_long", "set_xor", "set_next",
     "bitmap_count_distinct", "top_per_group", "topk_salary", "join_theta_self", "bloom_semi_join",
 ]
 

@@ -106,10 +106,16 @@ def _release_at_exit() -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+#: Set to a list, it gets the plan of each table that is written down (for tests).
+PLANS: list[str] | None = None
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: a cut in the lineage
     that outlives lost executors."""
     path = scratch_path(df.sparkSession, label)
+    if PLANS is not None:
+        PLANS.append(df._jdf.queryExecution().executedPlan().toString())
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
