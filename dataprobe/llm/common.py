@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -11,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.session import materialize, scratch_path
+from dataprobe.session import materialize
 
-__all__ = ["Words", "checkpointed", "inline_table", "map_arrow", "materialize", "mix64", "pieces", "row_column",
-           "scratch_path", "with_new_columns"]
+__all__ = ["Words", "bytes_of", "inline_table", "map_arrow", "materialize", "mix64", "pieces", "row_column", "small_batches",
+           "with_new_columns"]
 
 #: Bytes of text that are worked on at once in a task. Longer texts come alone.
 PIECE_BYTES = 4 << 20
@@ -105,6 +106,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that are run inside the block send at most ``rows`` rows to Python at once, for rows of several whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_column(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that names of working columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -121,6 +134,3 @@ def inline_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     """A small table from the driver, sent as one JSON literal."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
-
-def checkpointed(df: DataFrame, label: str) -> DataFrame:
-    return materialize(df, label)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.common import Words, map_arrow, materialize, mix64, pieces, row_column, with_new_columns
+from dataprobe.llm.common import Words, map_arrow, materialize, mix64, pieces, row_column, small_batches, with_new_columns
 from dataprobe.llm.graph import Forest, connected_components
 from dataprobe.operators.joins import lookup_join
 
@@ -19,6 +19,8 @@ RADIUS, SEED = 3, 42
 SAMPLE, SAMPLE_PER_LEAF = 1 << 14, 16
 #: Fingerprints per leaf that are wanted of the shared tree, and compared directly within a task.
 LEAF_ROWS, BLOCK = 20_000, 512
+#: Pairs of whole texts that are compared at once.
+PAIRS_PER_BATCH = 200
 
 
 def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -65,10 +67,17 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) ->
 
 
 def word_fingerprints(array: pa.Array, kinds: int) -> np.ndarray:
-    """``kinds`` SimHashes of each text over its single words, each with hashes of its own; 0 for a text without words."""
+    """``kinds`` SimHashes of each text over its distinct words, each with hashes of its own; 0 for a text without words.
+    (With repeats, the commonest words of a language would make all its texts alike.)"""
     words = Words(array, lower=True)
-    hashes = words.hashes()
-    return np.column_stack([_majority(mix64(hashes + np.uint64(k)), words.first) for k in range(kinds)])
+    owner, hashes = np.repeat(np.arange(len(words.first) - 1), words.counts()), words.hashes()
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    owner, hashes = owner[new], hashes[new]
+    first = np.searchsorted(owner, np.arange(len(words.first)))
+    return np.column_stack([_majority(mix64(hashes + np.uint64(k)), first) for k in range(kinds)])
 
 
 def distances(fps: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -248,7 +257,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
                          kinds: int = 8, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document with the smallest id stays.
 
-    Equal texts are one group. Between different texts SimHash proposes links: fingerprints over single words, of several
+    Equal texts are one group. Between different texts SimHash proposes links: fingerprints over distinct words, of several
     ``kinds``, that differ in at most ``radius`` bits, found by vantage-point trees. Each document is compared with the
     nearest and the first one before it in a leaf and with the first of its chain, by ``shingle``-word shingles, and linked from
     ``similarity`` up. Over single words a changed word moves few bits: at a similarity of 0.8 a pair differs in about
@@ -264,6 +273,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
             values = np.concatenate(found or [np.zeros((0, kinds), dtype=np.uint64)]).view(np.int64)
             yield pa.ListArray.from_arrays(np.arange(0, values.size + 1, kinds, dtype=np.int32), values.reshape(-1))
 
+    spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(row_column(docs).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("body"))
     coded = materialize(rows.where("id IS NOT NULL").select(
@@ -291,7 +301,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     pairs = proposed.join(named.select(F.col("id").alias("a"), F.col("text_key").alias("key_a"), F.col("body").alias("text_a")).hint("merge"), "a")
     pairs = pairs.join(named.select(F.col("id").alias("b"), F.col("text_key").alias("key_b"), F.col("body").alias("text_b")).hint("merge"), "b")
-    near = materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+    with small_batches(spark, PAIRS_PER_BATCH):
+        near = materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
     losers = connected_components(near).where("node <> component").select("node")
     groups = texts.join(losers.hint("merge"), "node", "left").select("text_key", "node", losers["node"].isNotNull().alias("lost"))
     gone = coded.select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(
