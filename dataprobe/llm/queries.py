@@ -154,7 +154,24 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
-@query("op8_vector_dedup")
+_VECTOR_SQL = """
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    units AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors WHERE list_dot_product(v, v) > 0),
+    links AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b
+        ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+    reached (a, b) AS (SELECT vec_id, vec_id FROM units UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+    names AS (SELECT a, min(b) AS component FROM reached GROUP BY a),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+           coalesce(vec_id = coalesce(component, vec_id), false) AS kept
+    FROM embeddings LEFT JOIN names ON names.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+
+@query("op8_vector_dedup", _VECTOR_SQL)
 def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.9)
     return found.select("vec_id", "n_links", "component_id", "kept")
@@ -195,7 +212,30 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=42)
 
 
-@query("op10_shards")
+_SHARD_SQL = r"""
+    WITH RECURSIVE steps (i, k, v) AS (
+        SELECT i, 0, i::BIGINT FROM range(256) t(i)
+        UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM steps WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS c FROM steps WHERE k = 8),
+    docs AS (
+        SELECT doc_id, coalesce(text, '') AS body, strlen(coalesce(text, '')) + 8 AS size,
+               ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k1,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k2 FROM documents),
+    units AS (SELECT k1, k2, sum(size) AS bytes FROM docs GROUP BY k1, k2),
+    placed AS (
+        SELECT k1, k2, sum(bytes) OVER (ORDER BY k1, k2) - bytes AS unit_at, sum(bytes) OVER (PARTITION BY k1) AS copies,
+               sum(bytes) OVER () AS total FROM units),
+    shards AS (
+        SELECT k1, k2, ((CASE WHEN copies <= floor(total::DOUBLE / 24 * 0.01) THEN min(unit_at) OVER (PARTITION BY k1)
+            ELSE unit_at END) * 24 // total)::INT AS shard FROM placed)
+    SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)),
+               lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1])))::BIGINT AS text_crc32,
+           'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k1, k2) - 1 AS slot, NULL::INT AS grown_shard
+    FROM docs JOIN shards USING (k1, k2), crc"""
+
+
+@query("op10_shards", _SHARD_SQL)
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"), shards=24)
     return out.select(

@@ -15,9 +15,8 @@ from pyspark.sql.window import Window
 
 from dataprobe.llm.common import inline_table, materialize, row_column, with_new_columns
 
-#: Keys are two numbers of 60 bits, read in digits of 12 bits: 4,096 boundaries are tried in each cell.
+#: Keys are two numbers of 60 bits, read in five digits of 12 bits: 4,096 boundaries are tried in each cell.
 DIGIT = 12
-DIGITS = 5
 LAST = (1 << 60) - 1
 #: The exchange moves cells of about this share of all bytes, so the number of cells is bounded.
 CELLS = 1024
