@@ -21,7 +21,7 @@ from dataprobe.llm.fmindex import FMIndex
 
 WIDTH = 13
 #: Words of the sequences whose least hash names the shard, and windows in a stretch at most.
-SEQUENCE, STRETCH = 4, 16
+SEQUENCE, STRETCH = 3, 16
 #: Text in a shard, before equal stretches and single ones are taken out.
 SHARD_BYTES = 64 << 20
 #: Documents that are looked at for sequences that very many share. It only decides how windows are dealt out.
@@ -78,8 +78,21 @@ def _gather(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """The byte strings ``text[begin[i]:end[i]]``."""
     length = end - begin
     offsets = np.concatenate([[0], np.cumsum(length)])
-    where = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], length)
-    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text[where])])
+    out = np.empty(int(offsets[-1]), dtype=np.uint8)
+    for at in range(0, len(begin), 1 << 15):        # the places of all bytes at once would take eight times their room
+        part = slice(at, at + (1 << 15))
+        lo, hi = offsets[at], offsets[min(at + (1 << 15), len(begin))]
+        out[lo:hi] = text[np.arange(lo, hi) + np.repeat(begin[part] - offsets[:-1][part], length[part])]
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers that are not negative, lowest bytes first, then the next bytes and so on; small numbers compress well so."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(raw: np.ndarray, count: int, width: int) -> np.ndarray:
+    return np.ascontiguousarray(raw[:count * width].reshape(width, count).T).view(f"<u{width}").reshape(-1).astype(np.int64)
 
 
 def _bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +114,25 @@ def _ship(ids: np.ndarray, words: Words, width: int, shards: int, common: np.nda
     texts, first = found.dictionary, np.unique(content, return_index=True)[1]
     document = np.searchsorted(words.first, start, side="right") - 1
     place = (start - words.first[document]).astype(np.int32)
-    order = np.argsort(shard[first], kind="stable")                 # contents by shard
+    low = (key[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+    order = np.lexsort((low, shard[first]))                         # contents by shard
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     texts, by_shard = texts.take(pa.array(order)), shard[first][order]
     data, length = _bytes(texts)
-    low = (key[first][order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    low = low[order]
     held = np.argsort(rank[content], kind="stable")
-    count = np.bincount(rank[content], minlength=len(order)).astype(np.int32)
+    count = np.bincount(rank[content], minlength=len(order))
     owners, place = ids[document][held], place[held]
     c_bytes, c_held = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(count)])
-    codec = pa.Codec("zstd", compression_level=1)
+    codec = pa.Codec("zstd", compression_level=6)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(by_shard)) + 1, [len(by_shard)]])
     columns: list[list] = [[], [], [], [], []]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         p, q = int(c_held[a]), int(c_held[b])
-        raw = b"".join([length[a:b].astype(np.int32).tobytes(), low[a:b].tobytes(), count[a:b].tobytes(),
-                        owners[p:q].tobytes(), place[p:q].tobytes(), data[c_bytes[a]:c_bytes[b]].tobytes()])
+        least = owners[p:q].min()
+        raw = b"".join([np.int64(least).tobytes(), _planes(length[a:b], 4), _planes(np.diff(low[a:b], prepend=0), 4), _planes(count[a:b], 4),
+                        _planes((owners[p:q] - least).view(np.uint64), 8), _planes(place[p:q], 4), data[c_bytes[a]:c_bytes[b]].tobytes()])
         for column, value in zip(columns, (int(by_shard[a]), b - a, q - p, len(raw), codec.compress(raw, asbytes=True))):
             column.append(value)
     yield pa.record_batch([pa.array(c, type=t) for c, t in zip(columns, [pa.int32()] * 4 + [pa.binary()])],
@@ -131,11 +146,12 @@ def _received(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     parts = []
     for n, m, size, data in zip(*columns):
         raw = np.frombuffer(codec.decompress(data, decompressed_size=size), dtype=np.uint8)
-        at, part = 0, []
-        for count, kind in ((n, np.int32), (n, np.uint32), (n, np.int32), (m, np.int64), (m, np.int32)):
-            to = at + count * np.dtype(kind).itemsize
-            part.append(raw[at:to].view(kind))
-            at = to
+        at, part = 8, []
+        for count, width in ((n, 4), (n, 4), (n, 4), (m, 8), (m, 4)):
+            part.append(_from_planes(raw[at:], count, width))
+            at += count * width
+        part[1] = np.cumsum(part[1])
+        part[3] = part[3] + raw[:8].view(np.int64)[0]
         parts.append((*part, raw[at:]))
     low, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     values, which = np.unique(low, return_inverse=True)
