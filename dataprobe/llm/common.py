@@ -18,7 +18,7 @@ __all__ = ["Words", "bytes_of", "inline_table", "map_arrow", "materialize", "mix
            "with_new_columns"]
 
 #: Bytes of text that are worked on at once in a task. Longer texts come alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: U+0020 and U+0009 to U+000D, the white space of the word rule ``[^\\x20\\x09-\\x0D]+``.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -22,6 +22,8 @@ from dataprobe.llm.fmindex import FMIndex
 WIDTH = 13
 #: Words of the sequences whose least hash names the shard, and windows in a stretch at most.
 SEQUENCE, STRETCH = 3, 16
+#: Text of documents whose stretches are sent together. Larger groups compress better and take more memory.
+SHIPPED_BYTES = 4 << 20
 #: Text in a shard, before equal stretches and single ones are taken out.
 SHARD_BYTES = 64 << 20
 #: Documents that are looked at for sequences that very many share. It only decides how windows are dealt out.
@@ -104,8 +106,13 @@ _SHIPPED = "shard int, n int, m int, size int, data binary"
 
 
 def _ship(ids: np.ndarray, words: Words, width: int, shards: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The stretches of some documents, one row for each shard: distinct texts, and who holds them where."""
-    start, windows, key, by = stretches(words, words.hashes(), width, common)
+    """The stretches of some documents, one row for each shard: distinct texts, and where their smallest holder has them.
+
+    All other holders here lose the stretch, whatever the rest of the corpus holds: that is decided at once, and the
+    runs go along in a row of their own. So a shard gets a text once for each such group of documents at most.
+    """
+    hashes = words.hashes()
+    start, windows, key, by = stretches(words, hashes, width, common)
     if not len(start):
         return
     shard = (by % np.uint64(shards)).astype(np.int64)
@@ -113,7 +120,19 @@ def _ship(ids: np.ndarray, words: Words, width: int, shards: int, common: np.nda
     content = found.indices.to_numpy()
     texts, first = found.dictionary, np.unique(content, return_index=True)[1]
     document = np.searchsorted(words.first, start, side="right") - 1
-    place = (start - words.first[document]).astype(np.int32)
+    place = start - words.first[document]
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, content, ids[document])
+    lost = np.flatnonzero(ids[document] > least[content])
+    codec = pa.Codec("zstd", compression_level=6)
+    if len(lost):
+        check = _check(hashes, start[lost], start[lost] + windows[lost] + width - 1)
+        base = ids[document[lost]].min()
+        raw = b"".join([np.int64(base).tobytes(), _planes((ids[document[lost]] - base).view(np.uint64), 8),
+                        _planes(_run(place[lost], windows[lost], check).view(np.uint64), 8)])
+        yield pa.record_batch([pa.array([int(mix64(start[-1:].view(np.uint64) + ids[:1].view(np.uint64))[0] % np.uint64(shards))], pa.int32()),
+                               pa.array([0], pa.int32()), pa.array([len(lost)], pa.int32()), pa.array([len(raw)], pa.int32()),
+                               pa.array([codec.compress(raw, asbytes=True)], pa.binary())], names=["shard", "n", "m", "size", "data"])
     low = (key[first] & np.uint64(0xFFFFFF)).astype(np.int64)
     order = np.lexsort((low, shard[first]))                         # contents by shard
     rank = np.empty(len(order), dtype=np.int64)
@@ -121,31 +140,36 @@ def _ship(ids: np.ndarray, words: Words, width: int, shards: int, common: np.nda
     texts, by_shard = texts.take(pa.array(order)), shard[first][order]
     data, length = _bytes(texts)
     low = low[order]
-    held = np.argsort(rank[content], kind="stable")
-    count = np.bincount(rank[content], minlength=len(order))
+    first_holder = np.flatnonzero(ids[document] == least[content])
+    held = first_holder[np.argsort(rank[content[first_holder]], kind="stable")]
+    count = np.bincount(rank[content[first_holder]], minlength=len(order))
     owners, place = ids[document][held], place[held]
     c_bytes, c_held = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(count)])
-    codec = pa.Codec("zstd", compression_level=6)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(by_shard)) + 1, [len(by_shard)]])
     columns: list[list] = [[], [], [], [], []]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         p, q = int(c_held[a]), int(c_held[b])
-        least = owners[p:q].min()
-        raw = b"".join([np.int64(least).tobytes(), _planes(length[a:b], 4), _planes(np.diff(low[a:b], prepend=0), 4), _planes(count[a:b], 4),
-                        _planes((owners[p:q] - least).view(np.uint64), 8), _planes(place[p:q], 4), data[c_bytes[a]:c_bytes[b]].tobytes()])
+        base = owners[p:q].min()
+        raw = b"".join([np.int64(base).tobytes(), _planes(length[a:b], 4), _planes(np.diff(low[a:b], prepend=0), 4), _planes(count[a:b], 4),
+                        _planes((owners[p:q] - base).view(np.uint64), 8), _planes(place[p:q], 4), data[c_bytes[a]:c_bytes[b]].tobytes()])
         for column, value in zip(columns, (int(by_shard[a]), b - a, q - p, len(raw), codec.compress(raw, asbytes=True))):
             column.append(value)
     yield pa.record_batch([pa.array(c, type=t) for c, t in zip(columns, [pa.int32()] * 4 + [pa.binary()])],
                           names=["shard", "n", "m", "size", "data"])
 
 
-def _received(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct texts of a shard whose key occurs twice or more, and all their holders: text number, document, place."""
+def _received(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[pa.Table]]:
+    """Distinct texts of a shard whose key occurs twice or more, and their holders: text number, document, place; and the
+    runs that were decided before."""
     codec = pa.Codec("zstd")
     columns = [table[c].to_pylist() for c in ("n", "m", "size", "data")]
-    parts = []
+    parts, decided = [], []
     for n, m, size, data in zip(*columns):
         raw = np.frombuffer(codec.decompress(data, decompressed_size=size), dtype=np.uint8)
+        if not n:
+            ids = _from_planes(raw[8:], m, 8) + raw[:8].view(np.int64)[0]
+            decided.append(pa.table({"id": ids, "run": _from_planes(raw[8 + 8 * m:], m, 8)}))
+            continue
         at, part = 8, []
         for count, width in ((n, 4), (n, 4), (n, 4), (m, 8), (m, 4)):
             part.append(_from_planes(raw[at:], count, width))
@@ -153,6 +177,9 @@ def _received(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
         part[1] = np.cumsum(part[1])
         part[3] = part[3] + raw[:8].view(np.int64)[0]
         parts.append((*part, raw[at:]))
+    none = np.zeros(0, dtype=np.int64)
+    if not parts:
+        return pa.array([], type=pa.large_binary()), none, none, none, decided
     low, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     values, which = np.unique(low, return_inverse=True)
     again = np.bincount(which, count, len(values))[which] > 1
@@ -169,11 +196,10 @@ def _received(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
             owners.append(ids[mine])
             places.append(place[mine])
     if not texts:
-        none = np.zeros(0, dtype=np.int64)
-        return pa.array([], type=pa.large_binary()), none, none, none
+        return pa.array([], type=pa.large_binary()), none, none, none, decided
     found = pa.chunked_array(texts).combine_chunks().dictionary_encode()
     content = np.repeat(found.indices.to_numpy(), np.concatenate(sizes))
-    return found.dictionary, content, np.concatenate(owners), np.concatenate(places).astype(np.int64)
+    return found.dictionary, content, np.concatenate(owners), np.concatenate(places), decided
 
 
 def smallest_holders(texts: pa.Array, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -203,6 +229,11 @@ def smallest_holders(texts: pa.Array, least: np.ndarray, width: int) -> tuple[np
     return holder, begin, words
 
 
+def _run(place: np.ndarray, windows: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """A run of windows in one number: the place of its first word (33 bits), how many (6 bits) and a check (24 bits)."""
+    return (place << 30) | (windows << 24) | check
+
+
 def _check(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """24 bits from the words of a stretch, to see that it is the same text."""
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes, dtype=np.uint64)])
@@ -210,11 +241,11 @@ def _check(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def find_in_shard(table: pa.Table, width: int) -> pa.Table:
-    """``(id, run)`` for each run of windows in a shard that a smaller document holds: the place of its first word (32
-    bits), its windows (6 bits) and a check (24 bits) in one number."""
-    texts, content, ids, place = _received(table)
+    """``(id, run)`` for each run of windows in a shard that a smaller document holds, see ``_run``."""
+    texts, content, ids, place, decided = _received(table)
     if not len(content):
-        return pa.table({"id": pa.array([], type=pa.int64()), "run": pa.array([], type=pa.int64())})
+        none = pa.array([], type=pa.int64())
+        return pa.concat_tables([*decided, pa.table({"id": none, "run": none})])
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, content, ids)
     holder, begin, words = smallest_holders(texts, least, width)
@@ -235,8 +266,8 @@ def find_in_shard(table: pa.Table, width: int) -> pa.Table:
     owner = np.repeat(np.arange(len(n)), n)[starts]
     word = words.first[content[owner]] + inside[starts]
     check = _check(words.hashes(), word, word + count + width - 1)
-    run = ((place[owner] + inside[starts]) << 30) | (count << 24) | check
-    return pa.table({"id": ids[owner], "run": run})
+    run = _run(place[owner] + inside[starts], count, check)
+    return pa.concat_tables([*decided, pa.table({"id": ids[owner], "run": run})])
 
 
 def _cut(texts: pa.Array, runs: list[list[int] | None], width: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -294,7 +325,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
     common = np.sort(np.array([r["key"] for r in shared], dtype=np.int64).view(np.uint64))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "body"):
+        for piece in pieces(batches, "body", SHIPPED_BYTES):
             yield from _ship(piece["id"].to_numpy(), Words(piece["body"]), width, shards, common)
 
     runs = map_arrow(base, ship, _SHIPPED).groupBy("shard").applyInArrow(
