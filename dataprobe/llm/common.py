@@ -70,8 +70,10 @@ class Words:
         length = end - start
         self.to = np.cumsum(length + 1) - 1
         self.at = self.to - length
-        self.text = np.full(len(raw[solid]) + len(start), 0x20, dtype=np.uint8)
-        place = np.arange(int(solid.sum())) + np.repeat(np.arange(len(start)), length)
+        self.text = np.full(int(length.sum()) + len(start), 0x20, dtype=np.uint8)
+        small = np.int32 if len(raw) < 1 << 30 else np.int64
+        place = np.repeat(np.arange(len(start), dtype=small), length)
+        place += np.arange(len(place), dtype=small)
         self.text[place] = LOWER[raw[solid]] if lower else raw[solid]
         self.first = np.searchsorted(start, offsets)
 
@@ -80,19 +82,33 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit number per word, equal for equal words. Only good for choosing, not for proving equality."""
-        odd = np.uint64(0x9E3779B97F4A7C15)
-        n = len(self.text)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
-        powers = np.full(n, odd, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-        inverse = np.full(n, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), dtype=np.uint64)
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
-        return mix64((sums[self.to] - sums[self.at]) * inverse[self.at])
+        out = np.zeros(len(self.at), dtype=np.uint64)
+        for i in range(0, len(self.at), 1 << 15):       # some words at a time, so that the powers stay few
+            at, to = self.at[i:i + (1 << 15)], self.to[i:i + (1 << 15)]
+            begin, n = at[0], int(to[-1] - at[0])
+            powers, inverse = _powers(n)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.text[begin:begin + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+            out[i:i + (1 << 15)] = (sums[to - begin] - sums[at - begin]) * inverse[at - begin]
+        return mix64(out)
+
+
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd number and of its inverse, without carry beyond 64 bits. Only those of ordinary texts are kept."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    found = []
+    for factor in (_ODD, pow(_ODD, -1, 1 << 64)):
+        values = np.full(max(n, 1 << 18), np.uint64(factor), dtype=np.uint64)
+        values[0] = 1
+        found.append(np.multiply.accumulate(values))
+    if n <= 1 << 20:
+        _POWERS[:] = found
+    return found
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
