@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataprobe.functions.numbers import is_prime
 from dataprobe.session import spread
 
 SPREAD_LEVELS = 4
 SEGMENT = 1 << 20
 MAX_CHARSET = 20
+MAX_BASE = 1 << 24
 
 
 def _longest(df: DataFrame, expression: str) -> int:
@@ -79,12 +81,16 @@ def primes(spark: SparkSession, low: int, high: int) -> DataFrame:
     """The primes of [low, high], both ends included, as ``n``.
 
     The range is cut into segments and each task sieves its segments; all it needs are
-    the primes up to √high, which it derives itself.
+    the primes up to √high, which it derives itself. Where these are too many (√high above ``MAX_BASE``), the numbers
+    are tested one by one instead, with the same result.
     """
     schema = "n bigint"
     low = max(low, 2)
     if high < low:
         return spark.createDataFrame([], schema)
+    if isqrt(high) > MAX_BASE:
+        # The primes up to √high would not fit in a task; each number is tested by itself.
+        return spark.range(low, high + 1).select(F.col("id").alias("n")).where(is_prime("n"))
     width = max(SEGMENT, isqrt(high))
     count = (high - low) // width + 1
     tasks = min(count, 64 * spark.sparkContext.defaultParallelism)

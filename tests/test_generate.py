@@ -64,6 +64,13 @@ def test_primes(spark, low, high, expected):
     assert sorted(r["n"] for r in generate.primes(spark, low, high).collect()) == expected
 
 
+def test_primes_of_a_high_range(spark, monkeypatch):
+    assert sorted(r["n"] for r in generate.primes(spark, 10**18, 10**18 + 10).collect()) == [10**18 + 3, 10**18 + 9]
+    sieved = sorted(r["n"] for r in generate.primes(spark, 9_000, 11_000).collect())
+    monkeypatch.setattr(generate, "MAX_BASE", 10)
+    assert sorted(r["n"] for r in generate.primes(spark, 9_000, 11_000).collect()) == sieved
+
+
 def test_prime_counts(spark):
     assert generate.primes(spark, 0, 200_000).count() == 17_984
     high = 10**12 + 3_000_000
