@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataprobe.llm.common import Words, map_arrow, materialize, mix64, pieces, row_column, small_batches, with_new_columns
+from dataprobe.llm.decontaminate import shingle_hashes
 from dataprobe.llm.graph import Forest, connected_components
 from dataprobe.operators.joins import lookup_join
 
@@ -21,6 +22,8 @@ SAMPLE, SAMPLE_PER_LEAF = 1 << 14, 16
 LEAF_ROWS, BLOCK = 20_000, 512
 #: Pairs of whole texts that are compared at once.
 PAIRS_PER_BATCH = 200
+#: Most shingles in a signature.
+LONGEST_RUN = 3
 
 
 def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -253,18 +256,60 @@ def shingle_similarity(a: pa.Array, b: pa.Array, shingle: int) -> list[float]:
     return [len(x & y) / len(x | y) if x or y else 1.0 for x, y in zip(*sides)]
 
 
+def signatures(array: pa.Array, similarity: float, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(signature, text, size)``: hashes of which any two of the texts with a shingle similarity of at least ``similarity``
+    share one, and the text's number of distinct shingles.
+
+    A signature is a run of ``r`` neighbours among a text's distinct shingles in the order of their hashes. Let a text have ``a``
+    shingles, ``x`` of them not in its partner, which has ``y`` of its own: x + y <= (1 - s) / s * (a - x). Where the shorter one of
+    the two's first p = r * (1 - s) * a + r shingles ends, they share at least p - x; were no r of these neighbours in both, they
+    would be at most (r - 1) * (x + y + 1), so p <= r * x + (r - 1) * (y + 1), which is at most r * (1 - s) * a + r - 1 while
+    r * (1 - s) <= 1. Texts with fewer than p shingles, and those that may be their partners, give single shingles
+    (r = 1: the first (1 - s) * a + 1). Texts without words share signature 0.
+    """
+    words = Words(array, lower=True)
+    hashes, first = shingle_hashes(words, shingle)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    owner, hashes = owner[new], hashes[new]
+    size = np.bincount(owner, minlength=len(first) - 1)
+    place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    longest = max(r for r in range(1, LONGEST_RUN + 1) if r == 1 or r * (1 - similarity) <= 0.75)
+    few = int(longest / (1 - longest * (1 - similarity)) / similarity) + 1 if longest > 1 else 0
+    none = np.flatnonzero(size == 0)
+    found, owners = [np.zeros(len(none), dtype=np.uint64)], [none]
+    for run in sorted({1, longest}):
+        use = (place <= np.floor(run * (1 - similarity) * size + 1e-6)[owner]) & (place + run <= size[owner])
+        if run < longest:
+            use &= size[owner] <= few
+        at = np.flatnonzero(use)
+        values = np.full(len(at), run, dtype=np.uint64)
+        for k in range(run):
+            values = mix64(values * np.uint64(0x100000001B3) + hashes[at + k])
+        found.append(values)
+        owners.append(owner[at])
+    owner = np.concatenate(owners)
+    return np.concatenate(found), owner, size[owner]
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, shingle: int = 5,
                          kinds: int = 8, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document with the smallest id stays.
 
-    Equal texts are one group. Between different texts SimHash proposes links: fingerprints over distinct words, of several
-    ``kinds``, that differ in at most ``radius`` bits, found by vantage-point trees. Each document is compared with the
-    nearest and the first one before it in a leaf and with the first of its chain, by ``shingle``-word shingles, and linked from
-    ``similarity`` up. Over single words a changed word moves few bits: at a similarity of 0.8 a pair differs in about
-    4 bits of 64, so one kind proposes about 40 % of such pairs and eight nearly all; at 0.9 one kind proposes 65 %.
+    Groups are what chains of pairs with a similarity of at least ``similarity`` (above 0) by distinct ``shingle``-word shingles
+    connect. Equal texts are one group. Most links come cheaply: SimHash fingerprints over distinct words, of several ``kinds``, that
+    differ in at most ``radius`` bits, found by vantage-point trees; each document is compared with the nearest and the first one
+    before it in a leaf and with the first of its chain. What these miss (cut or extended copies, pairs behind a stand-in), exact
+    ``signatures`` find: documents that share one are compared with the first group that has it. Every pair that is linked was verified.
 
     Of rows that share an id and a text all stay or go. Rows with null ids stay. A null text counts as empty.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+
     @F.arrow_udf("array<long>")
     def code(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
@@ -288,21 +333,46 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     chains = connected_components(proposed).where("node <> component").select(
         F.col("node").alias("a"), F.col("component").alias("b"))
     proposed = materialize(proposed.unionByName(chains).distinct(), "proposed")
-    ends = materialize(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    # One text for each id that a link names: that of the group it stands for.
-    named = ends.join(texts.select(F.col("node").alias("id"), "text_key").hint("merge"), "id")
-    named = materialize(lookup_join(
-        rows.where("id IS NOT NULL").select("id", F.md5(F.col("body").cast("binary")).alias("text_key"), "body"),
-        named, ["id", "text_key"]).groupBy("id", "text_key").agg(F.first("body").alias("body")), "named")
 
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(shingle_similarity(a, b, shingle), type=pa.float64())
 
-    pairs = proposed.join(named.select(F.col("id").alias("a"), F.col("text_key").alias("key_a"), F.col("body").alias("text_a")).hint("merge"), "a")
-    pairs = pairs.join(named.select(F.col("id").alias("b"), F.col("text_key").alias("key_b"), F.col("body").alias("text_b")).hint("merge"), "b")
-    with small_batches(spark, PAIRS_PER_BATCH):
-        near = materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+    keyed = rows.where("id IS NOT NULL").select("id", F.md5(F.col("body").cast("binary")).alias("text_key"), "body")
+
+    def verified(proposed: DataFrame) -> DataFrame:
+        """The pairs whose texts are similar enough."""
+        ends = materialize(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+        # One text for each id that a link names: that of the group it stands for.
+        named = ends.join(texts.select(F.col("node").alias("id"), "text_key").hint("merge"), "id")
+        named = materialize(lookup_join(keyed, named, ["id", "text_key"]).groupBy("id", "text_key").agg(
+            F.first("body").alias("body")), "named")
+        pairs = proposed.join(named.select(F.col("id").alias("a"), F.col("body").alias("text_a")).hint("merge"), "a")
+        pairs = pairs.join(named.select(F.col("id").alias("b"), F.col("body").alias("text_b")).hint("merge"), "b")
+        with small_batches(spark, PAIRS_PER_BATCH):
+            return materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "body"):
+            found, owner, size = signatures(piece["body"], similarity, shingle)
+            ids, groups = piece["id"].to_numpy(), piece["component"].to_numpy()
+            yield pa.record_batch({"sig": found.view(np.int64), "node": ids[owner], "component": groups[owner],
+                                   "size": size.astype(np.int32)})
+
+    def grouped(nodes: DataFrame, near: DataFrame) -> DataFrame:
+        """``nodes`` with the ``component`` that the links ``near`` give them."""
+        return nodes.join(connected_components(near).hint("merge"), "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+
+    near = verified(proposed)
+    names = grouped(texts.select("node", "text_key"), near).select(F.col("node").alias("id"), "text_key", "component")
+    signed = map_arrow(lookup_join(keyed, names, ["id", "text_key"]).select("id", "component", "body"), sign,
+                       "sig long, node long, component long, size int")
+    by_sig = Window.partitionBy("sig")
+    shared = materialize(signed.select("*", F.min("component").over(by_sig).alias("low"), F.max("component").over(by_sig).alias("high"))
+                         .where("low < high").select("sig", "node", "component", "size", "low"), "shared")
+    first = shared.where("component <> low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b"))
+    near = materialize(near.unionByName(verified(materialize(first.where("a <> b").distinct(), "proposed"))), "near")
     losers = connected_components(near).where("node <> component").select("node")
     groups = texts.join(losers.hint("merge"), "node", "left").select("text_key", "node", losers["node"].isNotNull().alias("lost"))
     gone = coded.select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(

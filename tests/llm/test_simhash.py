@@ -108,3 +108,62 @@ def test_empty_and_clashing(empty, clashing):
     out = simhash.simhash_components(clashing)
     assert out.count() == 12 and out.where("fp = 'old FP' and row = 'old row'").count() == 12
     assert simhash.drop_near_duplicates(clashing).columns == clashing.columns
+
+
+def grams(text, n=5):
+    w = words(text)
+    return {" ".join(w[i:i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+
+
+def groups_by_brute_force(texts, least=.8):
+    """Smallest id of each group of chains of pairs with a similarity of ``least``."""
+    sets, parent = {i: grams(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+    for a in texts:
+        for b in texts:
+            x, y = sets[a], sets[b]
+            if a < b and (len(x & y) / len(x | y) if x or y else 1.0) >= least:
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {find(i) for i in texts}
+
+
+def test_signatures_find_all_pairs():
+    import pyarrow as pa
+    r = random.Random(8)
+    found = 0
+    for least in (.5, .8, .9, 1.0):
+        for n in [*range(1, 40), 100, 300]:
+            for _ in range(20):
+                a = [f"a{r.random()}" for _ in range(n + 4)]
+                b = list(a)
+                cut, new = r.randint(0, max(1, n // 5)), r.randint(0, max(1, n // 5))
+                b = b[:len(b) - cut] + [f"b{r.random()}" for _ in range(new)]
+                x, y = grams(" ".join(a)), grams(" ".join(b))
+                if len(x & y) / len(x | y) >= least:
+                    sig, owner, size = simhash.signatures(pa.array([" ".join(a), " ".join(b)]), least, 5)
+                    assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (least, n)
+                    assert set(size[owner == 0].tolist()) == {len(x)}
+                    found += 1
+    assert found > 500
+
+
+def test_cut_and_extended_copies_dropped(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10 ** 9)}" for _ in range(n)]
+    texts = {}
+    for k in range(60):
+        base = fresh(r.choice([6, 9, 12, 20, 150, 400]))
+        n = len(base)
+        texts[10 * k] = " ".join(base)
+        texts[10 * k + 1] = " ".join(base[:n - int(.17 * n)])
+        texts[10 * k + 2] = " ".join(fresh(int(.2 * n)) + base)
+        texts[10 * k + 3] = " ".join(base[:n // 2] + fresh(int(.16 * n)) + base[n // 2:])
+        texts[10 * k + 4] = " ".join(base[:n - int(.3 * n)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted(groups_by_brute_force(texts))
