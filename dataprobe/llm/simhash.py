@@ -303,7 +303,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     connect. Equal texts are one group. Most links come cheaply: SimHash fingerprints over distinct words, of several ``kinds``, that
     differ in at most ``radius`` bits, found by vantage-point trees; each document is compared with the nearest and the first one
     before it in a leaf and with the first of its chain. What these miss (cut or extended copies, pairs behind a stand-in), exact
-    ``signatures`` find: documents that share one are compared with the first group that has it. Every pair that is linked was verified.
+    ``signatures`` find: documents that share one are compared with the first group that has it, and then all pairs
+    that share one and are still in different groups. Every pair that is linked was verified.
 
     Of rows that share an id and a text all stay or go. Rows with null ids stay. A null text counts as empty.
     """
@@ -373,6 +374,16 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
                          .where("low < high").select("sig", "node", "component", "size", "low"), "shared")
     first = shared.where("component <> low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b"))
     near = materialize(near.unionByName(verified(materialize(first.where("a <> b").distinct(), "proposed"))), "near")
+    # Now all pairs that share a signature, but for those that are linked already.
+    open_ = grouped(shared.select("sig", "node", "size"), near)
+    open_ = materialize(open_.select("*", F.min("component").over(by_sig).alias("low"), F.max("component").over(by_sig).alias("high"))
+                        .where("low < high").select("sig", "node", "component", "size"), "open")
+    left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size")]) for x in "ab")
+    rest = left.join(right.hint("merge"), "sig").where(
+        (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6))
+    rest = materialize(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "proposed")
+    near = materialize(near.unionByName(verified(rest)).distinct(), "near")
     losers = connected_components(near).where("node <> component").select("node")
     groups = texts.join(losers.hint("merge"), "node", "left").select("text_key", "node", losers["node"].isNotNull().alias("lost"))
     gone = coded.select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(

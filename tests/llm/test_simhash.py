@@ -167,3 +167,18 @@ def test_cut_and_extended_copies_dropped(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect())
     assert kept == sorted(groups_by_brute_force(texts))
+
+
+def test_pairs_behind_a_stand_in_dropped(spark):
+    r = random.Random(12)
+    lines = [" ".join(f"w{r.randrange(10 ** 9)}" for _ in range(6)) for _ in range(40)]
+    texts = {}
+    for k in range(12):
+        r.shuffle(lines)        # the same distinct words in another order: all fingerprints over words are equal
+        own = [w for line in lines for w in line.split()]
+        r.shuffle(own)
+        texts[k] = " ".join(own)
+        texts[20 + k] = " ".join(own[:120] + own[121:122] + own[120:121] + own[122:])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted(groups_by_brute_force(texts)) == list(range(12))
