@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataprobe.llm import decontaminate, mixing, pages, passages, quality, sharding, simhash, tokens, urls, vectors
+from dataprobe.llm import decontaminate, merkle, mixing, pages, passages, ppm, quality, sharding, simhash, tokens, urls, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,99 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Texts whose ids have this remainder are held out: the language model doesn't learn from them.
+LM_FOLDS, LM_HELD_OUT = 7, 2
+
+
+@query("op11_lm_scores")
+def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # A row without an id isn't held out.
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % LM_FOLDS == LM_HELD_OUT, F.lit(False))
+    scored = ppm.score_texts(docs.withColumn("held_out", out), train=~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"), components=4, scale=256)
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def _field_sql(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+_LEAF_SQL = " || ".join(_field_sql(name) for name in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+_MERKLE_SQL = rf"""
+    WITH RECURSIVE steps (i, k, v) AS (
+        SELECT i, 0, i::BIGINT FROM range(256) t(i)
+        UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM steps WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS c FROM steps WHERE k = 8),
+    hashed AS (
+        SELECT row_number() OVER () AS rid, doc_id, source, sha256({_LEAF_SQL.replace("{text}", "text")}) AS leaf,
+               CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                   lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1])) & 1 = 1
+               THEN sha256({_LEAF_SQL.replace("{text}", "replace(text, chr(10), '')")}) END AS changed
+        FROM documents, crc),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+               count(*) OVER (PARTITION BY source) AS n FROM hashed),
+    nodes (source, level, pos, n, digest) AS (
+        SELECT source, 0, pos, n, leaf FROM leaves
+        UNION ALL
+        SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM nodes WHERE n > 1 GROUP BY source, level, pos // 3, n),
+    subroots AS (
+        SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+        FROM nodes WHERE n = 1),
+    tops (level, pos, n, digest) AS (
+        SELECT 0, pos, n, subroot FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+    ranks AS (SELECT level, (3 ** level)::BIGINT AS step FROM range(30) t(level)),
+    lower AS (
+        SELECT rid, r.level, l.pos // step % 3 AS slot,
+               coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos <> l.pos // step), '') AS siblings
+        FROM leaves l JOIN ranks r ON step < l.n
+        JOIN nodes s ON s.source IS NOT DISTINCT FROM l.source AND s.level = r.level AND s.pos // 3 = l.pos // step // 3
+        GROUP BY ALL),
+    upper AS (
+        SELECT b.source, r.level, b.pos // step % 3 AS slot,
+               coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos <> b.pos // step), '') AS siblings
+        FROM subroots b JOIN ranks r ON step < b.n JOIN tops s ON s.level = r.level AND s.pos // 3 = b.pos // step // 3
+        GROUP BY ALL),
+    path AS (
+        SELECT rid, slot, siblings, row_number() OVER (PARTITION BY rid ORDER BY part, level) AS k
+        FROM (SELECT rid, 0 AS part, level, slot, siblings FROM lower
+              UNION ALL SELECT rid, 1, level, slot, siblings FROM leaves l JOIN upper u ON u.source IS NOT DISTINCT FROM l.source)),
+    folds (rid, k, digest) AS (
+        SELECT rid, 0::BIGINT, coalesce(changed, leaf) FROM leaves
+        UNION ALL
+        SELECT f.rid, p.k, sha256(substr(siblings, 1, 64 * slot) || digest || substr(siblings, 64 * slot + 1))
+        FROM folds f JOIN path p ON p.rid = f.rid AND p.k = f.k + 1),
+    folded AS (SELECT rid, arg_max(digest, k) AS folded_root FROM folds GROUP BY rid),
+    proofs AS (SELECT rid, string_agg(siblings, '' ORDER BY k) AS proof FROM path GROUP BY rid)
+    SELECT doc_id, leaf, subroot, digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+           folded_root = digest AS verified
+    FROM leaves l JOIN subroots b ON b.source IS NOT DISTINCT FROM l.source JOIN folded USING (rid) LEFT JOIN proofs USING (rid),
+         (SELECT digest FROM tops WHERE n = 1)"""
+
+
+@query("op13_merkle_manifest", _MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+
+    def leaf(text: Column) -> Column:
+        return merkle.content_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, leaf(F.replace("text", F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs, "source", "doc_id", leaf(F.col("text")), doc_id=F.col("doc_id"), tampered=tampered)
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("row.tampered", "leaf"), F.col("path")))
+    return found.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
