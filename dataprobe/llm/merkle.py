@@ -44,28 +44,27 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return lookup_join(ordered, runs, [group, "task"]).select(*rows.columns, (F.col("at") + F.col("shift")).alias("pos"), "n")
 
 
-def _slot(level: int) -> Column:
-    return F.pmod(F.floor(F.col("pos") / FAN ** level), F.lit(FAN)).cast("int")
+def _slot(level: int) -> str:
+    """The place of the row's node of a level within its run."""
+    return f"CAST(pos div {FAN ** level} % {FAN} AS INT)"
 
 
 def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """``nodes`` (``g``, ``pos``, ``n``, ``digest``) with ``block`` and, in the rows of first leaves, the siblings of the node of each
     level and the block's root. Written down."""
     size = FAN ** levels
-    found = nodes.withColumn("block", F.floor(F.col("pos") / size)).withColumn("d0", F.col("digest"))
-    block = Window.partitionBy("g", "block").orderBy("pos")
+    found = nodes.selectExpr("*", f"floor(pos / {size}) AS block", "digest AS d0")
+    over = "OVER (PARTITION BY g, block ORDER BY pos)"
     for level in range(levels):
-        step, own, slot = FAN ** level, F.col(f"d{level}"), _slot(level)
-        found = found.select(
-            "*", *[F.lag(own, k * step).over(block).alias(f"lag{k}") for k in (1, 2)],
-            *[F.lead(own, k * step).over(block).alias(f"lead{k}") for k in (1, 2)])
-        left = [F.when(slot >= k, F.col(f"lag{k}")) for k in (2, 1)]
-        right = [F.when((slot + k < FAN) & (F.col("pos") + k * step < F.col("n")), F.col(f"lead{k}")) for k in (1, 2)]
-        live = (F.col("n") > step) & (F.col("pos") % step == 0)     # a node of this level that isn't the only one
-        siblings = F.concat(*[F.coalesce(x, F.lit("")) for x in left + right])
-        parent = F.sha2(F.concat(own, *[F.coalesce(x, F.lit("")) for x in right]), 256)
-        found = found.select("*", F.when(live, siblings).alias(f"siblings{level}"),
-                             F.when(live & (slot == 0), parent).alias(f"d{level + 1}")).drop("lag1", "lag2", "lead1", "lead2")
+        step, own, slot = FAN ** level, f"d{level}", _slot(level)
+        found = found.selectExpr("*", *[f"{side}({own}, {k * step}) {over} AS {side}{k}" for side in ("lag", "lead") for k in (1, 2)])
+        left = [f"if({slot} >= {k}, lag{k}, '')" for k in (2, 1)]
+        right = [f"if({slot} + {k} < {FAN} AND pos + {k * step} < n, lead{k}, '')" for k in (1, 2)]
+        live = f"n > {step} AND pos % {step} = 0"       # a node of this level that isn't the only one
+        found = found.selectExpr(
+            "*", f"CASE WHEN {live} THEN concat({', '.join(left + right)}) END AS siblings{level}",
+            f"CASE WHEN {live} AND {slot} = 0 THEN sha2(concat({own}, {', '.join(right)}), 256) END AS d{level + 1}",
+        ).drop("lag1", "lag2", "lead1", "lead2")
     roots = F.coalesce(*[F.col(f"d{level}") for level in range(levels, -1, -1)])
     found = found.withColumn("top", F.when(F.col("pos") % size == 0, roots))
     return materialize(found.drop(*[f"d{level}" for level in range(levels + 1)]), "merkle-blocks")
@@ -80,12 +79,11 @@ def _tops(blocks: DataFrame, levels: int) -> DataFrame:
 def _paths(blocks: DataFrame, upper: DataFrame, levels: int) -> DataFrame:
     """The rows of ``blocks`` with ``path``, from their own level up, after which ``upper`` (``g``, ``block``, ``above`` and what
     else it has) goes on."""
-    block = Window.partitionBy("g", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    filled = blocks.join(upper.hint("merge"), ["g", "block"]).select(
-        "*", *[F.last(f"siblings{level}", ignorenulls=True).over(block).alias(f"s{level}") for level in range(levels)])
-    path = F.filter(F.array(*[F.struct(_slot(level).alias("slot"), F.col(f"s{level}").alias("siblings"))
-                              for level in range(levels)]), lambda x: x["siblings"].isNotNull())
-    return filled.withColumn("path", F.concat(path, F.col("above"))).drop(
+    over = "OVER (PARTITION BY g, block ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    filled = blocks.join(upper.hint("merge"), ["g", "block"]).selectExpr(
+        "*", *[f"last_value(siblings{level}) IGNORE NULLS {over} AS s{level}" for level in range(levels)])
+    steps = ", ".join(f"named_struct('slot', {_slot(level)}, 'siblings', s{level})" for level in range(levels))
+    return filled.withColumn("path", F.expr(f"concat(filter(array({steps}), x -> x.siblings IS NOT NULL), above)")).drop(
         "top", "above", *[f"{name}{level}" for level in range(levels) for name in ("s", "siblings")])
 
 
