@@ -1,100 +1,201 @@
 """Minimal unique column combinations of one table.
 
-The driver walks the lattice of column sets level by level (it holds column names
-only); every test of a set runs as Spark aggregates. Nulls count as values: NULL equals NULL.
+Two rows that agree on a set of columns refute every subset of it, so a few well chosen pairs rule out most of the lattice, and
+the smallest sets that no known pair refutes are the candidates. They are tested on hash slices, which refute most of them, and then on
+all rows, over stripped clusters: a row that is alone with its values of a set is alone for every superset and is not looked at
+again. A failed test gives new pairs, until all candidates have passed. The driver holds sets of column names only. Nulls count as values: NULL equals NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 100_000
-PER_SCAN = 96
+from dataprobe.operators.joins import broadcast_if_small
+from dataprobe.session import materialize
 
+#: Rows per order of columns that are searched for pairs which agree on many columns.
+SLICE_ROWS = 10_000
+#: Rows of the slice on which candidates are tested first.
+TEST_ROWS = 64_000
+#: Sets that are tested in one scan, which keeps the generated code small, and pairs of rows that a failed test gives.
+PER_SCAN, WITNESSES = 96, 64
+#: Share of the rows that must be alone in a set's clusters for the set to be remembered, and how many sets are (bits of a long).
+LONE_SHARE, MOST_STRIPPED = 0.5, 62
 
-def _fingerprints(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> DataFrame:
-    """``(i, h1, h2)``: for each row and candidate the number of the candidate and 128 bits that name its values.
+Columns = frozenset[int]
 
-    Each column is hashed twice, with its number and whether it is null (hashes skip nulls); a set has the exclusive or of
-    its columns' hashes. Equal values have equal bits, so bits without a repeat prove a set unique. The table is scanned
-    once for up to ``PER_SCAN`` sets, which keeps the generated code small.
-    """
-    names = sorted({c for columns in candidates for c in columns})
-    place = {c: k for k, c in enumerate(names)}
-    hashed = df.select(*[
-        F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
-        for k, c in enumerate(names) for side in (0, 1)])
 
-    def both(side: str, columns: tuple[str, ...]) -> Column:
-        return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{side}{place[c]}") for c in columns])
+def _encoded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(rid, alone, a0, b0, a1, b1, ...)``: a number for each row and 128 bits for each of its values, by which rows are compared.
 
-    parts = []
-    for start in range(0, len(candidates), PER_SCAN):
-        rows = [F.struct(F.lit(start + i).alias("i"), both("a", c).alias("h1"), both("b", c).alias("h2"))
-                for i, c in enumerate(candidates[start:start + PER_SCAN])]
-        parts.append(hashed.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
-    return reduce(DataFrame.unionAll, parts)
+    Each column is hashed twice, with its number and whether it is null (hashes skip nulls); a set of columns has the exclusive
+    or of its columns' hashes. Equal values have equal bits, so bits without a repeat prove a set unique.
+    """
+    hashed = [F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
+              for k, c in enumerate(columns) for side in (0, 1)]
+    return materialize(df.select(F.monotonically_increasing_id().alias("rid"), F.lit(0).cast("long").alias("alone"), *hashed), "encoded")
 
 
-def _with_repeats(df: DataFrame, candidates: Sequence[tuple[str, ...]], slices: int = 1) -> set[tuple[str, ...]]:
-    """The candidates that hold a repeated value: one scan and one aggregate for all of them.
+def _bits(side: str, columns: Iterable[int]) -> Column:
+    return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{side}{k}") for k in sorted(columns)])
 
-    With ``slices`` only the values that hash to slice 0 are looked at. All rows with a
-    value are in the same slice, so a repeat found there is one of the whole table, while
-    only the slice is shuffled; finding none says nothing.
-    """
-    if not candidates:
-        return set()
-    hashes = _fingerprints(df, candidates)
-    if slices > 1:
-        hashes = hashes.where(F.pmod(F.col("h1"), F.lit(slices)) == 0)
-    repeated = hashes.groupBy("i", "h1", "h2").count().where("count > 1").select("i").distinct()
-    return {candidates[row["i"]] for row in repeated.collect()}
+
+def _clusters(rows: DataFrame, sets: Sequence[Columns], stripped: Sequence[Columns], slices: int = 1) -> DataFrame:
+    """``(i, h1, h2, rid)`` for each row and each of the ``sets`` that the row isn't known to be alone in. With ``slices`` only those
+    whose values hash to slice 0; clusters are in it as a whole, so what is found there holds for the table."""
+    parts = []
+    for start in range(0, len(sets), PER_SCAN):
+        found = []
+        for i, columns in enumerate(sets[start:start + PER_SCAN], start):
+            known = sum(1 << k for k, part in enumerate(stripped) if part <= columns)
+            wanted = [F.col("alone").bitwiseAND(F.lit(known)) == 0] if known else []
+            wanted += [F.pmod(_bits("a", columns), F.lit(slices)) == 0] if slices > 1 else []
+            cluster = F.struct(F.lit(i).alias("i"), _bits("a", columns).alias("h1"), _bits("b", columns).alias("h2"))
+            found.append(F.when(reduce(lambda x, y: x & y, wanted), cluster) if wanted else cluster)
+        listed = F.array_compact(F.array(*found))
+        parts.append(rows.select("rid", F.explode(listed).alias("x")).select("x.*", "rid"))
+    return reduce(DataFrame.unionAll, parts)
 
 
-def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Distinct count per column (null is a value), in one scan."""
-    counted = _fingerprints(df, [(c,) for c in columns]).distinct().groupBy("i").count()
-    return {columns[row["i"]]: row["count"] for row in counted.collect()}
+def _lone_shares(rows: DataFrame, sets: Sequence[Columns], slices: int) -> list[float]:
+    """For each set the share of the rows that are alone with their values, in one slice."""
+    sizes = _clusters(rows, sets, [], slices).groupBy("i", "h1", "h2").count()
+    found = {r["i"]: r["lone"] / r["all"] for r in sizes.groupBy("i").agg(
+        F.sum(F.when(F.col("count") == 1, 1).otherwise(0)).alias("lone"), F.sum("count").alias("all")).collect()}
+    return [found.get(i, 0.0) for i in range(len(sets))]
+
+
+def _strip(rows: DataFrame, sets: Sequence[Columns], stripped: list[Columns]) -> DataFrame:
+    """Find the rows that are alone in a cluster of one of the ``sets`` and note it in their ``alone``. Rows that are alone in a parent's
+    cluster have left before, so a set's clusters are made of its parents'."""
+    lone = _clusters(rows, sets, stripped).groupBy("i", "h1", "h2").agg(
+        F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1")
+    bit = F.expr(f"shiftleft(1L, {len(stripped)} + i)")
+    marks = lone.groupBy("rid").agg(F.bit_or(bit).alias("new"))
+    stripped += sets
+    return materialize(rows.join(marks.hint("merge"), "rid", "left").withColumn(
+        "alone", F.col("alone").bitwiseOR(F.coalesce("new", F.lit(0)))).drop("new"), "stripped")
+
+
+def _agreements(rows: DataFrame, size: int, total: int, slice_rows: int) -> set[Columns]:
+    """Sets of columns on which two rows agree: of neighbours in the orders that begin with each pair of columns. An order is looked
+    at in one hash slice of the pair's values, about ``slice_rows`` rows, so clusters of the pair are seen whole."""
+    pairs = list(combinations(range(size), 2))
+    slices = max(1, total // slice_rows)
+    bits = [f"{side}{k}" for k in range(size) for side in "ab"]
+    picked = F.filter(F.array(*[F.when(F.pmod(_bits("a", pair), F.lit(slices)) == 0, F.lit(i)) for i, pair in enumerate(pairs)]),
+                      lambda x: x.isNotNull())
+
+    def neighbours(table: pa.Table) -> pa.Table:
+        first = pairs[table["i"][0].as_py()]
+        values = {name: table[name].to_numpy() for name in bits}
+        found = set()
+        # Ties of the pair are ordered by the other columns, once from the left and once from the right.
+        others = [k for k in range(size) if k not in first]
+        for rest in (others, others[::-1]):
+            order = np.lexsort([values[f"a{k}"] for k in [*first, *rest][::-1]])
+            for step in (1, 2):
+                same = np.stack([(values[f"a{k}"][order][step:] == values[f"a{k}"][order][:-step])
+                                 & (values[f"b{k}"][order][step:] == values[f"b{k}"][order][:-step]) for k in range(size)], axis=1)
+                found |= {"".join("01"[int(x)] for x in mask) for mask in np.unique(same, axis=0)}
+        return pa.table({"mask": pa.array(sorted(found), type=pa.string())})
+
+    sliced = rows.select(F.explode(picked).alias("i"), *bits)
+    masks = sliced.groupBy("i").applyInArrow(neighbours, "mask string").distinct()
+    return {frozenset(k for k, x in enumerate(row["mask"]) if x == "1") for row in masks.collect()}
+
+
+def _witnesses(rows: DataFrame, sets: Sequence[Columns], stripped: Sequence[Columns], size: int,
+               slices: int = 1) -> dict[Columns, set[Columns]]:
+    """For each of the ``sets`` that has a repeat the columns on which pairs of rows agree, up to ``WITNESSES`` of them."""
+    repeated = _clusters(rows, sets, stripped, slices).groupBy("i", "h1", "h2").agg(
+        F.count("*").alias("n"), F.min("rid").alias("x"), F.max("rid").alias("y")).where("n > 1")
+    pairs = materialize(repeated.groupBy("i", F.pmod("h2", F.lit(WITNESSES)).alias("part")).agg(
+        F.max(F.struct("x", "y")).alias("pair")).select("i", "pair.*"), "witnesses")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
+    bits = F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in range(size)])
+    named = materialize(rows.join(broadcast_if_small(ends), "rid", "left_semi").select("rid", bits.alias("bits")), "witness-rows")
+    both = pairs.join(broadcast_if_small(named.select(F.col("rid").alias("x"), F.col("bits").alias("mine"))), "x").join(
+        broadcast_if_small(named.select(F.col("rid").alias("y"), F.col("bits").alias("other"))), "y")
+    masks = both.select("i", F.zip_with("mine", "other", lambda p, q: p == q).alias("same")).distinct()
+    found: dict[Columns, set[Columns]] = {}
+    for row in masks.collect():
+        found.setdefault(sets[row["i"]], set()).add(frozenset(k for k, x in enumerate(row["same"]) if x))
+    return found
+
+
+def _minimal_hitting(known: set[Columns], agreements: Iterable[Columns], size: int, most: int) -> set[Columns]:
+    """Of the sets of up to ``most`` columns that no agreement holds the smallest ones; ``known`` are those before it."""
+    for agreed in agreements:
+        failing = {c for c in known if c <= agreed}
+        if not failing:
+            continue
+        known = known - failing
+        grown = {c | {k} for c in failing if len(c) < most for k in range(size) if k not in agreed}
+        for c in sorted(grown, key=len):
+            if not any(other <= c for other in known):
+                known.add(c)
+    return known
+
+
+def _strip_parents(rows: DataFrame, sets: Sequence[Columns], stripped: list[Columns], size: int, slices: int) -> DataFrame:
+    """Strip by columns and pairs of columns that leave few rows to test for the ``sets``, the smallest parents first."""
+    single = [frozenset([k]) for k in range(size)]
+    pairs = sorted({frozenset(p) for c in sets if len(c) > 2 for p in combinations(c, 2)}, key=sorted)
+    parents = single + pairs
+    shares = dict(zip(parents, _lone_shares(rows, parents, slices * (1 + len(parents) // PER_SCAN))))
+    chosen: list[Columns] = []
+    while len(chosen) < MOST_STRIPPED:
+        rest = [c for c in sets if not any(p <= c for p in chosen)]
+        # What a parent saves: the rows alone in it, for each set but one, which its own test costs.
+        saved = {p: shares[p] * sum(p < c for c in rest) - 1 for p in parents if shares[p] >= LONE_SHARE}
+        best = max(saved, key=lambda p: (saved[p], -len(p), sorted(p)), default=None)
+        if best is None or saved[best] <= 0:
+            break
+        chosen.append(best)
+    for level in (1, 2):
+        some = [p for p in chosen if len(p) == level]
+        rows = _strip(rows, some, stripped) if some else rows
+    return rows
 
 
 def discover_uccs(df: DataFrame, max_size: int | None = None,
                   columns: Sequence[str] | None = None, slice_rows: int = SLICE_ROWS) -> list[tuple[str, ...]]:
-    """All minimal unique column sets with at most ``max_size`` columns, in column order.
+    """All minimal unique column sets with at most ``max_size`` columns, by size and then in column order.
 
-    A set is looked at only if no part of it is unique. It then passes up to three sieves, each of which only rejects:
-    1. fewer possible values than rows (product of the distinct counts),
-    2. on large tables, a repeat among the values of one hash slice of about ``slice_rows`` rows,
-    3. a repeat among all rows. Only sets that pass it are reported.
-    A level of up to ``PER_SCAN`` sets takes one scan over the whole table, or two if it is large.
+    Every reported set was tested on all rows, and for each of its columns two rows are known that agree on all the others. Each
+    round tests the open candidates in one aggregate for up to ``PER_SCAN`` of them, on a slice until none fails there.
     """
     columns = list(columns or df.columns)
-    max_size = min(max_size or len(columns), len(columns))
-    rows = df.count()
-    slices = max(1, rows // slice_rows)
-    if rows <= 1:
+    size = len(columns)
+    most = min(max_size or size, size)
+    rows = _encoded(df, columns)
+    total = rows.count()
+    if total <= 1:
         return [(c,) for c in columns]
-    distinct = _distinct_counts(df, columns)
-    minimal = [(c,) for c in columns if distinct[c] == rows]
-    open_columns = [c for c in columns if 1 < distinct[c] < rows]  # a constant adds nothing
-    for size in range(2, max_size + 1):
-        known = [set(m) for m in minimal]
-        candidates = [
-            c for c in combinations(open_columns, size)
-            if not any(m <= set(c) for m in known)
-            and reduce(lambda a, b: a * b, (distinct[x] for x in c)) >= rows
-        ]
-        if slices > 1:
-            refuted = _with_repeats(df, candidates, slices)
-            candidates = [c for c in candidates if c not in refuted]
-        refuted = _with_repeats(df, candidates)
-        minimal += [c for c in candidates if c not in refuted]
-    return minimal
+    slices = max(1, total // TEST_ROWS)
+    agreements = _agreements(rows, size, total, slice_rows) if size > 1 else set()
+    candidates = _minimal_hitting({frozenset([k]) for k in range(size)}, agreements, size, most)
+    stripped: list[Columns] = []
+    passed: set[Columns] = set()        # on a slice
+    proven: set[Columns] = set()        # on all rows
+    while candidates - proven:
+        sliced = slices > 1 and bool(candidates - passed - proven)
+        open_ = sorted(candidates - (passed if sliced else proven), key=lambda c: (len(c), sorted(c)))
+        if not sliced and slices > 1 and not stripped:
+            rows = _strip_parents(rows, open_, stripped, size, slices)
+        refuted = _witnesses(rows, open_, stripped, size, slices if sliced else 1)
+        (passed if sliced else proven).update(c for c in open_ if c not in refuted)
+        for found in refuted.values():
+            candidates = _minimal_hitting(candidates, found, size, most)
+    return [tuple(columns[k] for k in sorted(c)) for c in sorted(candidates, key=lambda c: (len(c), sorted(c)))]
 
 
 def is_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:

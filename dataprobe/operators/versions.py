@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +90,44 @@ def _fold_in_aggregate(writes: DataFrame) -> DataFrame:
     )
 
 
-def _replay(rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+State = tuple[int, int] | None
+#: Block summaries that are chained in one task.
+CHAIN = 64
+
+
+def _replay(counters: list, leaders: list, state: State) -> tuple[list[bool], list[int | None]]:
+    """Which writes are accepted from ``state`` on, and the counter that is stored after each."""
     accepted, stored = [], []
-    for counter, leader, valid in zip(rows["counter"].tolist(), rows["leader"].tolist(), rows["valid"].tolist()):
-        take = valid and (state is None or (counter, leader) > state)
+    for counter, leader in zip(counters, leaders):
+        take = counter is not None and leader is not None and (state is None or (counter, leader) > state)
         if take:
             state = (counter + 1, leader)
         accepted.append(take)
         stored.append(None if state is None else state[0])
-    return rows.assign(accepted=accepted, stored=pd.array(stored, dtype="Int64"))
+    return accepted, stored
+
+
+def _after(effect: Sequence[tuple], state: State) -> State:
+    """The state that ``effect`` turns ``state`` into."""
+    for below_counter, below_leader, counter, leader in effect:
+        if state is None or state < (below_counter, below_leader):
+            return counter, leader
+    return state
+
+
+def _both(first: Sequence[tuple], second: Sequence[tuple]) -> list[tuple]:
+    """The effect of ``first`` and then ``second``: its pieces end where ``second`` takes their ends, and states above them all
+    meet ``second`` as they are."""
+    out: list[tuple] = []
+    pieces = [(*piece[:2], *_after(second, piece[2:])) for piece in first]
+    last = first[-1][:2] if first else None
+    pieces += [piece for piece in second if last is None or piece[:2] > last]
+    for piece in pieces:
+        if out and out[-1][2:] == piece[2:]:
+            out[-1] = piece
+        else:
+            out.append(piece)
+    return out
 
 
 def _block_effect(writes: Sequence[tuple]) -> list[tuple]:
@@ -147,69 +177,79 @@ def _block_effect(writes: Sequence[tuple]) -> list[tuple]:
 
 
 def _fold_blocks(writes: DataFrame, blocks: int) -> DataFrame:
-    """Long histories: (1) each block of consecutive writes is summed up by its effect on any
-    earlier state, (2) the summaries of a key are chained, which gives the state at the
-    start of each block, (3) each block is replayed from there.
+    """Long histories: (1) each block of consecutive writes is summed up by its effect on any earlier state, (2) the
+    effects of a key are chained, which gives the state at the start of each block, (3) each block is replayed from there.
 
-    Blocks are range partitions of (key, seq), so they are equally large however the
-    writes are spread, and one key may fill many of them. They are written down once, since
-    all three steps must see the same cut.
+    Blocks are range partitions of (key, seq), so they are equally large however the writes are spread, and one key may fill many of
+    them. They are written down once, since all steps must see the same cut. Effects are chained in a tree: ``CHAIN`` blocks in a row
+    become one of the next level, until a key has one; then the states go down the levels in the same groups.
     """
     kinds = {f.name: f.dataType.simpleString() for f in writes.schema.fields}
     key, leader, counter = kinds["key"], kinds["leader"], kinds["counter"]
-    # pandas turns whole numbers with gaps into floats, so the gaps are filled and marked.
-    valid = F.col("counter").isNotNull() & F.col("leader").isNotNull()
-    filled = writes.select(
-        "key", "seq", F.coalesce("leader", F.lit(0).cast(leader)).alias("leader"),
-        F.coalesce("counter", F.lit(0).cast(counter)).alias("counter"), valid.alias("valid"),
-        F.struct("leader", "counter").alias("given"))
-    blocks = materialize(
-        filled.repartitionByRange(blocks, "key", "seq").withColumn("block", F.spark_partition_id()), "blocks")
-    given = blocks.select("key", "seq", "given")
-    blocks = blocks.drop("given")
-
-    def summarize(rows: pd.DataFrame) -> pd.DataFrame:
-        valid = rows[rows["valid"]].sort_values("seq")
-        effect = _block_effect(list(zip(valid["counter"].tolist(), valid["leader"].tolist())))
-        if not effect:
-            return pd.DataFrame({"key": [], "block": [], "below_counter": [], "below_leader": [], "end_counter": [], "end_leader": []})
-        out = pd.DataFrame(effect, columns=["below_counter", "below_leader", "end_counter", "end_leader"])
-        out.insert(0, "key", rows["key"].iloc[0])
-        out.insert(1, "block", rows["block"].iloc[0])
-        return out
-
-    effects = blocks.groupBy("key", "block").applyInPandas(
-        summarize, f"key {key}, block int, below_counter {counter}, below_leader {leader}, "
-                   f"end_counter {counter}, end_leader {leader}")
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for number, part in rows.sort_values(["block", "below_counter", "below_leader"]).groupby("block"):
-            out.append((rows["key"].iloc[0], number, *(state or (None, None))))
-            for below_c, below_l, end_c, end_l in part[
-                ["below_counter", "below_leader", "end_counter", "end_leader"]
-            ].itertuples(index=False):
-                if state is None or state < (below_c, below_l):
-                    state = (end_c, end_l)
-                    break
-        keys, numbers, counters, leaders = zip(*out)
-        return pd.DataFrame({"key": list(keys), "block": list(numbers), "from_counter": pd.array(counters, dtype="Int64"),
-                             "from_leader": pd.array(leaders, dtype="Int64")})
-
-    starts = effects.groupBy("key").applyInPandas(
-        chain, f"key {key}, block int, from_counter {counter}, from_leader {leader}")
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        first = rows.iloc[0]
-        state = None if pd.isna(first["from_counter"]) else (int(first["from_counter"]), int(first["from_leader"]))
-        return _replay(rows[["key", "seq", "leader", "counter", "valid"]], state)
-
-    replayed = blocks.join(starts, ["key", "block"], "left").groupBy("key", "block").applyInPandas(
-        replay, f"key {key}, seq {kinds['seq']}, leader {leader}, counter {counter}, valid boolean, "
-                f"accepted boolean, stored {counter}")
-    whole = replayed.where("valid").drop("valid")
-    # The few writes with gaps get them back.
-    holes = replayed.where("NOT valid").join(given, ["key", "seq"]).select(
-        "key", "seq", "given.leader", "given.counter", "accepted", "stored")
-    return whole.unionByName(holes)
+    numbered = materialize(
+        writes.repartitionByRange(blocks, "key", "seq").withColumn("block", F.spark_partition_id()), "blocks")
+    effect_type = (f"key {key}, block int, effect array<struct<below_counter:{counter},below_leader:{leader},"
+                   f"counter:{counter},leader:{leader}>>")
+    names = ("below_counter", "below_leader", "counter", "leader")
+
+    def effect_table(like: pa.Table, block: int, effect: Sequence[tuple]) -> pa.Table:
+        kinds = [like.schema.field(c).type for c in ("counter", "leader")]
+        piece = pa.struct(list(zip(names, kinds * 2)))
+        return pa.table({"key": like["key"].slice(0, 1), "block": pa.array([block], type=pa.int32()),
+                         "effect": pa.array([[dict(zip(names, p)) for p in effect]], type=pa.list_(piece))})
+
+    def summarize(rows: pa.Table) -> pa.Table:
+        valid = rows.filter(pc.and_(pc.is_valid(rows["counter"]), pc.is_valid(rows["leader"]))).sort_by("seq")
+        effect = _block_effect(list(zip(valid["counter"].to_pylist(), valid["leader"].to_pylist())))
+        return effect_table(rows, rows["block"][0].as_py(), effect)
+
+    def in_order(rows: pa.Table) -> list[tuple[int, list[tuple]]]:
+        """The blocks of a group and their effects."""
+        return sorted((row["block"], [tuple(p[n] for n in names) for p in row["effect"]]) for row in rows.select(["block", "effect"]).to_pylist())
+
+    def unite(rows: pa.Table) -> pa.Table:
+        found = in_order(rows)
+        effect: list[tuple] = []
+        for _, later in found:
+            effect = _both(effect, later)
+        return pa.table({"key": rows["key"].slice(0, 1), "block": pa.array([found[0][0] // CHAIN], type=pa.int32()),
+                         "effect": pa.array([[dict(zip(names, p)) for p in effect]], type=rows.schema.field("effect").type)})
+
+    levels = [materialize(numbered.groupBy("key", "block").applyInArrow(summarize, effect_type), "effects")]
+    width = blocks
+    while width > 1:
+        width = -(-width // CHAIN)
+        levels.append(materialize(levels[-1].groupBy("key", F.floor(F.col("block") / CHAIN).alias("run")).applyInArrow(
+            unite, effect_type), "effects"))
+
+    def hand_down(above: pa.Table, rows: pa.Table) -> pa.Table:
+        """The state before each block of a run, from the state before the run."""
+        first = above.select(["counter", "leader"]).to_pylist()[0]
+        state = None if first["counter"] is None else (first["counter"], first["leader"])
+        found, before = in_order(rows), []
+        for _, effect in found:
+            before.append(state)
+            state = _after(effect, state)
+        columns = {c: pa.array([None if s is None else s[k] for s in before], type=above.schema.field(c).type)
+                   for k, c in enumerate(("counter", "leader"))}
+        return pa.table({"key": rows["key"], "block": pa.array([b for b, _ in found], type=pa.int32()), **columns})
+
+    start_type = f"key {key}, block int, counter {counter}, leader {leader}"
+    nothing = [F.lit(None).cast(counter).alias("counter"), F.lit(None).cast(leader).alias("leader")]
+    starts = levels[-1].select("key", "block", *nothing)
+    for effects in levels[-2::-1]:
+        runs = effects.withColumn("run", F.floor(F.col("block") / CHAIN).cast("int"))
+        starts = materialize(starts.withColumnRenamed("block", "run").groupBy("key", "run").cogroup(
+            runs.groupBy("key", "run")).applyInArrow(hand_down, start_type), "starts")
+
+    def replay(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        first = rows.select(["from_counter", "from_leader"]).slice(0, 1).to_pylist()[0]
+        state = None if first["from_counter"] is None else (first["from_counter"], first["from_leader"])
+        accepted, stored = _replay(rows["counter"].to_pylist(), rows["leader"].to_pylist(), state)
+        return rows.select(["key", "seq", "leader", "counter"]).append_column("accepted", pa.array(accepted)).append_column(
+            "stored", pa.array(stored, type=rows.schema.field("counter").type))
+
+    begun = starts.select("key", "block", F.col("counter").alias("from_counter"), F.col("leader").alias("from_leader"))
+    return numbered.join(begun, ["key", "block"], "left").groupBy("key", "block").applyInArrow(
+        replay, f"key {key}, seq {kinds['seq']}, leader {leader}, counter {counter}, accepted boolean, stored {counter}")

@@ -66,3 +66,28 @@ def test_effect_of_a_block_on_every_earlier_state():
                     expected = (counter + 1, leader)
             got = next(((c, l) for bc, bl, c, l in effect if state is None or state < (bc, bl)), state)
             assert got == expected
+
+
+def test_effects_of_two_blocks_in_a_row():
+    rng = random.Random(8)
+    for _ in range(300):
+        first, second = ([(rng.randrange(8), rng.randrange(3)) for _ in range(rng.randrange(0, 7))] for _ in range(2))
+        both = versions._both(_block_effect(first), _block_effect(second))
+        for state in [None, *((c, l) for c in range(10) for l in range(3))]:
+            assert versions._after(both, state) == versions._after(_block_effect(second), versions._after(_block_effect(first), state))
+
+
+def test_many_blocks_are_chained_in_a_tree(spark, monkeypatch):
+    """A key over many blocks: no task gets more than a few block summaries, and the log isn't replayed twice."""
+    import dataprobe.session as session
+
+    monkeypatch.setattr(versions, "CHAIN", 3)
+    monkeypatch.setattr(session, "PLANS", [])
+    rng = random.Random(2)
+    writes = [(seq % 11 == 0, seq, rng.randrange(9), rng.randrange(40) + seq // 30) for seq in range(900)]
+    df = spark.createDataFrame([(int(k), *rest) for k, *rest in writes], "key long, seq long, leader long, counter long")
+    got = versions.lamport_fold(df, 20, 40)
+    assert sum("FlatMapCoGroupsInArrow" in plan for plan in session.PLANS) >= 3     # levels on the way down
+    assert got._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    assert {(r["key"], r["seq"]): (r["accepted"], r["stored"]) for r in got.collect()} == loop(
+        [(int(k), *rest) for k, *rest in writes])
