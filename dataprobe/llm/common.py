@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataprobe import session
 from dataprobe.session import materialize
 
-__all__ = ["Words", "bytes_of", "inline_table", "map_arrow", "materialize", "mix64", "pieces", "row_column", "small_batches",
+__all__ = ["Words", "bytes_of", "inline_table", "interim", "map_arrow", "materialize", "mix64", "pieces", "row_column", "small_batches",
            "with_new_columns"]
 
 #: Bytes of text that are worked on at once in a task. Longer texts come alone.
@@ -122,6 +123,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@contextlib.contextmanager
+def interim(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside the block go at its end, but for those that are written by the function that it gives."""
+    since, kept = len(session._WRITTEN), []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        found = materialize(df, label)
+        kept.append(session._WRITTEN.pop())
+        return found
+
+    try:
+        yield keep
+    finally:
+        session.release_scratch(spark, since)
+        session._WRITTEN.extend(kept)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that are run inside the block send at most ``rows`` rows to Python at once, for rows of several whole texts."""

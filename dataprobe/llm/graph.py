@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.common import materialize
+from dataprobe.llm.common import interim, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,24 +16,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     ones, to its smallest neighbour, until nothing changes. The minimum is combined before the shuffle and written
     down, so that AQE can split the join that follows where a node has very many links.
     """
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-                        "links")
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
-        large = both.where("b > a").join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = materialize(large.where("a <> b").distinct(), "links")
-        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
-        small = large.join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        small = small.unionByName(lowest.select("a", F.col("low").alias("b")))
-        links = materialize(small.where("a <> b").distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    roots = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    spark = links.sparkSession
+    with interim(spark) as keep:
+        links = materialize(links, "links")
+        while True:
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            lowest = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
+            large = both.where("b > a").join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            large = materialize(large.where("a <> b").distinct(), "links")
+            lowest = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
+            small = large.join(lowest.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            small = small.unionByName(lowest.select("a", F.col("low").alias("b")))
+            links = materialize(small.where("a <> b").distinct(), "links")
+            now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        roots = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+        return keep(links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
 class Forest:

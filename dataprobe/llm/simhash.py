@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataprobe.llm.common import Words, map_arrow, materialize, mix64, pieces, row_column, small_batches, with_new_columns
+from dataprobe.llm.common import Words, interim, map_arrow, materialize, mix64, pieces, row_column, small_batches, with_new_columns
 from dataprobe.llm.decontaminate import shingle_hashes
 from dataprobe.llm.graph import Forest, connected_components
-from dataprobe.operators.joins import lookup_join
+from dataprobe.operators.joins import broadcast_if_small, lookup_join
 
 RADIUS, SEED = 3, 42
 #: Fingerprints from which the shared part of the tree is built; a leaf of it holds at least 16 of them.
@@ -24,6 +24,8 @@ LEAF_ROWS, BLOCK = 20_000, 512
 PAIRS_PER_BATCH = 200
 #: Most shingles in a signature.
 LONGEST_RUN = 3
+#: Pairs for each text that are compared at once when those of all open signatures are no more.
+OPEN_PAIRS = 2
 
 
 def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -256,26 +258,53 @@ def shingle_similarity(a: pa.Array, b: pa.Array, shingle: int) -> list[float]:
     return [len(x & y) / len(x | y) if x or y else 1.0 for x, y in zip(*sides)]
 
 
-def signatures(array: pa.Array, similarity: float, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_shingles(array: pa.Array, shingle: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(key, text, texts)``: the distinct shingles of each text as 64-bit keys in one order for all texts: by hash, but those whose
+    hashes are in ``common`` (sorted) come last."""
+    words = Words(array, lower=True)
+    hashes, first = shingle_hashes(words, shingle)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys = hashes >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        keys |= (common[at] == hashes).astype(np.uint64) << np.uint64(63)
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    return keys[new], owner[new], len(first) - 1
+
+
+def common_shingles(texts: DataFrame, shingle: int, texts_read: int = 1 << 12, holders: int = 4) -> np.ndarray:
+    """Hashes of shingles that at least ``holders`` of about ``texts_read`` texts hold (of each at most 1,024 by hash): passages that
+    many texts share. They only choose the order of the shingles; any order gives right results."""
+    parts = max(1, texts.count() // texts_read)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "body"):
+            hashes, first = shingle_hashes(Words(piece["body"], lower=True), shingle)
+            found = [np.unique(hashes[lo:hi])[:1024] for lo, hi in zip(first[:-1], first[1:])]
+            yield pa.record_batch({"hash": np.concatenate(found or [hashes]).view(np.int64)})
+
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0).select("body")
+    counted = map_arrow(sample, listed, "hash long").groupBy("hash").count().where(F.col("count") >= holders)
+    return np.sort(np.array([r[0] for r in counted.select("hash").collect()], dtype=np.int64).view(np.uint64))
+
+
+def signatures(array: pa.Array, similarity: float, shingle: int,
+               common: np.ndarray = np.zeros(0, dtype=np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(signature, text, size)``: hashes of which any two of the texts with a shingle similarity of at least ``similarity``
     share one, and the text's number of distinct shingles.
 
-    A signature is a run of ``r`` neighbours among a text's distinct shingles in the order of their hashes. Let a text have ``a``
+    A signature is a run of ``r`` neighbours among a text's distinct shingles in their common order. Let a text have ``a``
     shingles, ``x`` of them not in its partner, which has ``y`` of its own: x + y <= (1 - s) / s * (a - x). Where the shorter one of
     the two's first p = r * (1 - s) * a + r shingles ends, they share at least p - x; were no r of these neighbours in both, they
     would be at most (r - 1) * (x + y + 1), so p <= r * x + (r - 1) * (y + 1), which is at most r * (1 - s) * a + r - 1 while
     r * (1 - s) <= 1. Texts with fewer than p shingles, and those that may be their partners, give single shingles
     (r = 1: the first (1 - s) * a + 1). Texts without words share signature 0.
     """
-    words = Words(array, lower=True)
-    hashes, first = shingle_hashes(words, shingle)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    owner, hashes = owner[new], hashes[new]
-    size = np.bincount(owner, minlength=len(first) - 1)
+    hashes, owner, texts = distinct_shingles(array, shingle, common)
+    size = np.bincount(owner, minlength=texts)
     place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
     longest = max(r for r in range(1, LONGEST_RUN + 1) if r == 1 or r * (1 - similarity) <= 0.75)
     few = int(longest / (1 - longest * (1 - similarity)) / similarity) + 1 if longest > 1 else 0
@@ -303,8 +332,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     connect. Equal texts are one group. Most links come cheaply: SimHash fingerprints over distinct words, of several ``kinds``, that
     differ in at most ``radius`` bits, found by vantage-point trees; each document is compared with the nearest and the first one
     before it in a leaf and with the first of its chain. What these miss (cut or extended copies, pairs behind a stand-in), exact
-    ``signatures`` find: documents that share one are compared with the first group that has it, and then all pairs
-    that share one and are still in different groups. Every pair that is linked was verified.
+    ``signatures`` find, see ``_link_by_signatures``. Every pair that is linked was verified.
 
     Of rows that share an id and a text all stay or go. Rows with null ids stay. A null text counts as empty.
     """
@@ -322,10 +350,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(row_column(docs).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("body"))
-    coded = materialize(rows.where("id IS NOT NULL").select(
-        "id", F.md5(F.col("body").cast("binary")).alias("text_key"), code("body").alias("fps")), "coded")
-    texts = materialize(coded.groupBy("text_key").agg(F.min("id").alias("node"), F.min("fps").alias("fps")), "texts")
-    each = texts.select("node", F.posexplode("fps").alias("kind", "fp"))
+    rows = rows.withColumn("text_key", F.md5(F.col("body").cast("binary")))
+    # Each text once. Copies meet in the task that reads them, so many copies of a text are no large group.
+    texts = materialize(rows.where("id IS NOT NULL").groupBy("text_key").agg(
+        F.min("id").alias("node"), F.first("body").alias("body")), "texts")
+    each = materialize(texts.select("node", code("body").alias("fps")), "coded").select("node", F.posexplode("fps").alias("kind", "fp"))
     unique = materialize(each.groupBy("kind", "fp").agg(F.min("node").alias("node")), "unique")
     same = each.select(F.col("node").alias("a"), "kind", "fp").join(unique.hint("merge"), ["kind", "fp"]).select(
         "a", F.col("node").alias("b"))
@@ -333,61 +362,82 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     proposed = materialize(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
     chains = connected_components(proposed).where("node <> component").select(
         F.col("node").alias("a"), F.col("component").alias("b"))
-    proposed = materialize(proposed.unionByName(chains).distinct(), "proposed")
+    near = _similar_pairs(texts, materialize(proposed.unionByName(chains).distinct(), "proposed"), similarity, shingle)
+    near = _link_by_signatures(texts, near, similarity, shingle)
+    losers = connected_components(near).where("node <> component").select("node")
+    groups = texts.select("text_key", "node").join(losers.hint("merge"), "node", "left").select(
+        "text_key", "node", losers["node"].isNotNull().alias("lost"))
+    gone = rows.where("id IS NOT NULL").select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(
+        F.col("lost") | (F.col("id") != F.col("node"))).select("id", "text_key")
+    return lookup_join(rows, materialize(gone, "gone"), ["id", "text_key"], "left_anti").select(*with_new_columns(docs.columns, "row"))
 
+
+def _similar_pairs(texts: DataFrame, proposed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of the pairs ``proposed (a, b)`` those whose ``texts (node, body)`` are similar enough, written down. Only texts that a pair names
+    are moved."""
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(shingle_similarity(a, b, shingle), type=pa.float64())
 
-    keyed = rows.where("id IS NOT NULL").select("id", F.md5(F.col("body").cast("binary")).alias("text_key"), "body")
+    with interim(texts.sparkSession) as keep:
+        ends = materialize(proposed.select("a").union(proposed.select("b")).distinct().withColumnRenamed("a", "node"), "ends")
+        named = materialize(texts.select("node", "body").join(broadcast_if_small(ends), "node", "left_semi"), "named")
+        pairs = proposed.join(named.select(F.col("node").alias("a"), F.col("body").alias("text_a")).hint("merge"), "a")
+        pairs = pairs.join(named.select(F.col("node").alias("b"), F.col("body").alias("text_b")).hint("merge"), "b")
+        with small_batches(texts.sparkSession, PAIRS_PER_BATCH):
+            return keep(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+
 
-    def verified(proposed: DataFrame) -> DataFrame:
-        """The pairs whose texts are similar enough."""
-        ends = materialize(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-        # One text for each id that a link names: that of the group it stands for.
-        named = ends.join(texts.select(F.col("node").alias("id"), "text_key").hint("merge"), "id")
-        named = materialize(lookup_join(keyed, named, ["id", "text_key"]).groupBy("id", "text_key").agg(
-            F.first("body").alias("body")), "named")
-        pairs = proposed.join(named.select(F.col("id").alias("a"), F.col("body").alias("text_a")).hint("merge"), "a")
-        pairs = pairs.join(named.select(F.col("id").alias("b"), F.col("body").alias("text_b")).hint("merge"), "b")
-        with small_batches(spark, PAIRS_PER_BATCH):
-            return materialize(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
+def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``near (a, b)`` with verified links that connect all of the ``texts`` that chains of similar pairs connect.
+
+    Similar texts share a signature. Round by round each signature's smallest text is its leader: the texts that are not in the leader's
+    group and not too long for it are compared with it, and the leader leaves; what is in one group is closed. So a group of near
+    copies takes one round and one pair for each member. Once the pairs of what is still open are few (``OPEN_PAIRS`` for each text),
+    all of them are compared. A pair is left out only if it is in one group, too different in size, or compared already.
+    """
+    spark = texts.sparkSession
+    common = common_shingles(texts, shingle)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "body"):
-            found, owner, size = signatures(piece["body"], similarity, shingle)
-            ids, groups = piece["id"].to_numpy(), piece["component"].to_numpy()
-            yield pa.record_batch({"sig": found.view(np.int64), "node": ids[owner], "component": groups[owner],
-                                   "size": size.astype(np.int32)})
-
-    def grouped(nodes: DataFrame, near: DataFrame) -> DataFrame:
-        """``nodes`` with the ``component`` that the links ``near`` give them."""
-        return nodes.join(connected_components(near).hint("merge"), "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-
-    near = verified(proposed)
-    names = grouped(texts.select("node", "text_key"), near).select(F.col("node").alias("id"), "text_key", "component")
-    signed = map_arrow(lookup_join(keyed, names, ["id", "text_key"]).select("id", "component", "body"), sign,
-                       "sig long, node long, component long, size int")
-    by_sig = Window.partitionBy("sig")
-    shared = materialize(signed.select("*", F.min("component").over(by_sig).alias("low"), F.max("component").over(by_sig).alias("high"))
-                         .where("low < high").select("sig", "node", "component", "size", "low"), "shared")
-    first = shared.where("component <> low").select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b"))
-    near = materialize(near.unionByName(verified(materialize(first.where("a <> b").distinct(), "proposed"))), "near")
-    # Now all pairs that share a signature, but for those that are linked already.
-    open_ = grouped(shared.select("sig", "node", "size"), near)
-    open_ = materialize(open_.select("*", F.min("component").over(by_sig).alias("low"), F.max("component").over(by_sig).alias("high"))
-                        .where("low < high").select("sig", "node", "component", "size"), "open")
-    left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size")]) for x in "ab")
-    rest = left.join(right.hint("merge"), "sig").where(
-        (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6))
-    rest = materialize(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "proposed")
-    near = materialize(near.unionByName(verified(rest)).distinct(), "near")
-    losers = connected_components(near).where("node <> component").select("node")
-    groups = texts.join(losers.hint("merge"), "node", "left").select("text_key", "node", losers["node"].isNotNull().alias("lost"))
-    gone = coded.select("id", "text_key").distinct().join(groups.hint("merge"), "text_key").where(
-        F.col("lost") | (F.col("id") != F.col("node"))).select("id", "text_key")
-    kept = lookup_join(rows.withColumn("text_key", F.md5(F.col("body").cast("binary"))), materialize(gone, "gone"),
-                       ["id", "text_key"], "left_anti")
-    return kept.select(*with_new_columns(docs.columns, "row"))
+            found, owner, size = signatures(piece["body"], similarity, shingle, common)
+            yield pa.record_batch({"sig": found.view(np.int64), "node": piece["node"].to_numpy()[owner], "size": size.astype(np.int32)})
+
+    def with_groups(members: DataFrame) -> DataFrame:
+        """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component`` and ``leader``."""
+        names = connected_components(near)
+        named = members.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ends = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+                                        F.min(F.struct("size", "node", "component")).alias("leader"))
+        return named.join(ends.where("low < high").select("sig", "n", "leader").hint("merge"), "sig")
+
+    def fits(a: Column, b: Column) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
+
+    total = texts.count()
+    with interim(spark) as keep:
+        signed = materialize(map_arrow(texts.select("node", "body"), sign, "sig long, node long, size int"), "signed")
+        several = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        open_ = keep(signed.join(several.select("sig").hint("merge"), "sig", "left_semi"), "shared")
+    tried = None
+    while True:
+        with interim(spark) as keep:
+            open_ = keep(with_groups(open_), "open")
+        pairs, rows = open_.agg(F.coalesce(F.sum((F.col("n") - 1) / 2), F.lit(0)), F.count("*")).first()
+        if not rows:
+            return near
+        if pairs <= OPEN_PAIRS * total:
+            left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size")]) for x in "ab")
+            proposed = left.join(right.hint("merge"), "sig").where(
+                (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("size_a"), F.col("size_b")))
+            proposed = proposed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        else:
+            proposed = open_.where((F.col("component") != F.col("leader.component")) & fits(F.col("size"), F.col("leader.size"))).select(
+                F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).where("a <> b").distinct()
+        proposed = materialize(proposed if tried is None else proposed.join(tried.hint("merge"), ["a", "b"], "left_anti"), "proposed")
+        near = materialize(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)).distinct(), "near")
+        if pairs <= OPEN_PAIRS * total:
+            return near
+        tried = proposed if tried is None else materialize(tried.unionByName(proposed), "tried")
+        open_ = open_.where(F.col("node") != F.col("leader.node")).select("sig", "node", "size")
