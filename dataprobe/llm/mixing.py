@@ -24,22 +24,22 @@ def unit_interval(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", default: float = 0.0) -> DataFrame:
     """Per source: its UTF-8 bytes and ``rate``, the mean number of times each of its documents is to appear, so
     that the sources' bytes have the ratio of ``weights`` and the total is that of the sources with a weight.
 
-    Sources that ``weights`` does not name weigh nothing; without ``weights`` all weigh the same. Null
+    Each source that ``weights`` does not name weighs ``default``; without ``weights`` all weigh the same. Null
     sources are pooled with the empty name. A source without a byte has rate 0.
     """
     sizes = docs.groupBy(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")).agg(
         F.sum(F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")).alias("bytes"))
     if weights is None:
         weight = F.lit(1.0)
-    elif not weights or min(weights.values()) < 0:
+    elif not weights or min(*weights.values(), default) < 0:
         raise ValueError("weights must be given and not negative")
     else:
         table = F.create_map(*[F.lit(x) for name, w in sorted(weights.items()) for x in (name, float(w))])
-        weight = F.coalesce(table[F.col("source")], F.lit(0.0))
+        weight = F.coalesce(table[F.col("source")], F.lit(float(default)))
     sizes = sizes.withColumn("weight", weight).where("bytes > 0 and weight > 0")
     total = sizes.agg(F.sum("weight").alias("weights"), F.sum("bytes").alias("total"))
     # One row, from an aggregate.
@@ -60,7 +60,7 @@ def _cumulative(mean: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 42, doc_id: str = "doc_id",
-                source: str = "source", text: str = "text") -> DataFrame:
+                source: str = "source", text: str = "text", default: float = 0.0) -> DataFrame:
     """Repeat each document a Poisson number of times with its source's rate (see ``source_rates``), in random order.
 
     Returns the columns of ``docs`` and ``copy_no`` (from 0), ``n_copies`` and ``order_key`` (32 hex digits);
@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, see
 
     The rates are joined by broadcast if counted small; else a source that holds very many rows is joined apart.
     """
-    rates = source_rates(docs, weights, source, text)
+    rates = source_rates(docs, weights, source, text, default)
     draws = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
     tables = rates.select("source", draws.alias("draws"), _cumulative(F.col("rate") / draws).alias("cumulative"))
     rows = docs.select(row_column(docs).alias("row"), F.col(f"`{doc_id}`").alias("id"),

@@ -157,12 +157,11 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
 _VECTOR_SQL = """
     WITH RECURSIVE vectors AS (
         SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-        WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
-          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     units AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors WHERE list_dot_product(v, v) > 0),
     links AS MATERIALIZED (
         SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b
-        ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+        ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
     reached (a, b) AS (SELECT vec_id, vec_id FROM units UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
     names AS (SELECT a, min(b) AS component FROM reached GROUP BY a),
     counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
@@ -177,15 +176,16 @@ def op8_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
-#: Three sources get set shares, src0 (which may hold a third of all rows) among them; all the others share the rest.
-MIX_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0, **{f"src{i}": 1.0 for i in range(3, 20)}}
+#: Three sources get weights of their own, src0 (which may hold a third of all rows) among them; each other one, those without
+#: a name too, has the default.
+MIX_WEIGHTS, MIX_DEFAULT = {"src0": 6.0, "src1": 3.0, "src2": 2.0}, 1.0
 
 _MIX_SQL = """
     WITH RECURSIVE docs AS (
         SELECT *, coalesce(source, '') AS mixed FROM documents),
     weights AS (
-        SELECT 'src' || i AS mixed, CASE i WHEN 0 THEN 6.0 WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
-        FROM range(20) t(i)),
+        SELECT mixed, CASE mixed WHEN 'src0' THEN 6.0 WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
+        FROM (SELECT DISTINCT mixed FROM docs)),
     sizes AS (
         SELECT mixed, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, any_value(weight) AS weight
         FROM docs JOIN weights USING (mixed) GROUP BY mixed HAVING sum(strlen(coalesce(text, ''))) > 0),
@@ -209,7 +209,7 @@ _MIX_SQL = """
 
 @query("op9_source_mix", _MIX_SQL)
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=42)
+    return mixing.mix_sources(table(spark, folder, "documents"), MIX_WEIGHTS, seed=42, default=MIX_DEFAULT)
 
 
 _SHARD_SQL = r"""

@@ -24,8 +24,8 @@ LEAF_ROWS, BLOCK = 20_000, 512
 PAIRS_PER_BATCH = 200
 #: Most shingles in a signature.
 LONGEST_RUN = 3
-#: Pairs for each text that are compared at once when those of all open signatures are no more.
-OPEN_PAIRS = 2
+#: Texts of a signature that are compared at once, and rows that a task compares.
+LONG_LIST, BUCKET_ROWS = 2048, 1 << 15
 
 
 def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -391,10 +391,10 @@ def _similar_pairs(texts: DataFrame, proposed: DataFrame, similarity: float, shi
 def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``near (a, b)`` with verified links that connect all of the ``texts`` that chains of similar pairs connect.
 
-    Similar texts share a signature. Round by round each signature's smallest text is its leader: the texts that are not in the leader's
-    group and not too long for it are compared with it, and the leader leaves; what is in one group is closed. So a group of near
-    copies takes one round and one pair for each member. Once the pairs of what is still open are few (``OPEN_PAIRS`` for each text),
-    all of them are compared. A pair is left out only if it is in one group, too different in size, or compared already.
+    Similar texts share a signature. First each signature's smallest text is its leader, with which those of other groups are compared: a
+    group of near copies takes one pair for each member, and is closed. Then the texts of a signature that are still in different
+    groups are compared among themselves, within tasks, by ``bitmaps``, which bound how many shingles two texts can share. Only pairs that
+    the bound lets through leave the task, and they are verified. A pair is left out only if it is in one group or can't be similar.
     """
     spark = texts.sparkSession
     common = common_shingles(texts, shingle)
@@ -404,40 +404,94 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
             found, owner, size = signatures(piece["body"], similarity, shingle, common)
             yield pa.record_batch({"sig": found.view(np.int64), "node": piece["node"].to_numpy()[owner], "size": size.astype(np.int32)})
 
-    def with_groups(members: DataFrame) -> DataFrame:
-        """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component`` and ``leader``."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "body"):
+            maps = bitmaps(piece["body"], shingle)
+            yield pa.record_batch({"node": piece["node"], "bits": pa.array(maps, type=pa.binary())})
+
+    def in_groups(members: DataFrame) -> DataFrame:
+        """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component``, the number of
+        members and the ``leader``."""
         names = connected_components(near)
         named = members.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         ends = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
                                         F.min(F.struct("size", "node", "component")).alias("leader"))
         return named.join(ends.where("low < high").select("sig", "n", "leader").hint("merge"), "sig")
 
-    def fits(a: Column, b: Column) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
-
-    total = texts.count()
     with interim(spark) as keep:
         signed = materialize(map_arrow(texts.select("node", "body"), sign, "sig long, node long, size int"), "signed")
         several = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        open_ = keep(signed.join(several.select("sig").hint("merge"), "sig", "left_semi"), "shared")
-    tried = None
-    while True:
-        with interim(spark) as keep:
-            open_ = keep(with_groups(open_), "open")
-        pairs, rows = open_.agg(F.coalesce(F.sum((F.col("n") - 1) / 2), F.lit(0)), F.count("*")).first()
-        if not rows:
-            return near
-        if pairs <= OPEN_PAIRS * total:
-            left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size")]) for x in "ab")
-            proposed = left.join(right.hint("merge"), "sig").where(
-                (F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("size_a"), F.col("size_b")))
-            proposed = proposed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        else:
-            proposed = open_.where((F.col("component") != F.col("leader.component")) & fits(F.col("size"), F.col("leader.size"))).select(
-                F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).where("a <> b").distinct()
-        proposed = materialize(proposed if tried is None else proposed.join(tried.hint("merge"), ["a", "b"], "left_anti"), "proposed")
-        near = materialize(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)).distinct(), "near")
-        if pairs <= OPEN_PAIRS * total:
-            return near
-        tried = proposed if tried is None else materialize(tried.unionByName(proposed), "tried")
-        open_ = open_.where(F.col("node") != F.col("leader.node")).select("sig", "node", "size")
+        shared = materialize(signed.join(several.select("sig").hint("merge"), "sig", "left_semi"), "shared")
+        led = in_groups(shared).where((F.col("component") != F.col("leader.component")) & (
+            F.least("size", "leader.size") >= F.greatest("size", "leader.size") * similarity - 1e-6))
+        proposed = materialize(led.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct(),
+                               "proposed")
+        near = materialize(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)), "near")
+        open_ = materialize(in_groups(shared).select("sig", "node", "size", "component", "n"), "open")
+        ends = materialize(open_.select("node").distinct(), "ends")
+        drawn = materialize(map_arrow(texts.select("node", "body").join(broadcast_if_small(ends), "node", "left_semi"), draw,
+                                      "node long, bits binary"), "bitmaps")
+        # Long lists are cut into parts, and each part meets each.
+        dealt = open_.withColumn("parts", F.ceil(F.col("n") / LONG_LIST).cast("int"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
+            "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("sig", "node", "size", "component", "own", F.least("own", "met").alias("part"), F.greatest("own", "met").alias("other"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_.count() // BUCKET_ROWS)
+        dealt = dealt.join(drawn.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("sig", "part", "other"), F.lit(buckets)))
+        proposed = materialize(dealt.groupBy("bucket").applyInArrow(lambda table: possible_pairs(table, similarity), "a long, b long").distinct(),
+                               "proposed")
+        return keep(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)).distinct(), "near")
+
+
+def bitmaps(array: pa.Array, shingle: int) -> list[bytes]:
+    """For each text a bitmap of two to four bits for each distinct shingle (64 at least), with the bits of its shingles' hashes set."""
+    keys, owner, n = distinct_shingles(array, shingle, np.zeros(0, dtype=np.uint64))
+    first = np.searchsorted(owner, np.arange(n + 1))
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        width = max(64, 1 << int(2 * (hi - lo)).bit_length())
+        bits = np.zeros(width, dtype=np.uint8)
+        bits[(keys[lo:hi] & np.uint64(width - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
+    """The pairs of texts in different groups, of those that share a signature in the table, whose sizes and bitmaps don't rule out a
+    ``similarity``.
+
+    Each bit that only one of two texts has set stands for a shingle that the other doesn't have: with x such bits of a text of size a, the
+    two share at most a - x; and a similarity of s takes (a + b) * s / (1 + s) shared ones. A wider bitmap is folded to the width of the other.
+    """
+    sig, node, size, component, own, part, other = (table[c].to_numpy() for c in ("sig", "node", "size", "component", "own", "part", "other"))
+    raw = table["bits"].combine_chunks()
+    order = np.lexsort((own, other, part, sig))
+    cuts = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (sig, part, other)], axis=0)) + 1
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for rows in np.split(order, cuts):
+        if len(rows) < 2 or component[rows].min() == component[rows].max():
+            continue
+        maps = [np.frombuffer(raw[int(i)].as_buffer(), dtype="<u8") for i in rows]
+        widths = np.array([len(m) for m in maps])
+        for width in np.unique(widths).tolist():
+            # Texts of this width with each other and with those of the next one, folded; more than that can't be similar from 0.5 up.
+            near = np.flatnonzero((widths >= width) & ((widths <= 2 * width) | (similarity < 0.5)))
+            folded = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, width), axis=0) for k in near])
+            home = np.flatnonzero(widths[near] == width)
+            for at in range(0, len(home), 64):
+                x = home[at:at + 64]
+                a, b = size[rows[near[x]]].astype(np.float64)[:, None], size[rows[near]].astype(np.float64)[None, :]
+                alike = np.zeros((len(x), len(near)), dtype=np.int64)
+                own_bits = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+                for word in range(width):
+                    alike += np.bitwise_count(folded[x, word][:, None] & folded[None, :, word])
+                most = np.minimum(a - (own_bits[x][:, None] - alike), b - (own_bits[None, :] - alike))
+                least = (a + b) * similarity / (1 + similarity)
+                fits = (most >= least - 1e-6) & (component[rows[near[x]]][:, None] != component[rows[near]][None, :])
+                p, q = np.nonzero(fits)
+                i, j = rows[near[x[p]]], rows[near[q]]
+                inner = part[rows[0]] == other[rows[0]]
+                keep = (inner | (own[i] != own[j])) & (node[i] != node[j])
+                found.append((np.maximum(node[i], node[j])[keep], np.minimum(node[i], node[j])[keep]))
+    pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found]), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})

@@ -108,8 +108,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     With the defaults and 64 dimensions, over 0.95 of the pairs with cosines from 0.9 to 0.95 are found, and
     nearly all closer ones. No pair below the threshold is linked.
 
-    A vector that is null, zero, has a null or non-finite component, a null id, or not the most frequent length
-    links with nothing. Equal vectors are compared as one. Columns with a new column's name are replaced.
+    A vector that is null, zero, has a null or non-finite component or a null id links with nothing. Vectors of each length are
+    compared among themselves, the commonest length first, each with pivots of its own. Equal vectors are compared as one. Columns with a new column's name are replaced.
     """
     if pivots > 128 or shared < 2:
         raise ValueError("at most 128 pivots, and two or more to share")
@@ -120,8 +120,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     good = (value.isNotNull() & F.col("id").isNotNull()
             & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
             & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)))
-    length = rows.where(good).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = F.coalesce(good & (F.size("vector") == (length["n"] if length else 0)), F.lit(False))
+    good = F.coalesce(good, F.lit(False))
+    lengths = rows.where(good).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").head(2)
+    if len(lengths) > 1:
+        length = F.coalesce(F.size(F.col(f"`{vector}`")), F.lit(-1)) == lengths[0]["n"]
+        return near_vectors(vectors.where(length), threshold, vec_id, vector, pivots, depth, shared, long_list).unionByName(
+            near_vectors(vectors.where(~length), threshold, vec_id, vector, pivots, depth, shared, long_list))
     unique = materialize(rows.where(good).groupBy("vector").agg(
         F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
     sample = unique.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()

@@ -182,3 +182,44 @@ def test_pairs_behind_a_stand_in_dropped(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect())
     assert kept == sorted(groups_by_brute_force(texts)) == list(range(12))
+
+
+def test_bitmaps_never_rule_out_similar_texts():
+    import pyarrow as pa
+    r = random.Random(4)
+    for least in (.3, .8, .95):
+        texts = []
+        for k in range(30):
+            words = [f"w{r.randrange(10 ** 6)}" for _ in range(r.choice([3, 8, 30, 70, 130, 400]))]
+            cut = r.randrange(0, max(1, len(words) // 6))
+            texts += [" ".join(words), " ".join(words[cut:]), " ".join(words + [f"n{i}" for i in range(cut)]), " ".join(words[:-cut or None])]
+        sets, n = [grams(t) for t in texts], len(texts)
+        table = pa.table({"sig": np.zeros(n, dtype=np.int64), "node": np.arange(n), "size": np.array([len(g) for g in sets], dtype=np.int32),
+                          "component": np.arange(n), "own": np.zeros(n, dtype=np.int32), "part": np.zeros(n, dtype=np.int32),
+                          "other": np.zeros(n, dtype=np.int32), "bits": pa.array(simhash.bitmaps(pa.array(texts), 5), type=pa.binary())})
+        found = set(zip(*(c.to_pylist() for c in simhash.possible_pairs(table, least).columns)))
+        near = {(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        assert near <= found and len(found) < len(near) + n * n // 10
+
+
+def test_pairs_grow_with_the_texts_not_with_their_square(spark, monkeypatch):
+    """One large group of near copies, and one passage that many unlike texts share, at two sizes."""
+    counted = []
+    whole = simhash._similar_pairs
+    monkeypatch.setattr(simhash, "_similar_pairs", lambda texts, proposed, *rest: (counted.append(proposed.count()), whole(texts, proposed, *rest))[1])
+    monkeypatch.setattr(simhash, "LONG_LIST", 40)
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10 ** 9)}" for _ in range(n)]
+    base, passage, sizes = fresh(200), fresh(40), []
+    for n in (60, 180):
+        texts = {}
+        for k in range(n):
+            at = r.randrange(150)
+            texts[k] = " ".join(base[:at] + fresh(3) + base[at + 3:])
+            texts[1000 + k] = " ".join(fresh(60) + passage + fresh(30))
+        counted.clear()
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        kept = sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect())
+        assert kept == sorted(groups_by_brute_force(texts)) and kept[0] == 0 and len(kept) == n + 1
+        sizes.append(sum(counted))
+    assert sizes[1] < 5 * sizes[0] + 50

@@ -5,10 +5,12 @@ from dataprobe.llm import vectors
 
 
 def brute(rows, threshold=.9):
-    good = {i: np.array(v, dtype=float) for i, v in rows if i is not None and v is not None and len(v) == 8
+    if len(sizes := {len(v) for _, v in rows if v}) > 1:        # each length by itself
+        return {k: x for n in sizes | {0} for k, x in brute([r for r in rows if len(r[1] or []) == n], threshold).items()}
+    good = {i: np.array(v, dtype=float) for i, v in rows if i is not None and v is not None
             and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(good)
-    x = np.array([good[i] / np.linalg.norm(good[i]) for i in ids])
+    x = np.array([good[i] / np.linalg.norm(good[i]) for i in ids]).reshape(len(ids), -1)
     near = x @ x.T >= threshold
     label = dict(zip(ids, ids))
     for _ in ids:
@@ -27,7 +29,8 @@ def rows():
         out.append((i, (base[r.integers(20)] + r.normal(size=8) * r.choice([.02, .2, .5])).tolist()))
     out += [(i, base[3].tolist()) for i in range(160, 200)]           # exact copies
     out += [(200, (base[3] * 7).tolist()), (201, None), (202, [0.0] * 8), (203, [None, *base[1][1:].tolist()]),
-            (204, [float("nan"), *base[1][1:].tolist()]), (205, [float("inf")] + [1.0] * 7), (206, [1.0, 2.0]), (207, [])]
+            (204, [float("nan"), *base[1][1:].tolist()]), (205, [float("inf")] + [1.0] * 7), (206, [1.0, 2.0]), (207, []),
+            (208, [2.0, 4.0]), (209, [2.0, -1.0]), (210, [1.0, 2.0, 0.0]), (211, [1.0, 2.1])]
     return [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in out]
 
 
