@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataprobe.llm import decontaminate, mixing, quality, sharding, simhash
-from dataprobe.llm.queries import MIX_WEIGHTS, held_out, table
+from dataprobe.llm.queries import MIX_DEFAULT, MIX_WEIGHTS, held_out, table
 from dataprobe.session import materialize
 
 SHARDS = 24
@@ -34,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources have their target weights, in random order."""
-    return mixing.mix_sources(docs, MIX_WEIGHTS, seed=42).select(*docs.columns)
+    return mixing.mix_sources(docs, MIX_WEIGHTS, seed=42, default=MIX_DEFAULT).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
