@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataprobe.functions.text import sha256_hex
-from dataprobe.operators.generate import MAX_CHARSET, permutations, words
+from dataprobe.operators.generate import MAX_CHARSET, domain_size, permutations, words, words_in_ranges
 from dataprobe.operators.joins import broadcast_if_small, lookup_join
 from dataprobe.session import materialize
 
+#: Candidates that a record may need at most.
+BUDGET = 10_000_000_000
+
 
 def records_from_positions(df: DataFrame) -> DataFrame:
     """Records from a table in file order: id, name, character set, length, token, then any number of hints."""
@@ -83,6 +86,34 @@ def resolve_against(records: DataFrame, domain: DataFrame) -> DataFrame:
     return attach_values(records.select("id", "token"), found, ["token"])
 
 
+def audit_tokens(records: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``(id, token, value, outcome)``, one row per record: ``resolved`` with its clear text, ``unresolved`` if no candidate has its
+    token, or ``too large`` if the record needs more than ``budget`` candidates, which are then not made.
+
+    What is counted before anything is made: the permutations of a character set without one character, for each character, if the
+    record has hints; and the words of its reduced set. A record that is too large stops nobody else's audit. Words are
+    made in ranges of ranks that are spread over the cluster, however few character sets there are.
+    """
+    letters = F.length("charset")
+    work = F.coalesce(letters, F.lit(0)).cast("double") * F.when(letters <= MAX_CHARSET + 1, F.factorial(F.greatest(letters - 1, F.lit(0)))).otherwise(
+        F.lit(float("inf")))
+    few = F.coalesce(F.size("hints"), F.lit(0)) <= 0
+    sized = records.withColumn("_explained", few | F.coalesce(work <= budget, F.lit(True)))
+    open_ = sized.where("_explained").drop("_explained")
+    resolved = materialize(resolve_hints(open_), "hints")
+    reduced = reduce_charsets(open_, resolved)
+    size = domain_size(F.col("reduced"), F.col("length"))
+    reduced = materialize(reduced.withColumn("fits", F.coalesce(size <= budget, F.lit(False))), "reduced")
+    wanted = materialize(reduced.where("fits").select("reduced", "length", "token").distinct(), "wanted")
+    domain = wanted.select("reduced", "length").distinct()
+    found = materialize(words_in_ranges(domain, "reduced", "length").withColumn("token", sha256_hex(F.col("word"))).join(
+        broadcast_if_small(wanted), ["reduced", "length", "token"]), "words").withColumnRenamed("word", "value")
+    named = lookup_join(reduced, found, ["reduced", "length", "token"], "left")
+    outcome = F.when(~F.col("fits"), "too large").when(F.col("value").isNull(), "unresolved").otherwise("resolved")
+    left_out = sized.where("NOT _explained").select("id", "token", F.lit(None).cast("string").alias("value"), F.lit("too large").alias("outcome"))
+    return named.select("id", "token", "value", outcome.alias("outcome")).unionByName(left_out)
+
+
 def attach_values(records: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """Left join of each record to its clear text; NULL and ``resolved = false`` without one."""
     return lookup_join(records, found, on, "left").select(

@@ -107,6 +107,15 @@ def resolve_tokens(spark, folder):
     return audit.resolve_tokens(_records(spark, folder))
 
 
+@query("audit_outcomes", f"""WITH {RECORDS_SQL}
+SELECT id, sha256(secret) AS token, CASE WHEN id % 7 <> 3 AND id % 10 <> 9 THEN secret END AS value,
+       CASE WHEN id % 7 = 3 THEN 'too large' WHEN id % 10 = 9 THEN 'unresolved' ELSE 'resolved' END AS outcome FROM secrets""")
+def audit_outcomes(spark, folder):
+    """Every seventh record claims a length of 40 characters, beyond any budget."""
+    records = _records(spark, folder).withColumn("length", F.when(F.col("id") % 7 == 3, 40).otherwise(F.col("length")))
+    return audit.audit_tokens(records)
+
+
 @query("resolve_tokens_csv", TOKENS_SQL)
 def resolve_tokens_csv(spark, folder):
     """The same audit from a described CSV file: id, name, characters, length, token, hints, by position."""
@@ -206,7 +215,7 @@ fold AS (
 SELECT key, seq, leader, counter, accepted, stored FROM fold"""
 
 
-def _writes(spark, folder, key, slower):
+def fold_writes(spark, folder, key, slower):
     counter = F.floor("value").cast("long") % 40 + F.expr(f"event_id div {slower}")
     return table(spark, folder, "events").select(
         F.col(key).alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("leader"),
@@ -216,10 +225,10 @@ def _writes(spark, folder, key, slower):
 @query("lamport_fold", FOLD_SQL.format(key="user_id", slower=1_000_000_000))
 def lamport_fold(spark, folder):
     """Many short histories, with writes that lack a counter."""
-    return versions.lamport_fold(_writes(spark, folder, "user_id", 1_000_000_000))
+    return versions.lamport_fold(fold_writes(spark, folder, "user_id", 1_000_000_000))
 
 
 @query("lamport_fold_long", FOLD_SQL.format(key="event_type", slower=100))
 def lamport_fold_long(spark, folder):
     """A few long histories, in blocks of 1,000 writes."""
-    return versions.lamport_fold(_writes(spark, folder, "event_type", 100), block_rows=1_000)
+    return versions.lamport_fold(fold_writes(spark, folder, "event_type", 100), block_rows=1_000)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from dataprobe.plans.generators import LWW_SQL, versioned_events
+from dataprobe.plans.generators import FOLD_SQL, LWW_SQL, fold_writes, versioned_events
 from dataprobe.plans.registry import query, table
+from dataprobe.session import scratch_path
 from dataprobe.sources.readers import stream_files
 from dataprobe.streaming import streams
 
@@ -37,3 +38,38 @@ def stream_lww(spark, folder):
 @query("stream_batched_scan", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_batched_scan(spark, folder):
     return streams.run_batched_copy(_events(spark, folder).select("event_id", "user_id", "event_type", F.col("value")))
+
+
+@query("stream_lamport_fold", FOLD_SQL.format(key="user_id", slower=1_000_000_000))
+def stream_lamport_fold(spark, folder):
+    """The acceptance fold with state: the writes arrive in four batches."""
+    writes = fold_writes(spark, folder, "user_id", 1_000_000_000)
+    path = streams.arrive_in_order(writes, "seq", 4)
+    return streams.run_accept_writes(stream_files(streams.stream_session(spark), path, writes.schema))
+
+
+@query("stream_ask_max",
+       "SELECT count(DISTINCT user_id) AS n_distinct, coalesce(max(user_id), 0) AS max_value FROM events")
+def stream_ask_max(spark, folder):
+    """Asked of the state; the stream itself emits nothing."""
+    checkpoint = scratch_path(spark, "asked")
+    streams.remember_distinct(_events(spark, folder).select("user_id"), "user_id", checkpoint)
+    return streams.ask_max(spark, checkpoint, "user_id")
+
+
+@query("stream_ask_all", "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL")
+def stream_ask_all(spark, folder):
+    checkpoint = scratch_path(spark, "asked")
+    streams.remember_distinct(_events(spark, folder).select("user_id"), "user_id", checkpoint)
+    return streams.ask_all(spark, checkpoint, "user_id")
+
+
+@query("stream_record_batches", """
+SELECT batch, batch AS last_batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 2500 AS batch FROM events) GROUP BY batch""")
+def stream_record_batches(spark, folder):
+    """Batches of 2,500 records, and what the stream saw in each."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    path = streams.record_files(events, "event_id", 2500)
+    stream = stream_files(streams.stream_session(spark), path, spark.read.parquet(path).schema)
+    return streams.run_batch_counts(stream, "event_id").drop("number")

@@ -40,3 +40,15 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     lines = df.select(F.col(column).cast("string").alias("line")).where("line is not null").withColumn(
         "origin", F.spark_partition_id())
     lines.repartitionByRange("line", "origin").sortWithinPartitions("line").select("line").write.text(path)
+
+
+def write_csv_file(df: DataFrame, path: str, **options: str) -> None:
+    """One plain CSV file with a header, for tables that are to fit one file: one task writes it."""
+    spark = df.sparkSession
+    staged = f"{path}.parts"
+    df.coalesce(1).write.options(**options).csv(staged, header=True)
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = paths.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = system.globStatus(paths.Path(f"{staged}/part-*"))[0].getPath()
+    system.rename(part, paths.Path(path))
+    system.delete(paths.Path(staged), True)

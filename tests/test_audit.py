@@ -84,3 +84,24 @@ def test_repeated_and_many_characters(spark):
                (4, sha("BC"), "ABC", 2, [sha("CB")]), (5, sha("A"), "AB", None, None), (6, sha("A"), None, 1, None)]
     got = audit.resolve_tokens(spark.createDataFrame(records, SCHEMA)).collect()
     assert {r["id"]: r["value"] for r in got} == {1: "AA", 2: "!~", 3: "x", 4: "BC", 5: None, 6: None}
+
+
+def test_outcomes_within_a_budget(spark):
+    """Records beyond the budget say so, and the others are answered all the same."""
+    records, secrets = make(12, seed=4)
+    long = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    records += [(100, sha("x"), "ABCDEF", 60, None), (101, sha("never"), "AB", 3, None), (102, sha("AB"), long, 2, [sha("hint")]),
+                (103, sha("QQ"), long, 2, None), (104, sha(""), None, 0, None), (105, sha("A"), "ABC", None, None), (106, None, "AB", 2, None)]
+    got = {r["id"]: (r["value"], r["outcome"]) for r in audit.audit_tokens(spark.createDataFrame(records, SCHEMA), 10_000).collect()}
+    assert len(got) == len(records)
+    assert {i: got[i] for i in secrets} == {i: (secret, "resolved") for i, secret in secrets.items()}
+    assert {i: got[i] for i in range(100, 104)} == {
+        100: (None, "too large"), 101: (None, "unresolved"), 102: (None, "too large"), 103: ("QQ", "resolved")}
+    assert {got[i][1] for i in (105, 106)} == {"unresolved"}
+
+
+@pytest.mark.parametrize("ranks", [3, 1000])
+def test_words_by_ranks_are_the_words(spark, rows, ranks):
+    from dataprobe.operators.generate import words, words_in_ranges
+    df = spark.createDataFrame([("ABC", 3), ("AAB", 2), ("é日", 4), ("X", 5), ("AB", 0), ("", 2), (None, 2), ("AB", None)], "charset string, n int")
+    assert rows(words_in_ranges(df, "charset", "n", ranks)) == rows(words(df, "charset", "n"))

@@ -102,3 +102,24 @@ def test_primality_up_to_the_end_of_the_range(spark, rows):
              3_037_000_493 ** 2: False, (1 << 61) - 1: True, LIMIT + 2: False, -LIMIT: False}
     df = spark.createDataFrame([(n,) for n in known], "n long").select("n", is_prime("n"))
     assert dict(rows(df)) == known
+
+
+@pytest.mark.parametrize("low, high", [(10 ** 15, 10 ** 15 + 3_000_000), (1 << 50, (1 << 50) + 5_000)])
+def test_high_primes_by_blocks_of_divisors(spark, monkeypatch, low, high):
+    from dataprobe.functions.numbers import prime_flags
+    found = [r["n"] for r in generate.primes(spark, low, high).orderBy("n").collect()]
+    numbers = np.arange(low, min(high, low + 40_000) + 1)
+    assert [n for n in found if n <= numbers[-1]] == numbers[prime_flags(numbers)].tolist()
+    plan = generate.primes(spark, low, high)._jdf.queryExecution().executedPlan().toString()
+    assert ("MapInPandas" in plan) == (high - low > 10_000)     # short ranges are tested number by number
+
+
+def test_blocks_of_divisors_give_the_primes(monkeypatch):
+    monkeypatch.setattr(generate, "BASE_BLOCK", 97)
+    assert np.concatenate(list(generate._prime_blocks(3000))).tolist() == generate._primes_up_to(3000).tolist()
+    for first, n in ((2, 500), (10_000, 700), (999_000, 40)):
+        alive = np.ones(n, dtype=bool)
+        for divisors in generate._prime_blocks(1000):
+            generate._cross_out(alive, first, divisors)
+        primes = set(generate._primes_up_to(1_000_000).tolist())
+        assert (first + np.flatnonzero(alive)).tolist() == [x for x in range(first, first + n) if x in primes]

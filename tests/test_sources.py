@@ -147,3 +147,42 @@ def test_scratch_goes_at_the_end_of_the_block(spark):
         assert kept.count() == 3
     assert not os.path.exists(path.removeprefix("file://"))
     assert spark.sparkContext.getCheckpointDir() == before
+
+
+@pytest.mark.parametrize("split", ["40", "134217728"])
+@pytest.mark.parametrize("quote, escape, ending", [('"', '"', "\n"), ('"', "\\", "\n"), ("'", "\\", "\r\n")])
+def test_line_breaks_in_values_over_many_splits(spark, tmp_path, rows, conf, split, quote, escape, ending):
+    """Values that hold breaks, quotes and separators, longer than a split; two files, each in many tasks."""
+    from dataprobe.sources import records
+    conf("spark.sql.files.maxPartitionBytes", split)
+    conf("spark.sql.files.openCostInBytes", "0")
+    rng = random.Random(3)
+    data = []
+    for i in range(60):
+        text = "".join(rng.choice(["a", "b ", "\n", quote, ",", "\n\n", "x" * 30, "é", ""]) for _ in range(rng.randrange(0, 25)))
+        data.append((i, f"t{text}.", rng.choice([None, "plain", "two\nlines"])))
+
+    def field(value):
+        if value is None:
+            return ""
+        return quote + str(value).replace(quote, escape + quote) + quote if not isinstance(value, int) else str(value)
+    for k, part in enumerate((data[:25], data[25:])):
+        lines = ["id,text,note"] + [",".join(map(field, row)) for row in part]
+        (tmp_path / f"part{k}.csv").write_bytes((ending.join(lines) + ending).encode())
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])
+    spec = readers.CsvSpec(str(tmp_path), schema=schema, quote=quote, escape=escape)
+    df = records.read_csv_records(spark, spec)
+    assert df.schema == schema and rows(df) == sorted(data, key=repr)
+    assert (spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20) == (split == "40")
+
+
+def test_records_without_schema_and_bad_ones(spark, tmp_path, rows):
+    from dataprobe.sources import records
+    put(tmp_path / "e.csv", 'a,b\n1,"x\ny"\n\n2,"z"\n')
+    assert rows(records.read_csv_records(spark, readers.CsvSpec(str(tmp_path)))) == [("1", "x\ny"), ("2", "z")]
+    kinds = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    put(tmp_path / "e.csv", '1,"x\ny"\nbad,"z\n"\n', "utf-8")
+    spec = readers.CsvSpec(str(tmp_path), schema=kinds, header=False, skip_bad_lines=True)
+    assert rows(records.read_csv_records(spark, spec)) == [(1, "x\ny")]
+    with pytest.raises(ValueError):
+        records.read_csv_records(spark, readers.CsvSpec("x", charset="UTF-16", schema=kinds))
