@@ -153,7 +153,8 @@ class AcceptWrites(StatefulProcessor):
 def accept_writes(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """``(key, seq, leader, counter)`` with ``accepted`` and ``stored``, the counter held after the write: the rule of
     ``versions.lamport_fold`` over batches that arrive in the order of ``seq``. A write without key, counter or leader is refused and
-    changes nothing. Counters and leaders are 64-bit numbers."""
+    changes nothing. Counters and leaders are 64-bit numbers. With ``idle_ms`` give the query a trigger other than ``availableNow``, which
+    doesn't end while timers may come."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     marked = stream.where("key IS NOT NULL").select(
         "key", "seq", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("leader", "counter")],

@@ -89,13 +89,15 @@ def test_accepted_writes_go_on_from_their_checkpoint(spark, rows, tmp_path):
 
 
 def test_idle_keys_are_forgotten(spark, tmp_path):
-    """With a timer of no length at all, a key's next batch finds nothing held."""
+    """With a timer of a millisecond, a key's next batch but one finds nothing held."""
     import time
     path, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
     for seq, counter in ((1, 9), (2, 1), (3, 1)):
         spark.createDataFrame([(7 if seq != 2 else 8, seq, 1, counter)], FOLD).coalesce(1).write.mode("append").parquet(path)
         stream = stream_files(streams.stream_session(spark, 2), path, spark.read.parquet(path).schema)
-        streams.append_to(streams.accept_writes(stream, idle_ms=1), out, checkpoint)
+        done = streams.accept_writes(stream, idle_ms=1).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(once=True).start()
+        assert done.awaitTermination(40)
         time.sleep(0.1)
     found = {r["seq"]: (r["accepted"], r["stored"]) for r in spark.read.parquet(out).collect()}
     assert found == {1: (True, 10), 2: (True, 2), 3: (True, 2)}

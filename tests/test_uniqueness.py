@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from dataprobe.operators import uniqueness
@@ -49,3 +50,36 @@ def test_outcomes():
     got = dict(uniqueness.outcomes(["a", "b", "c"], [("a",), ("b", "c")], 2))
     assert got == {("a",): "MINIMAL", ("b",): "EXTENDABLE", ("c",): "EXTENDABLE", ("a", "b"): "FALSE",
                    ("a", "c"): "FALSE", ("b", "c"): "MINIMAL"}
+
+
+def test_full_lattice_of_the_widest_table(spark):
+    """All 2,047 column sets of a given table, one by one, against the search."""
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    frame = table.toPandas()
+    codes = [frame[c].factorize(use_na_sentinel=False)[0].astype("int64") for c in frame.columns]
+    found, unique = [], set()
+    for size in range(1, len(codes) + 1):
+        for columns in combinations(range(len(codes)), size):
+            if any(u <= set(columns) for u in unique):
+                continue
+            key = codes[columns[0]]
+            for k in columns[1:]:
+                key = (key * (codes[k].max() + 1) + codes[k])
+                key = np.unique(key, return_inverse=True)[1].astype("int64")
+            if len(np.unique(key)) == len(frame):
+                unique.add(frozenset(columns))
+                found.append(tuple(frame.columns[k] for k in columns))
+    assert uniqueness.discover_uccs(table, slice_rows=500) == found and len(found) > 20
+
+
+def test_slices_and_stripped_parents(spark, monkeypatch):
+    """Many slices, and parents that leave few rows: the sets stay the same."""
+    monkeypatch.setattr(uniqueness, "TEST_ROWS", 100)
+    rng = random.Random(12)
+    rows = list({(rng.randrange(900), rng.randrange(40), rng.randrange(30), rng.choice([None, 1, 2]), rng.randrange(6)) for _ in range(1500)})
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int")
+    seen = []
+    strip = uniqueness._strip
+    monkeypatch.setattr(uniqueness, "_strip", lambda r, sets, *rest: (seen.extend(sets), strip(r, sets, *rest))[1])
+    assert uniqueness.discover_uccs(df, slice_rows=200) == brute(rows, list("abcde"))
+    assert seen
