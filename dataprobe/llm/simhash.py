@@ -26,6 +26,8 @@ PAIRS_PER_BATCH = 200
 LONGEST_RUN = 3
 #: Texts of a signature that are compared at once, and rows that a task compares.
 LONG_LIST, BUCKET_ROWS = 2048, 1 << 15
+#: Pairs that are looked at in one step of a task.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def fingerprints(array: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -464,34 +466,46 @@ def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
     two share at most a - x; and a similarity of s takes (a + b) * s / (1 + s) shared ones. A wider bitmap is folded to the width of the other.
     """
     sig, node, size, component, own, part, other = (table[c].to_numpy() for c in ("sig", "node", "size", "component", "own", "part", "other"))
-    raw = table["bits"].combine_chunks()
     order = np.lexsort((own, other, part, sig))
-    cuts = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (sig, part, other)], axis=0)) + 1
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for rows in np.split(order, cuts):
-        if len(rows) < 2 or component[rows].min() == component[rows].max():
-            continue
-        maps = [np.frombuffer(raw[int(i)].as_buffer(), dtype="<u8") for i in rows]
-        widths = np.array([len(m) for m in maps])
-        for width in np.unique(widths).tolist():
-            # Texts of this width with each other and with those of the next one, folded; more than that can't be similar from 0.5 up.
-            near = np.flatnonzero((widths >= width) & ((widths <= 2 * width) | (similarity < 0.5)))
-            folded = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, width), axis=0) for k in near])
-            home = np.flatnonzero(widths[near] == width)
-            for at in range(0, len(home), 64):
-                x = home[at:at + 64]
-                a, b = size[rows[near[x]]].astype(np.float64)[:, None], size[rows[near]].astype(np.float64)[None, :]
-                alike = np.zeros((len(x), len(near)), dtype=np.int64)
-                own_bits = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
-                for word in range(width):
-                    alike += np.bitwise_count(folded[x, word][:, None] & folded[None, :, word])
-                most = np.minimum(a - (own_bits[x][:, None] - alike), b - (own_bits[None, :] - alike))
-                least = (a + b) * similarity / (1 + similarity)
-                fits = (most >= least - 1e-6) & (component[rows[near[x]]][:, None] != component[rows[near]][None, :])
-                p, q = np.nonzero(fits)
-                i, j = rows[near[x[p]]], rows[near[q]]
-                inner = part[rows[0]] == other[rows[0]]
-                keep = (inner | (own[i] != own[j])) & (node[i] != node[j])
-                found.append((np.maximum(node[i], node[j])[keep], np.minimum(node[i], node[j])[keep]))
-    pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found]), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    sig, node, size, component, own, part, other = (x[order] for x in (sig, node, size, component, own, part, other))
+    ids, first, place = np.unique(node, return_index=True, return_inverse=True)
+    new = np.ones(len(node) + 1, dtype=bool)
+    new[1:-1] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])
+    cuts = np.flatnonzero(new)
+    last = np.repeat(cuts[1:], np.diff(cuts)) if len(node) else cuts[:0]       # where each row's list ends
+    later = np.maximum(last - np.arange(len(node)) - 1, 0)
+    ends, keys, at = np.cumsum(later), [np.zeros(0, dtype=np.int64)], 0
+    while at < len(node):       # some rows at a time with all later ones of their lists
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")), at + 1)
+        i = np.repeat(np.arange(at, to), later[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+        fits = (component[i] != component[j]) & (place[i] != place[j]) & ((part[i] == other[i]) | (own[i] != own[j]))
+        fits &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * similarity - 1e-6
+        i, j = place[i[fits]], place[j[fits]]
+        keys.append(np.unique(np.maximum(i, j) * np.int64(len(ids)) + np.minimum(i, j)))
+        at = to
+    keys = np.unique(np.concatenate(keys))
+    a, b = keys // max(len(ids), 1), keys % max(len(ids), 1)
+    sizes, raw = size[first].astype(np.float64), table["bits"].combine_chunks().take(pa.array(order[first]))
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64) // 8
+    words = np.frombuffer(raw.buffers()[2], dtype="<u8") if len(raw) else np.zeros(0, dtype=np.uint64)
+    widths = np.diff(offsets)
+    fits = np.zeros(len(a), dtype=bool)
+    for wide, narrow in np.unique(np.stack([np.maximum(widths[a], widths[b]), np.minimum(widths[a], widths[b])], axis=1), axis=0).tolist():
+        mine = np.flatnonzero((np.maximum(widths[a], widths[b]) == wide) & (np.minimum(widths[a], widths[b]) == narrow))
+        step = max(1, PAIRS_AT_ONCE // wide)
+        for at in range(0, len(mine), step):
+            chosen = mine[at:at + step]
+            sides = []
+            for ends_ in (a[chosen], b[chosen]):
+                folded = np.empty((len(ends_), narrow), dtype=np.uint64)
+                for width in (wide, narrow):
+                    rows = np.flatnonzero(widths[ends_] == width)
+                    maps = words[offsets[ends_[rows]][:, None] + np.arange(width)]
+                    folded[rows] = np.bitwise_or.reduce(maps.reshape(len(rows), -1, narrow), axis=1)
+                sides.append(folded)
+            x, y = sides
+            most = np.minimum(sizes[a[chosen]] - np.bitwise_count(x & ~y).sum(axis=1), sizes[b[chosen]] - np.bitwise_count(y & ~x).sum(axis=1))
+            fits[chosen] = most >= (sizes[a[chosen]] + sizes[b[chosen]]) * similarity / (1 + similarity) - 1e-6
+    a, b = ids[a[fits]], ids[b[fits]]
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
