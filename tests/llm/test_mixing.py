@@ -68,3 +68,11 @@ def test_empty_and_clashing(empty, clashing):
     assert len(out.columns) == len(clashing.columns) and dict(out.dtypes)["copy_no"] == "int"
     with pytest.raises(ValueError):
         mix_sources(clashing, {})
+
+
+def test_sources_without_a_weight_have_the_default(spark):
+    df = spark.createDataFrame([(i, "x" * 10, [None, "src0", "web", "other"][i % 4]) for i in range(400)], "doc_id long, text string, source string")
+    rates = {r.source: r.rate for r in source_rates(df, {"src0": 3.0}, default=1.0).collect()}
+    assert rates == {"src0": 2.0, "": 2 / 3, "web": 2 / 3, "other": 2 / 3}
+    assert {r.source for r in mix_sources(df, {"src0": 3.0}, default=1.0).collect()} == {None, "src0", "web", "other"}
+    assert {r.source for r in source_rates(df, {"src0": 3.0}).collect()} == {"src0"}
