@@ -502,7 +502,7 @@ def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
                 for width in (wide, narrow):
                     rows = np.flatnonzero(widths[ends_] == width)
                     maps = words[offsets[ends_[rows]][:, None] + np.arange(width)]
-                    folded[rows] = np.bitwise_or.reduce(maps.reshape(len(rows), -1, narrow), axis=1)
+                    folded[rows] = np.bitwise_or.reduce(maps.reshape(len(rows), width // narrow, narrow), axis=1)
                 sides.append(folded)
             x, y = sides
             most = np.minimum(sizes[a[chosen]] - np.bitwise_count(x & ~y).sum(axis=1), sizes[b[chosen]] - np.bitwise_count(y & ~x).sum(axis=1))
