@@ -223,3 +223,17 @@ def test_pairs_grow_with_the_texts_not_with_their_square(spark, monkeypatch):
         assert kept == sorted(groups_by_brute_force(texts)) and kept[0] == 0 and len(kept) == n + 1
         sizes.append(sum(counted))
     assert sizes[1] < 5 * sizes[0] + 50
+
+
+def test_bitmaps_of_two_widths():
+    """A pair whose texts have bitmaps of different widths, either way round, and no rows at all."""
+    import pyarrow as pa
+    r = random.Random(1)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(33)]
+    texts = [" ".join(base), " ".join(base + [f"n{k}" for k in range(7)])]
+    for pair in (texts, texts[::-1]):
+        bits, zeros = simhash.bitmaps(pa.array(pair), 5), np.zeros(2, dtype=np.int32)
+        table = pa.table({"sig": zeros.astype(np.int64), "node": np.arange(2), "size": np.array([len(grams(t)) for t in pair], dtype=np.int32),
+                          "component": np.arange(2), "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary())})
+        assert len({len(b) for b in bits}) == 2 and simhash.possible_pairs(table, .8).to_pylist() == [{"a": 1, "b": 0}]
+        assert simhash.possible_pairs(table.slice(0, 0), .8).num_rows == 0
