@@ -394,7 +394,7 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
     """``near (a, b)`` with verified links that connect all of the ``texts`` that chains of similar pairs connect.
 
     Similar texts share a signature. First each signature's smallest text is its leader, with which those of other groups are compared: a
-    group of near copies takes one pair for each member, and is closed. Then the texts of a signature that are still in different
+    group of near copies takes one pair for each member, and is closed. Then the texts of signatures with one leader that are still in different
     groups are compared among themselves, within tasks, by ``bitmaps``, which bound how many shingles two texts can share. Only pairs that
     the bound lets through leave the task, and they are verified. A pair is left out only if it is in one group or can't be similar.
     """
@@ -412,13 +412,12 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
             yield pa.record_batch({"node": piece["node"], "bits": pa.array(maps, type=pa.binary())})
 
     def in_groups(members: DataFrame) -> DataFrame:
-        """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component``, the number of
-        members and the ``leader``."""
+        """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component`` and the ``leader``."""
         names = connected_components(near)
         named = members.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        ends = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        ends = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                         F.min(F.struct("size", "node", "component")).alias("leader"))
-        return named.join(ends.where("low < high").select("sig", "n", "leader").hint("merge"), "sig")
+        return named.join(ends.where("low < high").select("sig", "leader").hint("merge"), "sig")
 
     with interim(spark) as keep:
         signed = materialize(map_arrow(texts.select("node", "body"), sign, "sig long, node long, size int"), "signed")
@@ -429,17 +428,20 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
         proposed = materialize(led.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct(),
                                "proposed")
         near = materialize(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)), "near")
-        open_ = materialize(in_groups(shared).select("sig", "node", "size", "component", "n"), "open")
+        # Texts of signatures with one leader form one list, so that those of a shared passage meet once, not once for each of its signatures.
+        open_ = in_groups(shared).select(F.col("leader.node").alias("leader"), "node", "size", "component").distinct()
+        open_ = materialize(open_, "open")
         ends = materialize(open_.select("node").distinct(), "ends")
         drawn = materialize(map_arrow(texts.select("node", "body").join(broadcast_if_small(ends), "node", "left_semi"), draw,
                                       "node long, bits binary"), "bitmaps")
         # Long lists are cut into parts, and each part meets each.
-        dealt = open_.withColumn("parts", F.ceil(F.col("n") / LONG_LIST).cast("int"))
+        lists = open_.groupBy("leader").agg(F.ceil(F.count("*") / LONG_LIST).cast("int").alias("parts"))
+        dealt = open_.join(lists.hint("merge"), "leader")
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
             "met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("sig", "node", "size", "component", "own", F.least("own", "met").alias("part"), F.greatest("own", "met").alias("other"))
+        dealt = dealt.select("leader", "node", "size", "component", "own", F.least("own", "met").alias("part"), F.greatest("own", "met").alias("other"))
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_.count() // BUCKET_ROWS)
-        dealt = dealt.join(drawn.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("sig", "part", "other"), F.lit(buckets)))
+        dealt = dealt.join(drawn.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("leader", "part", "other"), F.lit(buckets)))
         proposed = materialize(dealt.groupBy("bucket").applyInArrow(lambda table: possible_pairs(table, similarity), "a long, b long").distinct(),
                                "proposed")
         return keep(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)).distinct(), "near")
@@ -459,53 +461,66 @@ def bitmaps(array: pa.Array, shingle: int) -> list[bytes]:
 
 
 def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
-    """The pairs of texts in different groups, of those that share a signature in the table, whose sizes and bitmaps don't rule out a
-    ``similarity``.
-
-    Each bit that only one of two texts has set stands for a shingle that the other doesn't have: with x such bits of a text of size a, the
-    two share at most a - x; and a similarity of s takes (a + b) * s / (1 + s) shared ones. A wider bitmap is folded to the width of the other.
-    """
-    sig, node, size, component, own, part, other = (table[c].to_numpy() for c in ("sig", "node", "size", "component", "own", "part", "other"))
-    order = np.lexsort((own, other, part, sig))
-    sig, node, size, component, own, part, other = (x[order] for x in (sig, node, size, component, own, part, other))
-    ids, first, place = np.unique(node, return_index=True, return_inverse=True)
-    new = np.ones(len(node) + 1, dtype=bool)
-    new[1:-1] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])
-    cuts = np.flatnonzero(new)
-    last = np.repeat(cuts[1:], np.diff(cuts)) if len(node) else cuts[:0]       # where each row's list ends
+    """The pairs of texts in different groups, of those in one list (``leader``) of the table, whose sizes and bitmaps don't rule out a
+    ``similarity``. A list holds a text once."""
+    leader, node, size, component, own, part, other = (
+        table[c].to_numpy() for c in ("leader", "node", "size", "component", "own", "part", "other"))
+    order = np.lexsort((node, size, other, part, leader))
+    leader, node, size, component, own, part, other = (x[order] for x in (leader, node, size, component, own, part, other))
+    new = np.ones(len(node), dtype=bool)
+    new[1:] = (leader[1:] != leader[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])
+    # In a list, ordered by size, a text's partners are those after it up to the largest size that can be similar.
+    place = np.cumsum(new) << 32
+    last = np.searchsorted(place + size, place + np.floor(size / similarity + 1e-6).astype(np.int64), side="right")
     later = np.maximum(last - np.arange(len(node)) - 1, 0)
     ends, keys, at = np.cumsum(later), [np.zeros(0, dtype=np.int64)], 0
-    while at < len(node):       # some rows at a time with all later ones of their lists
+    maps = Bitmaps(table["bits"].combine_chunks().take(pa.array(order)), size)
+    ids, number = np.unique(node, return_inverse=True)
+    while at < len(node):       # some rows at a time with all their partners
         to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")), at + 1)
         i = np.repeat(np.arange(at, to), later[at:to])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
-        fits = (component[i] != component[j]) & (place[i] != place[j]) & ((part[i] == other[i]) | (own[i] != own[j]))
-        fits &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * similarity - 1e-6
-        i, j = place[i[fits]], place[j[fits]]
+        fits = (component[i] != component[j]) & ((part[i] == other[i]) | (own[i] != own[j]))
+        i, j = i[fits], j[fits]
+        fits = maps.may_be_similar(i, j, similarity)
+        i, j = number[i[fits]], number[j[fits]]
         keys.append(np.unique(np.maximum(i, j) * np.int64(len(ids)) + np.minimum(i, j)))
         at = to
     keys = np.unique(np.concatenate(keys))
-    a, b = keys // max(len(ids), 1), keys % max(len(ids), 1)
-    sizes, raw = size[first].astype(np.float64), table["bits"].combine_chunks().take(pa.array(order[first]))
-    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset:raw.offset + len(raw) + 1].astype(np.int64) // 8
-    words = np.frombuffer(raw.buffers()[2], dtype="<u8") if len(raw) else np.zeros(0, dtype=np.uint64)
-    widths = np.diff(offsets)
-    fits = np.zeros(len(a), dtype=bool)
-    for wide, narrow in np.unique(np.stack([np.maximum(widths[a], widths[b]), np.minimum(widths[a], widths[b])], axis=1), axis=0).tolist():
-        mine = np.flatnonzero((np.maximum(widths[a], widths[b]) == wide) & (np.minimum(widths[a], widths[b]) == narrow))
-        step = max(1, PAIRS_AT_ONCE // wide)
-        for at in range(0, len(mine), step):
-            chosen = mine[at:at + step]
-            sides = []
-            for ends_ in (a[chosen], b[chosen]):
-                folded = np.empty((len(ends_), narrow), dtype=np.uint64)
-                for width in (wide, narrow):
-                    rows = np.flatnonzero(widths[ends_] == width)
-                    maps = words[offsets[ends_[rows]][:, None] + np.arange(width)]
-                    folded[rows] = np.bitwise_or.reduce(maps.reshape(len(rows), width // narrow, narrow), axis=1)
-                sides.append(folded)
-            x, y = sides
-            most = np.minimum(sizes[a[chosen]] - np.bitwise_count(x & ~y).sum(axis=1), sizes[b[chosen]] - np.bitwise_count(y & ~x).sum(axis=1))
-            fits[chosen] = most >= (sizes[a[chosen]] + sizes[b[chosen]]) * similarity / (1 + similarity) - 1e-6
-    a, b = ids[a[fits]], ids[b[fits]]
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    return pa.table({"a": ids[keys // max(len(ids), 1)], "b": ids[keys % max(len(ids), 1)]})
+
+
+class Bitmaps:
+    """The bitmaps of texts with ``sizes`` shingles each. A wider bitmap is folded to the width of the one it meets."""
+
+    def __init__(self, bits: pa.Array, sizes: np.ndarray):
+        self.sizes = sizes.astype(np.float64)
+        self.at = np.frombuffer(bits.buffers()[1], dtype=np.int32)[bits.offset:bits.offset + len(bits) + 1].astype(np.int64) // 8 \
+            if len(bits) else np.zeros(1, dtype=np.int64)
+        self.words = np.frombuffer(bits.buffers()[2], dtype="<u8") if len(bits) else np.zeros(0, dtype=np.uint64)
+        self.widths = np.diff(self.at)
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(rows), width), dtype=np.uint64)
+        for wide in np.unique(self.widths[rows]).tolist():
+            mine = np.flatnonzero(self.widths[rows] == wide)
+            whole = self.words[self.at[rows[mine]][:, None] + np.arange(wide)]
+            out[mine] = np.bitwise_or.reduce(whole.reshape(len(mine), wide // width, width), axis=1)
+        return out
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the bitmaps of rows ``a`` and ``b`` leave room for a ``similarity``.
+
+        Each bit that only one of two texts has set stands for a shingle that the other doesn't have: with x such bits of a text of size a,
+        the two share at most a - x; and a similarity of s takes (a + b) * s / (1 + s) shared ones.
+        """
+        fits, narrow = np.zeros(len(a), dtype=bool), np.minimum(self.widths[a], self.widths[b])
+        for width in np.unique(narrow).tolist():
+            mine = np.flatnonzero(narrow == width)
+            step = max(1, PAIRS_AT_ONCE // int(max(self.widths[a[mine]].max(), self.widths[b[mine]].max())))
+            for at in range(0, len(mine), step):
+                i, j = a[mine[at:at + step]], b[mine[at:at + step]]
+                x, y = self.folded(i, width), self.folded(j, width)
+                most = np.minimum(self.sizes[i] - np.bitwise_count(x & ~y).sum(axis=1), self.sizes[j] - np.bitwise_count(y & ~x).sum(axis=1))
+                fits[mine[at:at + step]] = most >= (self.sizes[i] + self.sizes[j]) * similarity / (1 + similarity) - 1e-6
+        return fits

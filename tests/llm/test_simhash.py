@@ -194,7 +194,7 @@ def test_bitmaps_never_rule_out_similar_texts():
             cut = r.randrange(0, max(1, len(words) // 6))
             texts += [" ".join(words), " ".join(words[cut:]), " ".join(words + [f"n{i}" for i in range(cut)]), " ".join(words[:-cut or None])]
         sets, n = [grams(t) for t in texts], len(texts)
-        table = pa.table({"sig": np.zeros(n, dtype=np.int64), "node": np.arange(n), "size": np.array([len(g) for g in sets], dtype=np.int32),
+        table = pa.table({"leader": np.zeros(n, dtype=np.int64), "node": np.arange(n), "size": np.array([len(g) for g in sets], dtype=np.int32),
                           "component": np.arange(n), "own": np.zeros(n, dtype=np.int32), "part": np.zeros(n, dtype=np.int32),
                           "other": np.zeros(n, dtype=np.int32), "bits": pa.array(simhash.bitmaps(pa.array(texts), 5), type=pa.binary())})
         found = set(zip(*(c.to_pylist() for c in simhash.possible_pairs(table, least).columns)))
@@ -233,7 +233,7 @@ def test_bitmaps_of_two_widths():
     texts = [" ".join(base), " ".join(base + [f"n{k}" for k in range(7)])]
     for pair in (texts, texts[::-1]):
         bits, zeros = simhash.bitmaps(pa.array(pair), 5), np.zeros(2, dtype=np.int32)
-        table = pa.table({"sig": zeros.astype(np.int64), "node": np.arange(2), "size": np.array([len(grams(t)) for t in pair], dtype=np.int32),
+        table = pa.table({"leader": zeros.astype(np.int64), "node": np.arange(2), "size": np.array([len(grams(t)) for t in pair], dtype=np.int32),
                           "component": np.arange(2), "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary())})
         assert len({len(b) for b in bits}) == 2 and simhash.possible_pairs(table, .8).to_pylist() == [{"a": 1, "b": 0}]
         assert simhash.possible_pairs(table.slice(0, 0), .8).num_rows == 0
