@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ PAIRS_PER_BATCH = 200
 LONGEST_RUN = 3
 #: Texts of a signature that are compared at once, and rows that a task compares.
 LONG_LIST, BUCKET_ROWS = 2048, 1 << 15
+#: Leaders that a text carries along at most.
+MOST_LEADERS = 64
 #: Pairs that are looked at in one step of a task.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -341,13 +344,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
 
-    @F.arrow_udf("array<long>")
-    def code(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in arrays:
-            found = [word_fingerprints(piece["text"], kinds)
-                     for piece in pieces(iter([pa.record_batch({"text": array})]), "text")]
-            values = np.concatenate(found or [np.zeros((0, kinds), dtype=np.uint64)]).view(np.int64)
-            yield pa.ListArray.from_arrays(np.arange(0, values.size + 1, kinds, dtype=np.int32), values.reshape(-1))
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "body"):
+            fps = word_fingerprints(piece["body"], kinds).view(np.int64)
+            bits, sizes = bitmaps(piece["body"], shingle)
+            yield pa.record_batch({"node": piece["node"], "size": sizes.astype(np.int32), "bits": pa.array(bits, type=pa.binary()),
+                                   "fps": pa.ListArray.from_arrays(np.arange(0, fps.size + 1, kinds, dtype=np.int32), fps.reshape(-1))})
 
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -356,7 +358,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     # Each text once. Copies meet in the task that reads them, so many copies of a text are no large group.
     texts = materialize(rows.where("id IS NOT NULL").groupBy("text_key").agg(
         F.min("id").alias("node"), F.first("body").alias("body")), "texts")
-    each = materialize(texts.select("node", code("body").alias("fps")), "coded").select("node", F.posexplode("fps").alias("kind", "fp"))
+    coded = materialize(map_arrow(texts.select("node", "body"), describe, "node long, size int, bits binary, fps array<long>"), "coded")
+    maps, each = coded.select("node", "size", "bits"), coded.select("node", F.posexplode("fps").alias("kind", "fp"))
     unique = materialize(each.groupBy("kind", "fp").agg(F.min("node").alias("node")), "unique")
     same = each.select(F.col("node").alias("a"), "kind", "fp").join(unique.hint("merge"), ["kind", "fp"]).select(
         "a", F.col("node").alias("b"))
@@ -364,8 +367,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     proposed = materialize(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
     chains = connected_components(proposed).where("node <> component").select(
         F.col("node").alias("a"), F.col("component").alias("b"))
-    near = _similar_pairs(texts, materialize(proposed.unionByName(chains).distinct(), "proposed"), similarity, shingle)
-    near = _link_by_signatures(texts, near, similarity, shingle)
+    near = _similar_pairs(texts, materialize(proposed.unionByName(chains).distinct(), "proposed"), maps, similarity, shingle)
+    near = _link_by_signatures(texts, near, maps, similarity, shingle)
     losers = connected_components(near).where("node <> component").select("node")
     groups = texts.select("text_key", "node").join(losers.hint("merge"), "node", "left").select(
         "text_key", "node", losers["node"].isNotNull().alias("lost"))
@@ -374,14 +377,24 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     return lookup_join(rows, materialize(gone, "gone"), ["id", "text_key"], "left_anti").select(*with_new_columns(docs.columns, "row"))
 
 
-def _similar_pairs(texts: DataFrame, proposed: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Of the pairs ``proposed (a, b)`` those whose ``texts (node, body)`` are similar enough, written down. Only texts that a pair names
-    are moved."""
+def _similar_pairs(texts: DataFrame, proposed: DataFrame, maps: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of the pairs ``proposed (a, b)`` those whose ``texts (node, body)`` are similar enough, written down. First the ``maps (node, size,
+    bits)`` rule out what can't be similar; only texts that a pair names after that are moved."""
+    @F.arrow_udf("boolean")
+    def possible(size_a: pa.Array, bits_a: pa.Array, size_b: pa.Array, bits_b: pa.Array) -> pa.Array:
+        both = Bitmaps(pa.concat_arrays([bits_a, bits_b]), np.concatenate([size_a.to_numpy(), size_b.to_numpy()]))
+        rows = np.arange(len(size_a))
+        return pa.array(both.may_be_similar(rows, rows + len(rows), similarity))
+
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(shingle_similarity(a, b, shingle), type=pa.float64())
 
     with interim(texts.sparkSession) as keep:
+        for side in ("a", "b"):
+            proposed = proposed.join(maps.toDF(side, f"size_{side}", f"bits_{side}").hint("merge"), side)
+        fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6) & possible("size_a", "bits_a", "size_b", "bits_b")
+        proposed = materialize(proposed.where(fits).select("a", "b"), "possible")
         ends = materialize(proposed.select("a").union(proposed.select("b")).distinct().withColumnRenamed("a", "node"), "ends")
         named = materialize(texts.select("node", "body").join(broadcast_if_small(ends), "node", "left_semi"), "named")
         pairs = proposed.join(named.select(F.col("node").alias("a"), F.col("body").alias("text_a")).hint("merge"), "a")
@@ -390,7 +403,7 @@ def _similar_pairs(texts: DataFrame, proposed: DataFrame, similarity: float, shi
             return keep(pairs.where(similar("text_a", "text_b") >= similarity).select("a", "b").distinct(), "near")
 
 
-def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _link_by_signatures(texts: DataFrame, near: DataFrame, maps: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``near (a, b)`` with verified links that connect all of the ``texts`` that chains of similar pairs connect.
 
     Similar texts share a signature. First each signature's smallest text is its leader, with which those of other groups are compared: a
@@ -406,11 +419,6 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
             found, owner, size = signatures(piece["body"], similarity, shingle, common)
             yield pa.record_batch({"sig": found.view(np.int64), "node": piece["node"].to_numpy()[owner], "size": size.astype(np.int32)})
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "body"):
-            maps = bitmaps(piece["body"], shingle)
-            yield pa.record_batch({"node": piece["node"], "bits": pa.array(maps, type=pa.binary())})
-
     def in_groups(members: DataFrame) -> DataFrame:
         """The members (sig, node, size) of signatures whose texts are in several groups, with their ``component`` and the ``leader``."""
         names = connected_components(near)
@@ -427,13 +435,14 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
             F.least("size", "leader.size") >= F.greatest("size", "leader.size") * similarity - 1e-6))
         proposed = materialize(led.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct(),
                                "proposed")
-        near = materialize(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)), "near")
+        near = materialize(near.unionByName(_similar_pairs(texts, proposed, maps, similarity, shingle)), "near")
         # Texts of signatures with one leader form one list, so that those of a shared passage meet once, not once for each of its signatures.
         open_ = in_groups(shared).select(F.col("leader.node").alias("leader"), "node", "size", "component").distinct()
         open_ = materialize(open_, "open")
-        ends = materialize(open_.select("node").distinct(), "ends")
-        drawn = materialize(map_arrow(texts.select("node", "body").join(broadcast_if_small(ends), "node", "left_semi"), draw,
-                                      "node long, bits binary"), "bitmaps")
+        # Each text carries its leaders, unless they are many, so that a pair is named in the list of its smallest common one only.
+        others = open_.groupBy("node").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+        others = others.select("node", F.when(F.size("leaders") <= MOST_LEADERS, F.col("leaders")).alias("leaders"))
+        drawn = maps.select("node", "bits").join(others.hint("merge"), "node")
         # Long lists are cut into parts, and each part meets each.
         lists = open_.groupBy("leader").agg(F.ceil(F.count("*") / LONG_LIST).cast("int").alias("parts"))
         dealt = open_.join(lists.hint("merge"), "leader")
@@ -444,11 +453,12 @@ def _link_by_signatures(texts: DataFrame, near: DataFrame, similarity: float, sh
         dealt = dealt.join(drawn.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("leader", "part", "other"), F.lit(buckets)))
         proposed = materialize(dealt.groupBy("bucket").applyInArrow(lambda table: possible_pairs(table, similarity), "a long, b long").distinct(),
                                "proposed")
-        return keep(near.unionByName(_similar_pairs(texts, proposed, similarity, shingle)).distinct(), "near")
+        return keep(near.unionByName(_similar_pairs(texts, proposed, maps, similarity, shingle)).distinct(), "near")
 
 
-def bitmaps(array: pa.Array, shingle: int) -> list[bytes]:
-    """For each text a bitmap of two to four bits for each distinct shingle (64 at least), with the bits of its shingles' hashes set."""
+def bitmaps(array: pa.Array, shingle: int) -> tuple[list[bytes], np.ndarray]:
+    """For each text a bitmap of two to four bits for each distinct shingle (64 at least), with the bits of its shingles' hashes set; and
+    the number of its distinct shingles."""
     keys, owner, n = distinct_shingles(array, shingle, np.zeros(0, dtype=np.uint64))
     first = np.searchsorted(owner, np.arange(n + 1))
     out = []
@@ -457,12 +467,13 @@ def bitmaps(array: pa.Array, shingle: int) -> list[bytes]:
         bits = np.zeros(width, dtype=np.uint8)
         bits[(keys[lo:hi] & np.uint64(width - 1)).astype(np.int64)] = 1
         out.append(np.packbits(bits, bitorder="little").tobytes())
-    return out
+    return out, np.diff(first)
 
 
 def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
     """The pairs of texts in different groups, of those in one list (``leader``) of the table, whose sizes and bitmaps don't rule out a
-    ``similarity``. A list holds a text once."""
+    ``similarity``. A list holds a text once. A pair is given in the list of its smallest common leader only; texts without ``leaders``
+    are given in each list."""
     leader, node, size, component, own, part, other = (
         table[c].to_numpy() for c in ("leader", "node", "size", "component", "own", "part", "other"))
     order = np.lexsort((node, size, other, part, leader))
@@ -476,6 +487,11 @@ def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
     ends, keys, at = np.cumsum(later), [np.zeros(0, dtype=np.int64)], 0
     maps = Bitmaps(table["bits"].combine_chunks().take(pa.array(order)), size)
     ids, number = np.unique(node, return_inverse=True)
+    lists = table["leaders"].combine_chunks().take(pa.array(order))
+    known, none = lists.is_valid().to_numpy(zero_copy_only=False), np.iinfo(np.int64).max
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    leaders = np.full((len(node), max(counts.max(initial=0), 1)), none)
+    leaders[np.arange(leaders.shape[1])[None, :] < counts[:, None]] = lists.flatten().to_numpy()
     while at < len(node):       # some rows at a time with all their partners
         to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")), at + 1)
         i = np.repeat(np.arange(at, to), later[at:to])
@@ -483,6 +499,13 @@ def possible_pairs(table: pa.Table, similarity: float) -> pa.Table:
         fits = (component[i] != component[j]) & ((part[i] == other[i]) | (own[i] != own[j]))
         i, j = i[fits], j[fits]
         fits = maps.may_be_similar(i, j, similarity)
+        i, j = i[fits], j[fits]
+        fits = ~(known[i] & known[j])
+        for k in range(0, len(i), 1 << 13):
+            block = slice(k, k + (1 << 13))
+            both = np.sort(np.concatenate([leaders[i[block]], leaders[j[block]]], axis=1), axis=1)
+            least = np.where((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none), both[:, 1:], none).min(axis=1)
+            fits[block] |= least == leader[i[block]]
         i, j = number[i[fits]], number[j[fits]]
         keys.append(np.unique(np.maximum(i, j) * np.int64(len(ids)) + np.minimum(i, j)))
         at = to

@@ -196,7 +196,8 @@ def test_bitmaps_never_rule_out_similar_texts():
         sets, n = [grams(t) for t in texts], len(texts)
         table = pa.table({"leader": np.zeros(n, dtype=np.int64), "node": np.arange(n), "size": np.array([len(g) for g in sets], dtype=np.int32),
                           "component": np.arange(n), "own": np.zeros(n, dtype=np.int32), "part": np.zeros(n, dtype=np.int32),
-                          "other": np.zeros(n, dtype=np.int32), "bits": pa.array(simhash.bitmaps(pa.array(texts), 5), type=pa.binary())})
+                          "other": np.zeros(n, dtype=np.int32), "bits": pa.array(simhash.bitmaps(pa.array(texts), 5)[0], type=pa.binary()),
+                          "leaders": pa.array([[0]] * n, type=pa.list_(pa.int64()))})
         found = set(zip(*(c.to_pylist() for c in simhash.possible_pairs(table, least).columns)))
         near = {(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
         assert near <= found and len(found) < len(near) + n * n // 10
@@ -232,8 +233,23 @@ def test_bitmaps_of_two_widths():
     base = [f"w{r.randrange(10 ** 6)}" for _ in range(33)]
     texts = [" ".join(base), " ".join(base + [f"n{k}" for k in range(7)])]
     for pair in (texts, texts[::-1]):
-        bits, zeros = simhash.bitmaps(pa.array(pair), 5), np.zeros(2, dtype=np.int32)
+        bits, zeros = simhash.bitmaps(pa.array(pair), 5)[0], np.zeros(2, dtype=np.int32)
         table = pa.table({"leader": zeros.astype(np.int64), "node": np.arange(2), "size": np.array([len(grams(t)) for t in pair], dtype=np.int32),
-                          "component": np.arange(2), "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary())})
+                          "component": np.arange(2), "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary()),
+                          "leaders": pa.array([[0], None], type=pa.list_(pa.int64()))})
         assert len({len(b) for b in bits}) == 2 and simhash.possible_pairs(table, .8).to_pylist() == [{"a": 1, "b": 0}]
         assert simhash.possible_pairs(table.slice(0, 0), .8).num_rows == 0
+
+
+def test_a_pair_is_named_in_one_list():
+    """Texts that meet in several lists are named in the first; texts with too many leaders to carry in each, and no row is lost."""
+    import pyarrow as pa
+    text = " ".join(f"w{k}" for k in range(40))
+    for leaders, wanted in (([[3, 5], [1, 3, 5]], {3: 1, 5: 0}), ([None, [1, 3, 5]], {3: 1, 5: 1})):
+        bits, sizes = simhash.bitmaps(pa.array([text, text + " x"]), 5)
+        zeros = np.zeros(2, dtype=np.int32)
+        for leader, n in wanted.items():
+            table = pa.table({"leader": np.full(2, leader), "node": np.arange(2), "size": sizes.astype(np.int32), "component": np.arange(2),
+                              "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary()),
+                              "leaders": pa.array(leaders, type=pa.list_(pa.int64()))})
+            assert simhash.possible_pairs(table, .8).num_rows == n
