@@ -2,13 +2,15 @@
 
 Two rows that agree on a set of columns refute every subset of it, so a few well chosen pairs rule out most of the lattice, and
 the smallest sets that no known pair refutes are the candidates. They are tested on hash slices, which refute most of them, and then on
-all rows, over stripped clusters: a row that is alone with its values of a set is alone for every superset and is not looked at
-again. A failed test gives new pairs, until all candidates have passed. The driver holds sets of column names only. Nulls count as values: NULL equals NULL.
+all rows. There each task sorts the hashes of a candidate's values and sends them packed, about four bytes for a row, to buckets
+of their range; values that come twice in a bucket are looked up in the rows and compared by all their bits. A row that is alone with its values of a
+set is alone for every superset, and where the others are few it is not sent again. A failed test gives new pairs, until all candidates
+have passed. The driver holds sets of column names, and a bounded number of hashes. Nulls count as values: NULL equals NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataprobe.operators.joins import broadcast_if_small
 from dataprobe.session import materialize
@@ -24,64 +27,183 @@ from dataprobe.session import materialize
 SLICE_ROWS = 10_000
 #: Rows of the slice on which candidates are tested first.
 TEST_ROWS = 64_000
-#: Sets that are tested in one scan, which keeps the generated code small, and pairs of rows that a failed test gives.
+#: Sets that are tested in one scan of a slice, which keeps the generated code small, and pairs of rows that a failed test gives.
 PER_SCAN, WITNESSES = 96, 64
-#: Share of the rows that must be alone in a set's clusters for the set to be remembered, and how many sets are (bits of a long).
-LONE_SHARE, MOST_STRIPPED = 0.5, 62
+#: Rows whose hashes are sorted and packed together, and about how many hashes meet in a bucket.
+BLOCK_ROWS, BUCKET_ROWS = 1 << 20, 1 << 21
+#: Repeated values of a set that a test looks up in the rows.
+SUSPECTS = 1024
+#: Share of the rows that must be alone in a set's clusters for the set to be remembered, and how many values that come
+#: twice, of all remembered sets, are sent to the tasks.
+LONE_SHARE, STRIP_VALUES = 0.5, 1 << 20
 
 Columns = frozenset[int]
+#: For a set of columns the leading bits of its values that come twice, in order: rows with other values are alone.
+Stripped = dict[Columns, np.ndarray]
 
 
-def _encoded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(rid, alone, a0, b0, a1, b1, ...)``: a number for each row and 128 bits for each of its values, by which rows are compared.
+def _hashed(columns: Sequence[str]) -> list[Column]:
+    """``a0, b0, a1, b1, ...``: 128 bits for each of a row's values.
 
     Each column is hashed twice, with its number and whether it is null (hashes skip nulls); a set of columns has the exclusive
     or of its columns' hashes. Equal values have equal bits, so bits without a repeat prove a set unique.
     """
-    hashed = [F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
-              for k, c in enumerate(columns) for side in (0, 1)]
-    return materialize(df.select(F.monotonically_increasing_id().alias("rid"), F.lit(0).cast("long").alias("alone"), *hashed), "encoded")
+    return [F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
+            for k, c in enumerate(columns) for side in (0, 1)]
+
+
+def _encoded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(rid, a0, b0, a1, b1, ...)``: a number for each row and the bits by which rows are compared. The values themselves are
+    written down, which takes far less space; each scan hashes them anew."""
+    named = [F.col(f"`{c}`").cast("int" if isinstance(df.schema[c].dataType, T.NullType) else df.schema[c].dataType).alias(f"c{k}")
+             for k, c in enumerate(columns)]
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("rid"), *named), "encoded")
+    return stored.select("rid", *_hashed([f"c{k}" for k in range(len(columns))]))
 
 
 def _bits(side: str, columns: Iterable[int]) -> Column:
     return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"{side}{k}") for k in sorted(columns)])
 
 
-def _clusters(rows: DataFrame, sets: Sequence[Columns], stripped: Sequence[Columns], slices: int = 1) -> DataFrame:
-    """``(i, h1, h2, rid)`` for each row and each of the ``sets`` that the row isn't known to be alone in. With ``slices`` only those
-    whose values hash to slice 0; clusters are in it as a whole, so what is found there holds for the table."""
+def _clusters(rows: DataFrame, sets: Sequence[Columns], slices: int = 1) -> DataFrame:
+    """``(i, h1, h2, rid)`` for each row and each of the ``sets``. With ``slices`` only those whose values hash to slice 0; clusters
+    are in it as a whole, so what is found there holds for the table."""
     parts = []
     for start in range(0, len(sets), PER_SCAN):
         found = []
         for i, columns in enumerate(sets[start:start + PER_SCAN], start):
-            known = sum(1 << k for k, part in enumerate(stripped) if part <= columns)
-            wanted = [F.col("alone").bitwiseAND(F.lit(known)) == 0] if known else []
-            wanted += [F.pmod(_bits("a", columns), F.lit(slices)) == 0] if slices > 1 else []
             cluster = F.struct(F.lit(i).alias("i"), _bits("a", columns).alias("h1"), _bits("b", columns).alias("h2"))
-            found.append(F.when(reduce(lambda x, y: x & y, wanted), cluster) if wanted else cluster)
+            found.append(F.when(F.pmod(_bits("a", columns), F.lit(slices)) == 0, cluster) if slices > 1 else cluster)
         listed = F.array_compact(F.array(*found))
         parts.append(rows.select("rid", F.explode(listed).alias("x")).select("x.*", "rid"))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _fingerprints(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> DataFrame:
+    """``(i, h1, h2)``: for each row and set of column names the number of the set and the 128 bits that name its values."""
+    names = sorted({c for columns in sets for c in columns})
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), *_hashed(names))
+    return _clusters(rows, [frozenset(names.index(c) for c in columns) for columns in sets]).drop("rid")
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted numbers: their differences in byte planes, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], 8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of about ``most`` rows at a time."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= most:
+            yield {c: np.concatenate([b[c].to_numpy() for b in kept]).view(np.uint64) for c in batch.schema.names}
+            kept = []
+    if sum(b.num_rows for b in kept):
+        yield {c: np.concatenate([b[c].to_numpy() for b in kept]).view(np.uint64) for c in kept[0].schema.names}
+
+
+def _value(block: dict[str, np.ndarray], side: str, columns: Iterable[int]) -> np.ndarray:
+    return reduce(np.bitwise_xor, [block[f"{side}{k}"] for k in sorted(columns)])
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted list?"""
+    if not len(listed):
+        return np.zeros(len(values), dtype=bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def _width(total: int) -> int:
+    """Leading bits of a hash that are sent: so many that unlike values seldom have the same."""
+    return min(64, total.bit_length() + 24)
+
+
+def _repeats(rows: DataFrame, sets: Sequence[Columns], stripped: Stripped, size: int, total: int,
+             most: int) -> list[tuple[np.ndarray, bool]]:
+    """For each of the ``sets`` the leading bits, in order, of values that come twice, and whether these are all. About ``most`` of a
+    set are listed. Rows that are alone in a set of ``stripped`` are alone in its supersets and are left out there."""
+    width, lead = _width(total), (total // BUCKET_ROWS).bit_length()
+    cut, per_bucket = np.uint64(64 - width), max(16, 4 * most >> lead)
+    edges = np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(width - lead)
+    sets, known = list(sets), dict(stripped)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, BLOCK_ROWS):
+            shared = {p: _among(_value(block, "a", p) >> cut, listed) for p, listed in known.items()}
+            for i, columns in enumerate(sets):
+                values = _value(block, "a", columns) >> cut
+                parents = [mask for p, mask in shared.items() if p <= columns]
+                values = np.sort(values[reduce(np.logical_and, parents)] if parents else values)
+                kept = np.ones(len(values), dtype=bool)
+                kept[2:] = values[2:] != values[:-2]        # twice is as good as often
+                values = values[kept]
+                parts = np.split(values, np.searchsorted(values, edges))
+                some = [b for b, part in enumerate(parts) if len(part)]
+                yield pa.record_batch({"i": pa.array([i] * len(some), type=pa.int32()), "bucket": pa.array(some, type=pa.int32()),
+                                       "packed": pa.array([_pack(parts[b]) for b in some], type=pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        values = np.sort(np.concatenate([_unpack(x) for x in table["packed"].to_pylist()]))
+        again = np.unique(values[1:][values[1:] == values[:-1]])
+        return pa.table({"i": table["i"][:1], "n": pa.array([len(again)], type=pa.int64()),
+                         "again": pa.array([again[:per_bucket].view(np.int64)], type=pa.list_(pa.int64()))})
+
+    packed = rows.select(*[f"a{k}" for k in range(size)]).mapInArrow(pack, "i int, bucket int, packed binary")
+    found = packed.groupBy("i", "bucket").applyInArrow(meet, "i int, n long, again array<long>").where("n > 0")
+    out = [(np.zeros(0, dtype=np.uint64), True)] * len(sets)
+    for row in found.groupBy("i").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("again")).alias("again")).collect():
+        again = np.sort(np.array(row["again"], dtype=np.int64).view(np.uint64))
+        out[row["i"]] = (again, len(again) == row["n"])
+    return out
+
+
+def _suspects(rows: DataFrame, sets: Sequence[Columns], listed: Sequence[np.ndarray], size: int, total: int) -> DataFrame:
+    """``(i, h1, h2, rid)`` of rows whose value begins with one of the set's listed bits: of those that a task finds with the same
+    128 bits, the first and the last in a block."""
+    cut = np.uint64(64 - _width(total))
+    wanted = [(i, columns, values) for i, (columns, values) in enumerate(zip(sets, listed)) if len(values)]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, BLOCK_ROWS):
+            for i, columns, values in wanted:
+                at = np.flatnonzero(_among(_value(block, "a", columns) >> cut, values))
+                if not len(at):
+                    continue
+                h1, h2 = (_value(block, side, columns)[at] for side in "ab")
+                order = np.lexsort((block["rid"][at], h2, h1))
+                h1, h2, rid = h1[order], h2[order], block["rid"][at][order]
+                new = np.ones(len(at) + 1, dtype=bool)
+                new[1:-1] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                ends = new[1:] | new[:-1]
+                yield pa.record_batch({"i": pa.array(np.full(int(ends.sum()), i), type=pa.int32()), **{
+                    name: pa.array(x[ends].view(np.int64)) for name, x in (("h1", h1), ("h2", h2), ("rid", rid))}})
+
+    return rows.mapInArrow(find, "i int, h1 long, h2 long, rid long")
+
+
 def _lone_shares(rows: DataFrame, sets: Sequence[Columns], slices: int) -> list[float]:
     """For each set the share of the rows that are alone with their values, in one slice."""
-    sizes = _clusters(rows, sets, [], slices).groupBy("i", "h1", "h2").count()
+    sizes = _clusters(rows, sets, slices).groupBy("i", "h1", "h2").count()
     found = {r["i"]: r["lone"] / r["all"] for r in sizes.groupBy("i").agg(
         F.sum(F.when(F.col("count") == 1, 1).otherwise(0)).alias("lone"), F.sum("count").alias("all")).collect()}
     return [found.get(i, 0.0) for i in range(len(sets))]
 
 
-def _strip(rows: DataFrame, sets: Sequence[Columns], stripped: list[Columns]) -> DataFrame:
-    """Find the rows that are alone in a cluster of one of the ``sets`` and note it in their ``alone``. Rows that are alone in a parent's
-    cluster have left before, so a set's clusters are made of its parents'."""
-    lone = _clusters(rows, sets, stripped).groupBy("i", "h1", "h2").agg(
-        F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1")
-    bit = F.expr(f"shiftleft(1L, {len(stripped)} + i)")
-    marks = lone.groupBy("rid").agg(F.bit_or(bit).alias("new"))
-    stripped += sets
-    return materialize(rows.join(marks.hint("merge"), "rid", "left").withColumn(
-        "alone", F.col("alone").bitwiseOR(F.coalesce("new", F.lit(0)))).drop("new"), "stripped")
+def _strip(rows: DataFrame, sets: Sequence[Columns], stripped: Stripped, size: int, total: int) -> None:
+    """Note the values of the ``sets`` that come twice, if they are few. Rows that are alone in a parent's cluster are left out, so
+    a set's clusters are made of its parents'."""
+    for columns, (values, complete) in zip(sets, _repeats(rows, sets, stripped, size, total, STRIP_VALUES)):
+        if complete and len(values) <= STRIP_VALUES:
+            stripped[columns] = values
 
 
 def _agreements(rows: DataFrame, size: int, total: int, slice_rows: int) -> set[Columns]:
@@ -112,10 +234,20 @@ def _agreements(rows: DataFrame, size: int, total: int, slice_rows: int) -> set[
     return {frozenset(k for k, x in enumerate(row["mask"]) if x == "1") for row in masks.collect()}
 
 
-def _witnesses(rows: DataFrame, sets: Sequence[Columns], stripped: Sequence[Columns], size: int,
-               slices: int = 1) -> dict[Columns, set[Columns]]:
-    """For each of the ``sets`` that has a repeat the columns on which pairs of rows agree, up to ``WITNESSES`` of them."""
-    repeated = _clusters(rows, sets, stripped, slices).groupBy("i", "h1", "h2").agg(
+def _refuted(rows: DataFrame, sets: Sequence[Columns], stripped: Stripped, size: int, total: int) -> dict[Columns, set[Columns]]:
+    """``_witnesses`` over all rows, which are searched for repeats by packed hashes."""
+    repeats = _repeats(rows, sets, stripped, size, total, SUSPECTS)
+    if not any(len(values) for values, _ in repeats):
+        return {}
+    found = _witnesses(rows, sets, _suspects(rows, sets, [values for values, _ in repeats], size, total), size)
+    # Should all the listed bits stand for unlike values, and there be more of them, the set's rows are compared one by one.
+    unclear = [c for c, (_, complete) in zip(sets, repeats) if not complete and c not in found]
+    return found | (_witnesses(rows, unclear, _clusters(rows, unclear), size) if unclear else {})
+
+
+def _witnesses(rows: DataFrame, sets: Sequence[Columns], clusters: DataFrame, size: int) -> dict[Columns, set[Columns]]:
+    """For each of the ``sets`` that has a repeat in the ``clusters`` the columns on which pairs of rows agree, up to ``WITNESSES`` of them."""
+    repeated = clusters.groupBy("i", "h1", "h2").agg(
         F.count("*").alias("n"), F.min("rid").alias("x"), F.max("rid").alias("y")).where("n > 1")
     pairs = materialize(repeated.groupBy("i", F.pmod("h2", F.lit(WITNESSES)).alias("part")).agg(
         F.max(F.struct("x", "y")).alias("pair")).select("i", "pair.*"), "witnesses")
@@ -145,25 +277,30 @@ def _minimal_hitting(known: set[Columns], agreements: Iterable[Columns], size: i
     return known
 
 
-def _strip_parents(rows: DataFrame, sets: Sequence[Columns], stripped: list[Columns], size: int, slices: int) -> DataFrame:
+def _strip_parents(rows: DataFrame, sets: Sequence[Columns], size: int, total: int, slices: int) -> Stripped:
     """Strip by columns and pairs of columns that leave few rows to test for the ``sets``, the smallest parents first."""
     single = [frozenset([k]) for k in range(size)]
     pairs = sorted({frozenset(p) for c in sets if len(c) > 2 for p in combinations(c, 2)}, key=sorted)
     parents = single + pairs
     shares = dict(zip(parents, _lone_shares(rows, parents, slices * (1 + len(parents) // PER_SCAN))))
     chosen: list[Columns] = []
-    while len(chosen) < MOST_STRIPPED:
+    room: float = STRIP_VALUES
+    while True:
         rest = [c for c in sets if not any(p <= c for p in chosen)]
         # What a parent saves: the rows alone in it, for each set but one, which its own test costs.
-        saved = {p: shares[p] * sum(p < c for c in rest) - 1 for p in parents if shares[p] >= LONE_SHARE}
+        saved = {p: shares[p] * sum(p < c for c in rest) - 1 for p in parents
+                 if shares[p] >= LONE_SHARE and (1 - shares[p]) * total <= room}
         best = max(saved, key=lambda p: (saved[p], -len(p), sorted(p)), default=None)
         if best is None or saved[best] <= 0:
             break
         chosen.append(best)
+        room -= (1 - shares[best]) * total
+    stripped: Stripped = {}
     for level in (1, 2):
         some = [p for p in chosen if len(p) == level]
-        rows = _strip(rows, some, stripped) if some else rows
-    return rows
+        if some:
+            _strip(rows, some, stripped, size, total)
+    return stripped
 
 
 def discover_uccs(df: DataFrame, max_size: int | None = None,
@@ -171,7 +308,7 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
     """All minimal unique column sets with at most ``max_size`` columns, by size and then in column order.
 
     Every reported set was tested on all rows, and for each of its columns two rows are known that agree on all the others. Each
-    round tests the open candidates in one aggregate for up to ``PER_SCAN`` of them, on a slice until none fails there.
+    round tests the open candidates together, on a slice until none fails there.
     """
     columns = list(columns or df.columns)
     size = len(columns)
@@ -183,15 +320,17 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
     slices = max(1, total // TEST_ROWS)
     agreements = _agreements(rows, size, total, slice_rows) if size > 1 else set()
     candidates = _minimal_hitting({frozenset([k]) for k in range(size)}, agreements, size, most)
-    stripped: list[Columns] = []
+    stripped: Stripped | None = None
     passed: set[Columns] = set()        # on a slice
     proven: set[Columns] = set()        # on all rows
     while candidates - proven:
         sliced = slices > 1 and bool(candidates - passed - proven)
         open_ = sorted(candidates - (passed if sliced else proven), key=lambda c: (len(c), sorted(c)))
-        if not sliced and slices > 1 and not stripped:
-            rows = _strip_parents(rows, open_, stripped, size, slices)
-        refuted = _witnesses(rows, open_, stripped, size, slices if sliced else 1)
+        if sliced or slices == 1:
+            refuted = _witnesses(rows, open_, _clusters(rows, open_, slices), size)
+        else:
+            stripped = _strip_parents(rows, open_, size, total, slices) if stripped is None else stripped
+            refuted = _refuted(rows, open_, stripped, size, total)
         (passed if sliced else proven).update(c for c in open_ if c not in refuted)
         for found in refuted.values():
             candidates = _minimal_hitting(candidates, found, size, most)

@@ -1,9 +1,11 @@
 import random
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pytest
 
+from dataprobe import session
 from dataprobe.operators import uniqueness
 
 
@@ -83,3 +85,27 @@ def test_slices_and_stripped_parents(spark, monkeypatch):
     monkeypatch.setattr(uniqueness, "_strip", lambda r, sets, *rest: (seen.extend(sets), strip(r, sets, *rest))[1])
     assert uniqueness.discover_uccs(df, slice_rows=200) == brute(rows, list("abcde"))
     assert seen
+
+
+def test_rows_are_written_as_they_are(spark, tmp_path, monkeypatch):
+    """What is written down takes the space of the values, not that of two hashes for each."""
+    monkeypatch.setattr(session, "scratch_path", lambda _, label: f"file://{tmp_path}/{label}-{uuid.uuid4().hex}")
+    df = spark.range(20_000).selectExpr("id", *[f"id % {k} AS c{k}" for k in range(2, 12)])
+    assert uniqueness.discover_uccs(df, 1) == [("id",)]
+    size = sum(f.stat().st_size for f in tmp_path.rglob("encoded-*/*.parquet"))
+    assert 0 < size < 30 * 20_000
+
+
+@pytest.mark.parametrize("suspects", [1024, 0])
+def test_all_rows_by_packed_hashes(spark, monkeypatch, suspects):
+    """Many blocks and buckets, repeats that only whole tables show, and more repeats than are listed."""
+    for name, value in (("TEST_ROWS", 50), ("BLOCK_ROWS", 100), ("BUCKET_ROWS", 60), ("SUSPECTS", suspects)):
+        monkeypatch.setattr(uniqueness, name, value)
+    rng = random.Random(3)
+    rows = [(i, i % 700 if i > 3 else None, i // 700, rng.randrange(3), rng.randrange(200)) for i in range(1400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int")
+    assert uniqueness.discover_uccs(df, slice_rows=100) == brute(rows, list("abcde"))
+    encoded = uniqueness._encoded(df, list("abcde"))
+    (values, complete), (none, all_) = uniqueness._repeats(encoded, [frozenset([4]), frozenset([0])], {}, 5, 1400, 1400)
+    assert complete and all_ and len(none) == 0
+    assert len(values) == sum(n > 1 for n in np.bincount([r[4] for r in rows]))
