@@ -185,7 +185,7 @@ def arrive_in_order(df: DataFrame, order: str, batches: int) -> str:
 
 def record_files(df: DataFrame, order: str, records: int) -> str:
     """Write ``df`` as files of exactly ``records`` rows (the last has what is left) in the order of ``order``, with the number of its
-    file as ``batch``; gives their folder. A stream that takes a file at a time then has batches by number of records.
+    file as ``batch``; gives their folder. Each file that a stream takes is then a batch by number of records, see ``run_batch_counts``.
 
     Rows are numbered over range partitions: each counts its own and adds what those before it hold. All rows of a file
     are in one task, in order, so that Spark's writer cuts the files exactly there.
@@ -236,13 +236,16 @@ def run_accept_writes(stream: DataFrame) -> DataFrame:
 
 
 def run_batch_counts(stream: DataFrame, ident: str) -> DataFrame:
-    """``(batch, n, first_id, last_id)`` of each batch that a stream over ``record_files`` took, as it took it."""
+    """``(batch, last_batch, n, first_id, last_id, number)`` of each file that a stream over ``record_files`` took, as it took it in
+    its trigger ``number``. A trigger may take many files: they stay apart, each a batch of records by itself."""
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, "batch-counts"), scratch_path(spark, "checkpoint")
+    files = stream.withColumn("_file", F.input_file_name())
 
     def count(batch: DataFrame, number: int) -> None:
-        batch.agg(F.min("batch").alias("batch"), F.max("batch").alias("last_batch"), F.count("*").alias("n"), F.min(ident).alias("first_id"),
-                  F.max(ident).alias("last_id")).write.mode("overwrite").parquet(f"{path}/number={number}")
+        batch.groupBy("_file").agg(
+            F.min("batch").alias("batch"), F.max("batch").alias("last_batch"), F.count("*").alias("n"), F.min(ident).alias("first_id"),
+            F.max(ident).alias("last_id")).drop("_file").write.mode("overwrite").parquet(f"{path}/number={number}")
 
-    for_each_batch(stream, "append", count, checkpoint)
+    for_each_batch(files, "append", count, checkpoint)
     return spark.read.parquet(path).where("n > 0")

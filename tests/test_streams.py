@@ -121,3 +121,13 @@ def test_batches_by_number_of_records(spark, n, sizes):
     found = streams.run_batch_counts(stream, "id").orderBy("batch").collect()
     assert [r["n"] for r in found] == sizes and len({r["number"] for r in found}) == len(sizes)
     assert all(r["batch"] == r["last_batch"] and r["first_id"] == 50 * r["batch"] for r in found)
+
+
+def test_a_trigger_takes_many_record_batches(spark):
+    """Few triggers, and still each batch by itself."""
+    path = streams.record_files(spark.range(230).repartition(3), "id", 10)
+    stream = stream_files(streams.stream_session(spark, 2), path, spark.read.parquet(path).schema, files_per_batch=16)
+    found = streams.run_batch_counts(stream, "id").orderBy("batch").collect()
+    assert [(r["batch"], r["last_batch"], r["n"], r["first_id"], r["last_id"]) for r in found] == [
+        (k, k, 10, 10 * k, 10 * k + 9) for k in range(23)]
+    assert len({r["number"] for r in found}) == 2
