@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,13 @@ def test_whole_table_and_held_out_texts(spark):
     from zlib import crc32
     assert held == {i for i, _ in rows if crc32(str(i).encode()) % 7 == 2}
     check(found, rows, lambda i: i not in held, ppm.ORDER)
+
+
+def test_each_different_gram_is_searched_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    gram = np.unique(rng.integers(0, 1 << 49, 300, dtype=np.uint64))
+    value, at = rng.random(len(gram)), rng.integers(0, len(gram), 5000)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(ppm.np, "searchsorted", lambda a, v, *rest, **more: (searched.append(len(v)), search(a, v, *rest, **more))[1])
+    assert (ppm._looked_up(gram, value, gram[at]) == value[at]).all()
+    assert searched == [len(np.unique(at))]
