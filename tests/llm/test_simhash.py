@@ -253,3 +253,21 @@ def test_a_pair_is_named_in_one_list():
                               "own": zeros, "part": zeros, "other": zeros, "bits": pa.array(bits, type=pa.binary()),
                               "leaders": pa.array(leaders, type=pa.list_(pa.int64()))})
             assert simhash.possible_pairs(table, .8).num_rows == n
+
+
+def test_only_shared_signatures_are_written(spark, monkeypatch):
+    """Signatures that one text has are ruled out where their packets meet, and never written down."""
+    plain, written = simhash.materialize, []
+
+    def counted(df, label):
+        found = plain(df, label)
+        written.append((label, found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(300)) for _ in range(60)]
+    texts.append(" ".join(texts[0].split()[:270]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == list(range(60))
+    assert "shared" in dict(written) and max(n for _, n in written) < 1000
