@@ -10,16 +10,19 @@ have passed. The driver holds sets of column names, and a bounded number of hash
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dataprobe.llm.common import mix64, narrow, pack, packet_columns, unpack
 from dataprobe.operators.joins import broadcast_if_small
 from dataprobe.session import materialize
 
@@ -31,6 +34,9 @@ TEST_ROWS = 64_000
 PER_SCAN, WITNESSES = 96, 64
 #: Rows whose hashes are sorted and packed together, and about how many hashes meet in a bucket.
 BLOCK_ROWS, BUCKET_ROWS = 1 << 20, 1 << 21
+#: Rows that are written down together and searched at once for those of a slice or with listed values (at most 1 << 17).
+SCAN_ROWS = 1 << 16
+FILE_BLOCKS = 4
 #: Repeated values of a set that a test looks up in the rows.
 SUSPECTS = 1024
 #: Share of the rows that must be alone in a set's clusters for the set to be remembered, and how many values that come
@@ -42,23 +48,98 @@ Columns = frozenset[int]
 Stripped = dict[Columns, np.ndarray]
 
 
-def _hashed(columns: Sequence[str]) -> list[Column]:
+def _hashed(columns: Sequence[str], numbers: Sequence[int] | None = None, kind: T.DataType | None = None) -> list[Column]:
     """``a0, b0, a1, b1, ...``: 128 bits for each of a row's values.
 
     Each column is hashed twice, with its number and whether it is null (hashes skip nulls); a set of columns has the exclusive
     or of its columns' hashes. Equal values have equal bits, so bits without a repeat prove a set unique.
     """
-    return [F.xxhash64(F.lit(2 * k + side), F.col(f"`{c}`").isNull().cast("int"), F.col(f"`{c}`")).alias(f"{'ab'[side]}{k}")
-            for k, c in enumerate(columns) for side in (0, 1)]
+    value = (lambda c: F.col(f"`{c}`").cast("int")) if isinstance(kind, T.NullType) else (lambda c: F.col(f"`{c}`"))
+    return [F.xxhash64(F.lit(2 * k + side), value(c).isNull().cast("int"), value(c)).alias(f"{'ab'[side]}{k}")
+            for k, c in zip(numbers or range(len(columns)), columns) for side in (0, 1)]
 
 
 def _encoded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(rid, a0, b0, a1, b1, ...)``: a number for each row and the bits by which rows are compared. The values themselves are
-    written down, which takes far less space; each scan hashes them anew."""
-    named = [F.col(f"`{c}`").cast("int" if isinstance(df.schema[c].dataType, T.NullType) else df.schema[c].dataType).alias(f"c{k}")
-             for k, c in enumerate(columns)]
-    stored = materialize(df.select(F.monotonically_increasing_id().alias("rid"), *named), "encoded")
-    return stored.select("rid", *_hashed([f"c{k}" for k in range(len(columns))]))
+    """``(block, rows, size, packed)``: the rows in blocks of up to ``SCAN_ROWS``, each column compressed. What is written down are values, which take
+    far less space than hashes and are hashed anew by each scan (``_scan``); only of texts and compound types the hashes are kept."""
+    whole = ("tinyint", "smallint", "int", "bigint", "boolean")
+    plain = {"date": F.unix_date, "timestamp": F.unix_micros, "float": lambda c: c.cast("double"), "double": lambda c: c}
+    plain |= dict.fromkeys(whole, lambda c: c.cast("bigint"))
+    kinds = [df.schema[c].dataType.simpleString() for c in columns]
+    sent = [plain[kind](F.col(f"`{c}`")).alias(f"v{k}") for k, (c, kind) in enumerate(zip(columns, kinds)) if kind in plain]
+    texts = [k for k, kind in enumerate(kinds) if kind not in plain]
+    sent += [x for k in texts for x in _hashed([columns[k]], [k], df.schema[columns[k]].dataType)]
+    most = min(SCAN_ROWS, BLOCK_ROWS)
+
+    def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                kept.append(batch.slice(at, most))
+                if sum(b.num_rows for b in kept) >= most:
+                    rows = pa.Table.from_batches(kept)
+                    for low in range(0, rows.num_rows - most + 1, most):
+                        yield block(number, rows.slice(low, most))
+                        number += 1
+                    kept = rows.slice(rows.num_rows - rows.num_rows % most).to_batches()
+        if sum(b.num_rows for b in kept):
+            yield block(number, pa.Table.from_batches(kept))
+
+    def block(number: int, rows: pa.Table) -> pa.RecordBatch:
+        stored = []
+        for k in range(len(columns)):
+            if k in texts:
+                stored.append([None, *(_stored(rows[f"{side}{k}"].to_numpy().view(np.uint64)) for side in "ab")])
+                continue
+            column = rows[f"v{k}"].combine_chunks()
+            null = np.packbits(column.is_null().to_numpy(zero_copy_only=False)) if column.null_count else None
+            values = pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+            if values.dtype.kind == "f":        # one zero, one NaN
+                values = np.where(np.isnan(values), np.nan, values + 0.0)
+            else:
+                values = values.astype(np.int64)
+            stored.append([null, _stored(values.view(np.uint64))])
+        return pa.record_batch({"block": pa.array([number], type=pa.int64()), "rows": pa.array([rows.num_rows], type=pa.int32()), **packet_columns([pack(rows.num_rows, stored)])})
+
+    return materialize(df.select(*sent).mapInArrow(pack_blocks, "block long, rows int, size int, packed binary"), "encoded", FILE_BLOCKS)
+
+
+def _stored(values: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """The different values and each one's number, if they are few, else the values by byte planes."""
+    if len(np.unique(values[:2048])) < 1536:
+        listed, number = np.unique(values, return_inverse=True)
+        if 2 * len(listed) < len(values):
+            return listed, narrow(number)
+    return None, np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _mixed(values: np.ndarray, k: int) -> np.ndarray:
+    """64 bits for each value of column ``k``, different for different values."""
+    return mix64(values * np.uint64(0x9E3779B97F4A7C15) + mix64(np.array([k + 1], dtype=np.uint64)))
+
+
+def _loaded(block: int, size: int, packed: bytes, sides: str, rids: bool) -> dict[str, np.ndarray]:
+    rows, stored = unpack(size, packed)
+    found = {"rid": np.arange(rows, dtype=np.uint64) + np.uint64(block << 17)} if rids else {}
+    for k, (null, *values) in enumerate(stored):
+        for side in sides:
+            listed, number = values["ab".index(side) if len(values) > 1 else 0]
+            plain = listed if listed is not None else np.ascontiguousarray(number.T).reshape(-1).view("<u8")
+            if len(values) == 1:
+                plain = _mixed(plain, k)
+                plain = plain if side == "a" else mix64(plain ^ np.uint64(0xD1B54A32D192ED03))
+            found[f"{side}{k}"] = plain = plain[number] if listed is not None else plain
+            if null is not None:
+                plain[np.unpackbits(null, count=rows).astype(bool)] = np.uint64(0xA0761D6478BD642F + 2 * k + "ab".index(side))
+    return found
+
+
+def _scan(batches: Iterator[pa.RecordBatch], sides: str, rids: bool = False) -> Iterator[dict[str, np.ndarray]]:
+    """``a0, b0, a1, b1, ...`` of the rows of each block of ``_encoded``: 128 bits for each of a row's values, as in ``_hashed``; and numbers of the rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _loaded(*(batch[c][i].as_py() for c in ("block", "size", "packed")), sides, rids)
 
 
 def _bits(side: str, columns: Iterable[int]) -> Column:
@@ -66,24 +147,39 @@ def _bits(side: str, columns: Iterable[int]) -> Column:
 
 
 def _clusters(rows: DataFrame, sets: Sequence[Columns], slices: int = 1) -> DataFrame:
-    """``(i, h1, h2, rid)`` for each row and each of the ``sets``. With ``slices`` only those whose values hash to slice 0; clusters
+    """``(i, h1, h2, rid)`` for each row and each of the ``sets``. With ``slices`` only those whose values hash to the first slice; clusters
     are in it as a whole, so what is found there holds for the table."""
-    parts = []
-    for start in range(0, len(sets), PER_SCAN):
-        found = []
-        for i, columns in enumerate(sets[start:start + PER_SCAN], start):
-            cluster = F.struct(F.lit(i).alias("i"), _bits("a", columns).alias("h1"), _bits("b", columns).alias("h2"))
-            found.append(F.when(F.pmod(_bits("a", columns), F.lit(slices)) == 0, cluster) if slices > 1 else cluster)
-        listed = F.array_compact(F.array(*found))
-        parts.append(rows.select("rid", F.explode(listed).alias("x")).select("x.*", "rid"))
-    return reduce(DataFrame.unionAll, parts)
+    def cluster(i: int, block: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+        return {"h1": _value(block, "a", sets[i], at), "h2": _value(block, "b", sets[i], at), "rid": block["rid"][at]}
+
+    return _in_slice(rows, sets, slices, cluster, "h1 long, h2 long, rid long")
+
+
+def _in_slice(rows: DataFrame, sets: Sequence[Columns], slices: int,
+              values: Callable[[int, dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``(i, ...)``: for each of the ``sets`` the ``values`` of the rows whose hash of its columns is in the first of ``slices`` ranges. All
+    sets are tried on a block of rows, of which few are left, so no row is made for each set."""
+    last = np.uint64((1 << 64) // slices - 1)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _scan(batches, "ab", rids=True):
+            found = [(i, np.flatnonzero(_value(block, "b", columns) <= last)) for i, columns in enumerate(sets)]
+            found = [(i, at, values(i, block, at)) for i, at in found if len(at)]
+            if found:
+                yield pa.record_batch({"i": pa.array(np.concatenate([np.full(len(at), i) for i, at, _ in found]), type=pa.int32()), **{
+                    name: pa.array(np.concatenate([x[name] for *_, x in found]).view(np.int64)) for name in found[0][2]}})
+
+    return rows.mapInArrow(pick, f"i int, {schema}")
 
 
 def _fingerprints(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> DataFrame:
     """``(i, h1, h2)``: for each row and set of column names the number of the set and the 128 bits that name its values."""
     names = sorted({c for columns in sets for c in columns})
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), *_hashed(names))
-    return _clusters(rows, [frozenset(names.index(c) for c in columns) for columns in sets]).drop("rid")
+    named = [frozenset(names.index(c) for c in columns) for columns in sets]
+    found = [F.struct(F.lit(i).alias("i"), _bits("a", columns).alias("h1"), _bits("b", columns).alias("h2")) for i, columns in enumerate(named)]
+    rows = df.select(*_hashed(names))
+    return reduce(DataFrame.unionAll, [rows.select(F.explode(F.array(*found[k:k + PER_SCAN])).alias("x")).select("x.*")
+                                       for k in range(0, len(found), PER_SCAN)])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -100,26 +196,32 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of about ``most`` rows at a time."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        kept.append(batch)
-        if sum(b.num_rows for b in kept) >= most:
-            yield {c: np.concatenate([b[c].to_numpy() for b in kept]).view(np.uint64) for c in batch.schema.names}
+    """``a0, a1, ...`` of about ``most`` rows at a time."""
+    kept: list[dict[str, np.ndarray]] = []
+    for block in _scan(batches, "a"):
+        kept.append(block)
+        if sum(len(b["a0"]) for b in kept) >= most:
+            yield {c: np.concatenate([b[c] for b in kept]) for c in block}
             kept = []
-    if sum(b.num_rows for b in kept):
-        yield {c: np.concatenate([b[c].to_numpy() for b in kept]).view(np.uint64) for c in kept[0].schema.names}
+    if kept:
+        yield {c: np.concatenate([b[c] for b in kept]) for c in kept[0]}
 
 
-def _value(block: dict[str, np.ndarray], side: str, columns: Iterable[int]) -> np.ndarray:
-    return reduce(np.bitwise_xor, [block[f"{side}{k}"] for k in sorted(columns)])
+def _value(block: dict[str, np.ndarray], side: str, columns: Iterable[int], at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    return reduce(np.bitwise_xor, [block[f"{side}{k}"][at] for k in sorted(columns)])
 
 
 def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted list?"""
+    """Which values, that are bits of hashes, are in the sorted list? A table by their last bits leaves few to be searched for."""
     if not len(listed):
         return np.zeros(len(values), dtype=bool)
-    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+    last = np.uint64((1 << min(max(len(listed).bit_length() + 4, 12), 24)) - 1)
+    marks = np.zeros(int(last) + 1, dtype=bool)
+    marks[listed & last] = True
+    found = marks[values & last]
+    at = np.flatnonzero(found)
+    found[at] = listed[np.minimum(np.searchsorted(listed, values[at]), len(listed) - 1)] == values[at]
+    return found
 
 
 def _width(total: int) -> int:
@@ -157,7 +259,7 @@ def _repeats(rows: DataFrame, sets: Sequence[Columns], stripped: Stripped, size:
         return pa.table({"i": table["i"][:1], "n": pa.array([len(again)], type=pa.int64()),
                          "again": pa.array([again[:per_bucket].view(np.int64)], type=pa.list_(pa.int64()))})
 
-    packed = rows.select(*[f"a{k}" for k in range(size)]).mapInArrow(pack, "i int, bucket int, packed binary")
+    packed = rows.mapInArrow(pack, "i int, bucket int, packed binary")
     found = packed.groupBy("i", "bucket").applyInArrow(meet, "i int, n long, again array<long>").where("n > 0")
     out = [(np.zeros(0, dtype=np.uint64), True)] * len(sets)
     for row in found.groupBy("i").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("again")).alias("again")).collect():
@@ -173,12 +275,12 @@ def _suspects(rows: DataFrame, sets: Sequence[Columns], listed: Sequence[np.ndar
     wanted = [(i, columns, values) for i, (columns, values) in enumerate(zip(sets, listed)) if len(values)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, BLOCK_ROWS):
+        for block in _scan(batches, "ab", rids=True):
             for i, columns, values in wanted:
                 at = np.flatnonzero(_among(_value(block, "a", columns) >> cut, values))
                 if not len(at):
                     continue
-                h1, h2 = (_value(block, side, columns)[at] for side in "ab")
+                h1, h2 = (_value(block, side, columns, at) for side in "ab")
                 order = np.lexsort((block["rid"][at], h2, h1))
                 h1, h2, rid = h1[order], h2[order], block["rid"][at][order]
                 new = np.ones(len(at) + 1, dtype=bool)
@@ -212,8 +314,6 @@ def _agreements(rows: DataFrame, size: int, total: int, slice_rows: int) -> set[
     pairs = list(combinations(range(size), 2))
     slices = max(1, total // slice_rows)
     bits = [f"{side}{k}" for k in range(size) for side in "ab"]
-    picked = F.filter(F.array(*[F.when(F.pmod(_bits("a", pair), F.lit(slices)) == 0, F.lit(i)) for i, pair in enumerate(pairs)]),
-                      lambda x: x.isNotNull())
 
     def neighbours(table: pa.Table) -> pa.Table:
         first = pairs[table["i"][0].as_py()]
@@ -229,7 +329,8 @@ def _agreements(rows: DataFrame, size: int, total: int, slice_rows: int) -> set[
                 found |= {"".join("01"[int(x)] for x in mask) for mask in np.unique(same, axis=0)}
         return pa.table({"mask": pa.array(sorted(found), type=pa.string())})
 
-    sliced = rows.select(F.explode(picked).alias("i"), *bits)
+    sliced = _in_slice(rows, [frozenset(p) for p in pairs], slices, lambda _, block, at: {name: block[name][at] for name in bits},
+                       ", ".join(f"{name} long" for name in bits))
     masks = sliced.groupBy("i").applyInArrow(neighbours, "mask string").distinct()
     return {frozenset(k for k, x in enumerate(row["mask"]) if x == "1") for row in masks.collect()}
 
@@ -251,15 +352,24 @@ def _witnesses(rows: DataFrame, sets: Sequence[Columns], clusters: DataFrame, si
         F.count("*").alias("n"), F.min("rid").alias("x"), F.max("rid").alias("y")).where("n > 1")
     pairs = materialize(repeated.groupBy("i", F.pmod("h2", F.lit(WITNESSES)).alias("part")).agg(
         F.max(F.struct("x", "y")).alias("pair")).select("i", "pair.*"), "witnesses")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
-    bits = F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in range(size)])
-    named = materialize(rows.join(broadcast_if_small(ends), "rid", "left_semi").select("rid", bits.alias("bits")), "witness-rows")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("rid")).groupBy(F.shiftright("rid", 17).alias("block")).agg(F.collect_set("rid").alias("rids"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rids = np.array(batch["rids"][i].as_py(), dtype=np.int64)
+                block = _loaded(*(batch[c][i].as_py() for c in ("block", "size", "packed")), "ab", False)
+                at = rids & (1 << 17) - 1
+                values = np.stack([block[f"{side}{k}"][at] for k in range(size) for side in "ab"], axis=1).view(np.int64)
+                yield pa.record_batch({"rid": pa.array(rids), "bits": pa.array(list(values), type=pa.list_(pa.int64()))})
+
+    named = materialize(rows.join(broadcast_if_small(ends), "block").mapInArrow(bits, "rid long, bits array<long>"), "witness-rows")
     both = pairs.join(broadcast_if_small(named.select(F.col("rid").alias("x"), F.col("bits").alias("mine"))), "x").join(
         broadcast_if_small(named.select(F.col("rid").alias("y"), F.col("bits").alias("other"))), "y")
     masks = both.select("i", F.zip_with("mine", "other", lambda p, q: p == q).alias("same")).distinct()
     found: dict[Columns, set[Columns]] = {}
     for row in masks.collect():
-        found.setdefault(sets[row["i"]], set()).add(frozenset(k for k, x in enumerate(row["same"]) if x))
+        found.setdefault(sets[row["i"]], set()).add(frozenset(k for k in range(size) if row["same"][2 * k] and row["same"][2 * k + 1]))
     return found
 
 
@@ -314,7 +424,7 @@ def discover_uccs(df: DataFrame, max_size: int | None = None,
     size = len(columns)
     most = min(max_size or size, size)
     rows = _encoded(df, columns)
-    total = rows.count()
+    total = rows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     if total <= 1:
         return [(c,) for c in columns]
     slices = max(1, total // TEST_ROWS)

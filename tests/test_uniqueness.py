@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dataprobe import session
 from dataprobe.operators import uniqueness
@@ -109,3 +110,43 @@ def test_all_rows_by_packed_hashes(spark, monkeypatch, suspects):
     (values, complete), (none, all_) = uniqueness._repeats(encoded, [frozenset([4]), frozenset([0])], {}, 5, 1400, 1400)
     assert complete and all_ and len(none) == 0
     assert len(values) == sum(n > 1 for n in np.bincount([r[4] for r in rows]))
+
+
+def test_slices_are_picked_from_blocks(spark):
+    """No row is made for each set to find those of a slice: whole clusters of each set, and about its share of the rows."""
+    df = spark.range(20_000).selectExpr("id AS a", "id % 5000 AS b", "id % 3 AS c", "IF(id % 2 = 0, NULL, id % 1000) AS d")
+    encoded = uniqueness._encoded(df, list("abcd"))
+    sets = [frozenset(c) for n in (1, 2, 3) for c in combinations(range(4), n)]
+    sliced = uniqueness._clusters(encoded, sets, 10)
+    assert "Generate" not in sliced._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in sliced.collect()}
+    whole = {tuple(r) for r in uniqueness._clusters(encoded, sets).collect()}
+    assert found <= whole
+    picked = {r[:3] for r in found}
+    assert found == {r for r in whole if r[:3] in picked}
+    assert all(1_000 < sum(r[0] == i for r in found) < 3_000 for i, c in enumerate(sets) if 0 in c)
+
+
+def test_listed_values_are_found():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 700, 300_000):
+        listed = np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64))
+        values = np.concatenate([listed[::3], rng.integers(0, 1 << 40, 5_000, dtype=np.uint64), listed[:5] + np.uint64(1 << 30)])
+        assert np.array_equal(uniqueness._among(values, listed), np.isin(values, listed))
+
+
+def test_values_of_all_types(spark):
+    """Values are told apart as grouping does: one zero, one NaN, null as a value of its own."""
+    df = spark.sql("""SELECT * FROM VALUES
+        (0.0D, 0.0F, 1L, true, DATE'2020-01-01', TIMESTAMP'2020-01-01 00:00:00.000001', 1.10BD, 'x', array(1)),
+        (-0.0D, -0.0F, NULL, false, NULL, TIMESTAMP'2020-01-01 00:00:00.000002', 1.1BD, '', NULL),
+        (double('NaN'), float('NaN'), 0L, NULL, DATE'1969-12-31', NULL, NULL, NULL, array(1)),
+        (-double('NaN'), NULL, -1L, true, DATE'2020-01-01', TIMESTAMP'1960-01-01', 2BD, 'x', array()),
+        (NULL, 0.1F, 9223372036854775807L, NULL, DATE'2020-01-02', TIMESTAMP'2020-01-01 00:00:00.000001', 2BD, 'X', array(2))
+        AS t(a, b, c, d, e, f, g, h, i)""").repartition(2)
+    df = df.withColumn("j", df.b * 0 + 0.25).withColumn("k", (df.c % 100).cast("smallint"))
+    sets = [frozenset([k]) for k in range(len(df.columns))]
+    found = uniqueness._clusters(uniqueness._encoded(df, df.columns), sets).groupBy("i").agg(
+        F.count_distinct("h1", "h2").alias("n"), F.count("*").alias("rows")).collect()
+    assert {df.columns[r.i]: r.n for r in found} == {c: df.groupBy(c).count().count() for c in df.columns}
+    assert all(r.rows == 5 for r in found)
